@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import exact_dedup, packing, token_orc, url_filters
+from tallyloom.llm import decontaminate, exact_dedup, minhash, packing, token_orc, url_filters
 from tallyloom.llm.common import table
 
 
@@ -16,6 +16,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents")).drop("uid")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, table(spark, sf_dir, "documents"))
 
@@ -27,6 +35,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_orc": op1_token_orc,
     "op5_packing": op5_packing,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_minhash": op8_minhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filters": op10_url_filters,
 }
@@ -38,5 +48,6 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n
 """,
+    "op7_decontaminate": decontaminate.ORACLE,
     "op10_url_filters": url_filters.ORACLE,
 }
