@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, exact_dedup, minhash, packing, quality, token_orc, toxicity, url_filters
+from tallyloom.llm import decontaminate, exact_dedup, minhash, packing, quality, repeats, token_orc, toxicity, url_filters
 from tallyloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +47,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_orc": op1_token_orc,
     "op2_toxicity": op2_toxicity,
+    "op3_repeats": op3_repeats,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op7_decontaminate": op7_decontaminate,
