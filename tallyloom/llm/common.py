@@ -64,16 +64,31 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def with_uid(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Add uid, a long that identifies the row and stays the same when docs is read again.
+def free_name(docs: DataFrame, base: str) -> str:
+    """A column name that docs does not have (Spark compares names without case)."""
+    taken = {c.lower() for c in docs.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def keyed(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", name: str = "_row_key") -> tuple[DataFrame, str]:
+    """docs with a column (its name is returned) of longs that identify the rows and stay the
+    same when docs is read again.
 
-    It is doc_id itself where that is unique and never null (one aggregation over the ids
+    It is the id itself where that is unique and never null (one aggregation over the ids
     decides). Otherwise the rows are numbered once and written, and the written rows are used.
     """
-    ids = docs.groupBy("doc_id").count()
-    if ids.where(F.col("doc_id").isNull() | (F.col("count") > 1)).isEmpty():
-        return docs.withColumn("uid", F.col("doc_id"))
-    return materialize(spark, docs.withColumn("uid", F.monotonically_increasing_id()), "numbered")
+    name, key = free_name(docs, name), docs[id_col].cast("long")
+    ids = docs.groupBy(key.alias("id")).count()
+    if ids.where(F.col("id").isNull() | (F.col("count") > 1)).isEmpty():
+        return docs.withColumn(name, key), name
+    return materialize(spark, docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def with_uid(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) rows with such a key, uid."""
+    return keyed(spark, docs, name="uid")[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

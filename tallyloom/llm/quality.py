@@ -264,9 +264,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col
     """The rows, all columns, of the documents the classifier does not reject (score >= 0.5)."""
     plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     vectors, network = fit(plain, labels, fold(F.col("doc_id"), 3) != 1)
-    names = docs.columns
     score = F.pandas_udf(lambda t: _score_series(t, vectors, network), "double")
-    return docs.withColumn("_score", score(docs[text_col].cast("string"))).where("_score >= 0.5").select(*names)
+    name = free_name(docs, "_score")
+    return docs.withColumn(name, score(docs[text_col].cast("string"))).where(F.col(name) >= 0.5).drop(name)
 
 
 def _score_series(texts, vectors, network: Network):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, exact_dedup, minhash, packing, quality, repeats, token_orc, toxicity, url_filters
+from tallyloom.llm import decontaminate, exact_dedup, minhash, packing, quality, repeats, token_counts, token_orc, toxicity, url_filters
 from tallyloom.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.edited_counts(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op3_repeats": op3_repeats,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
+    "op6_token_counts": op6_token_counts,
     "op7_decontaminate": op7_decontaminate,
     "op8_minhash": op8_minhash,
     "op9_exact_dedup": op9_exact_dedup,
