@@ -43,6 +43,7 @@ def first_seen(spark: SparkSession, log: DataFrame) -> DataFrame:
     with session_conf(
         spark,
         spark__sql__streaming__stateStore__providerClass=ROCKSDB,
+        spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
         spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
         spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="200",
     ):

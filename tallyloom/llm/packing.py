@@ -156,8 +156,8 @@ def _pieces(path: str, end_id: int, capacity: int):
         enc, end, step = encoder(path), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                some = batch.slice(at, 128)
                 sizes, crcs = [], []
                 for text in some.column("text").to_pylist():
                     ids = enc.encode(text) + end

@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
 #: A split space whose neighbours on both sides are white space (or the end) is no unit start.
 _RUNS = re.compile(r"\s (?!\S)")
 #: White space as the tokenizer's regex has it: U+001C to U+001F are not in it.
 _UNITS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+#: A word with punctuation after it: a letter and a mark that follows are never one token.
+_CUT = re.compile(r"(.*[^\W\d_])([.,;:!?|]+)", re.S)
+#: Letters only (Latin blocks), so one pre-token, which the model may be given directly.
+_WORD = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
 #: Bounds the memory of one worker's memo of units; beyond it units are encoded each time.
-MEMO_UNITS = 300_000
+MEMO_UNITS = 600_000
 LONGEST_MEMO = 64
 
 
@@ -26,6 +31,35 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+class _Units(dict):
+    """Unit -> ids, filled as units are asked for. The key leaves out the unit's leading space, if any."""
+
+    def __init__(self, owner: UnitEncoder, lead: str) -> None:
+        self.owner, self.lead = owner, lead
+
+    def __missing__(self, key: str) -> bytes:
+        owner, cut = self.owner, _CUT.fullmatch(key)
+        if cut:
+            ids = self[cut[1]] + owner.plain[cut[2]]
+        elif _WORD.fullmatch(key):
+            letters = (self.lead + key).encode().decode("latin-1").translate(owner.letters)
+            found = [t.id for t in owner.model.tokenize(letters)]
+            ids = struct.pack(f"<{len(found)}I", *found)
+        else:
+            found = owner.tokenizer.encode(self.lead + key, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(self) < MEMO_UNITS and len(key) <= LONGEST_MEMO:
+            self[key] = ids
+        return ids
+
+
 class UnitEncoder:
     """Encodes texts to bytes (4 a token)."""
 
@@ -35,34 +69,16 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.plain, self.spaced = _Units(self, ""), _Units(self, " ")
 
-    def units(self, text: str) -> list[str]:
+    def encode(self, text: str | None) -> bytes:
         if not text:
-            return []
+            return b""
         if _RUNS.search(text):
-            return _UNITS.findall(text)
-        parts = text.split(" ")
-        out = [" " + p for p in parts]
-        out[0] = parts[0]
-        return out
-
-    def encode_units(self, units: list[str]) -> list[bytes]:
-        import numpy as np
-
-        memo = self.memo
-        got = list(map(memo.get, units))
-        if None in got:
-            missing = list({u for u, g in zip(units, got) if g is None})
-            encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            fresh = {u: np.array(e.ids, dtype="<u4").tobytes() for u, e in zip(missing, encoded)}
-            got = [fresh[u] if g is None else g for u, g in zip(units, got)]
-            if len(memo) < MEMO_UNITS:
-                memo.update((u, b) for u, b in fresh.items() if len(u) <= LONGEST_MEMO)
-        return got
-
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(self.encode_units(self.units(text or "")))
+            return b"".join(map(self.plain.__getitem__, _UNITS.findall(text)))
+        head, *rest = text.split(" ")
+        return self.plain[head] + b"".join(map(self.spaced.__getitem__, rest))
 
 
 @lru_cache(maxsize=4)
