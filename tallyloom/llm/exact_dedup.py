@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import forget, fresh_path, materialize, session_conf
+from tallyloom.llm.common import forget, free_name, fresh_path, materialize, session_conf
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -24,11 +24,11 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _located(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Rows with their content locator: the Parquet file and the row in it."""
+def _located(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """Rows with their content locator, the Parquet file and the row in it, and its columns' names."""
+    file, row = free_name(docs, "_file"), free_name(docs, "_row")
     try:
-        where = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
-        return docs.select("*", *where)
+        return docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)), file, row
     except Exception as e:  # AnalysisException: not straight from files, so write the rows first
         if "_metadata" not in str(e):
             raise
@@ -72,14 +72,14 @@ def exact_dedup(
     ids (keep_id is then null). An empty table gives an empty result. Other columns are not
     read. digest_bits shortens the state's key, for tests of the full-byte check.
     """
-    return _judged(spark, _located(spark, docs), id_col, text_col, digest_bits).drop("file", "row")
+    return _judged(spark, *_located(spark, docs), id_col, text_col, digest_bits).drop("file", "row")
 
 
-def _judged(spark: SparkSession, located: DataFrame, id_col: str, text_col: str, digest_bits: int = 256) -> DataFrame:
+def _judged(spark: SparkSession, located: DataFrame, file: str, row: str, id_col: str, text_col: str, digest_bits: int = 256) -> DataFrame:
     """exact_dedup with each row's locator."""
     rows = located.select(
         located[id_col].cast("long").alias("doc_id"), normalized(located[text_col].cast("string")).alias("text"),
-        F.col("_file").alias("file"), F.col("_row").alias("row"),
+        located[file].alias("file"), located[row].alias("row"),
     )
     hexed = F.sha2("text", 256)
     keyed = rows.withColumn("text_sha256", hexed).withColumn("digest", F.unhex(F.substring("text_sha256", 1, digest_bits // 4)))
@@ -122,6 +122,6 @@ def _judged(spark: SparkSession, located: DataFrame, id_col: str, text_col: str,
 
 def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows, all columns, of the documents that stay."""
-    located = _located(spark, docs)
-    kept = _judged(spark, located, id_col, text_col).where("kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    return located.join(kept, ["_file", "_row"], "left_semi").drop("_file", "_row")
+    located, file, row = _located(spark, docs)
+    kept = _judged(spark, located, file, row, id_col, text_col).where("kept").select(F.col("file").alias(file), F.col("row").alias(row))
+    return located.join(kept, [file, row], "left_semi").drop(file, row)

@@ -16,6 +16,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import free_name
 
 #: Buckets of tokens and of shapes, dimensions of a vector, non-zeros of an index vector.
 LEXICAL, SHAPES, DIM, NONZERO = 8192, 1024, 48, 4
