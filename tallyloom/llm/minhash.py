@@ -158,9 +158,10 @@ def _blocks(registers: int, least: float, similarity: float):
     def run(table):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        left = table.filter(pa.compute.equal(table["side"], 0))
-        right = table.filter(pa.compute.equal(table["side"], 1))
+        left = table.filter(pc.equal(table["side"], 0))
+        right = table.filter(pc.equal(table["side"], 1))
         same = left.num_rows == 0 or right.num_rows == 0  # one block against itself
         left, right = (table, table) if same else (left, right)
         col = lambda t, c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
