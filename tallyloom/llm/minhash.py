@@ -23,13 +23,20 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import forget, materialize, narrow, with_uid
+from tallyloom.llm.common import forget, materialize, narrow, session_conf, with_uid
 from tallyloom.llm.words import GOLDEN, mix, shingle_hashes, word_hashes, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 BLOCK = 256
 BATCH = 256
+#: Joins of a few rows with texts or bags: Spark's runtime Bloom filter drops the others in the
+#: scan, before they are shuffled. It needs a predicate on the small side.
+BLOOM = {
+    "spark__sql__optimizer__runtime__bloomFilter__enabled": "true",
+    "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0",
+    "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "1g",
+}
 
 
 def bags(texts: list[str | None], shingle: int = SHINGLE) -> list:
@@ -69,7 +76,7 @@ def signature(hashes, weights, registers: int):
     octave, top = 1, int(weights.max())
     while 2 ** (octave - 1) < top:
         on = weights > 2 ** (octave - 1)
-        seed.append(mix(hashes[on] + np.uint64(octave) * np.uint64(0xD1B54A32D192ED03)))
+        seed.append(mix(hashes[on] + np.uint64(octave * 0xD1B54A32D192ED03 % 2**64)))
         rate.append(np.full(int(on.sum()), float(2 ** (octave - 1))))
         low.append(rate[-1])
         weight.append(weights[on].astype(float))
@@ -245,16 +252,18 @@ def near_duplicates(
     member = materialize(spark, member.join(shared, "key"), "buckets")
     nodes = member.select("uid").distinct().withColumn("comp", F.col("uid"))
     nodes = materialize(spark, nodes.join(reps.select("uid", "size", "sig"), "uid"), "classes")
-    bag = materialize(
-        spark, named.join(nodes.select("uid"), "uid", "left_semi").select("uid", "text")
-        .mapInArrow(_numbered_bags(shingle), "uid long, ids array<long>"), "bags",
-    )
+    with session_conf(spark, **BLOOM):
+        bag = materialize(
+            spark, named.join(nodes.where("size > 0").select("uid"), "uid", "left_semi").select("uid", "text")
+            .mapInArrow(_numbered_bags(shingle), "uid long, ids array<long>"), "bags",
+        )
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("ids_a", "ids_b"))
-        found = pairs.join(bag.toDF("b", "ids_b"), "b").join(bag.toDF("a", "ids_a"), "a")
-        over = found.select("a", "b", both.alias("both"), (F.size("ids_a") + F.size("ids_b")).alias("sum"))
-        return materialize(spark, over.where(F.col("both") >= similarity * (F.col("sum") - F.col("both")) - 1e-9).select("a", "b"), "links")
+        with session_conf(spark, **BLOOM):
+            found = pairs.where("a < b").join(bag.toDF("b", "ids_b"), "b").join(bag.toDF("a", "ids_a"), "a")
+            over = found.select("a", "b", both.alias("both"), (F.size("ids_a") + F.size("ids_b")).alias("sum"))
+            return materialize(spark, over.where(F.col("both") >= similarity * (F.col("sum") - F.col("both")) - 1e-9).select("a", "b"), "links")
 
     def open_members() -> DataFrame:
         """Members of buckets that hold several components."""
