@@ -9,11 +9,12 @@ from cases import documents, frame, prose
 from tallyloom.llm import quality, toxicity
 
 SF = "/root/testdata/sf0.1"
+LARGER = "/root/testdata/check_s"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
-def held_out_accuracy(spark, scores, label):
-    joined = scores.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").toPandas()
+def held_out_accuracy(spark, scores, label, folder=SF):
+    joined = scores.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").toPandas()
     right = joined["predicted"] == joined[label]
     return right.mean(), right[joined[label] == 1].mean(), right[joined[label] == 0].mean()
 
@@ -29,7 +30,16 @@ def test_quality_on_held_out_rows(spark):
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     accuracy = held_out_accuracy(spark, toxicity.toxicity_scores(spark, docs, labels), "toxic")
-    assert min(accuracy) > 0.9
+    # 350 toxic rows to learn from, a third of them in languages with few: see the README.
+    assert accuracy[0] > 0.93 and accuracy[1] > 0.65 and accuracy[2] > 0.95
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables")
+def test_toxicity_on_held_out_rows_with_enough_labels(spark):
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").join(labels.select("doc_id").where("doc_id % 2 = 0"), "doc_id", "left_semi")
+    accuracy = held_out_accuracy(spark, toxicity.toxicity_scores(spark, docs, labels), "toxic", LARGER)
+    assert min(accuracy) > 0.95
 
 
 @pytest.mark.parametrize("score, label, folds, out", [(quality.quality_scores, "quality", 3, 1), (toxicity.toxicity_scores, "toxic", 5, 0)])
