@@ -13,7 +13,8 @@ through the sample they share:
 3. Names of names. Blocks with equal bytes around the sample get one name; all strings of
    a block whose name occurs twice are repeated. Hot passages collapse to one row here,
    before they are shuffled.
-4. The rest. Where different blocks share a tuple, the strings of one block per name are
+4. The rest. Blocks of different names are named again by the bytes on either side of the sample;
+   only strings on a side that several names share are left. Those of one block per name are
    compared as fingerprints of tuple, offset and bytes.
 """
 
@@ -76,11 +77,17 @@ def samples(v, window: int):
     return (np.uint64(0xFFFFFFFF) - (least & np.uint64(0xFFFFFFFF))).astype(np.int64)
 
 
+def half(length: int, gram: int) -> int:
+    return (length - gram) // 2
+
+
 def blocks_of(data, length: int = LENGTH, gram: int = GRAM):
-    """Arrays of a text's blocks: first start, last start, sample, tuple hash, two hashes of the block's bytes."""
+    """Arrays of a text's blocks: first start, last start, sample, tuple hash, two hashes of the block's
+    bytes, hashes of the bytes around the sample that every string starting half() or more before it has (left)
+    and that every other has (right), 0 where the block has no such string."""
     import numpy as np
 
-    out = []
+    out, far = [], half(length, gram)
     for s in range(0, len(data) - length + 1, SEGMENT):
         part = data[s : s + SEGMENT + length - 1]
         one, two = _prefix(part, 0), _prefix(part, 1)
@@ -90,9 +97,14 @@ def blocks_of(data, length: int = LENGTH, gram: int = GRAM):
         first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
         last = np.r_[first[1:] - 1, len(m) - 1]
         p = m[first]
-        out.append((first + s, last + s, p + s, grams[p], *(mix(_hash(h, first, last + length, i)) for i, h in enumerate((one, two)))))
+        sides = []
+        for some, a, b in ((p - first >= far, p - far, p + gram), (p - last <= far, p, p + length - far)):
+            hashes = np.zeros(len(p), np.uint64)
+            hashes[some] = mix(_hash(one, a[some], b[some], 0)) | np.uint64(1)
+            sides.append(hashes)
+        out.append((first + s, last + s, p + s, grams[p], *(mix(_hash(h, first, last + length, i)) for i, h in enumerate((one, two))), *sides))
     if not out:
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 3
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 5
     return [np.concatenate(c) for c in zip(*out)]
 
 
@@ -102,7 +114,7 @@ def _bytes(text: str | None):
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-_BLOCK = "uid long, first long, last long, lead int, gram long, one long, two long"
+_BLOCK = "uid long, first long, last long, lead int, gram long, one long, two long, left long, right long"
 
 
 def _blocks(length: int, gram: int):
@@ -112,12 +124,12 @@ def _blocks(length: int, gram: int):
 
         for batch in batches:
             for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text")):
-                first, last, p, g, one, two = blocks_of(_bytes(text.as_py()), length, gram)
+                first, last, p, *hashes = blocks_of(_bytes(text.as_py()), length, gram)
                 if len(first):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(first), uid)), pa.array(first), pa.array(last), pa.array((p - first).astype(np.int32)),
-                         *(pa.array(x.astype(np.int64)) for x in (g, one, two))],
-                        names=["uid", "first", "last", "lead", "gram", "one", "two"],
+                         *(pa.array(x.astype(np.int64)) for x in hashes)],
+                        names=["uid", "first", "last", "lead", "gram", "one", "two", "left", "right"],
                     )
 
     return run
@@ -227,17 +239,27 @@ def remove_repeats(
         some = materialize(spark, some, "shared-blocks")
         forget(spark, every)
         named_blocks = some.groupBy(*name).agg(
-            F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"), F.min_by("first", "uid").alias("first")
+            F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"), F.min_by("first", "uid").alias("first"),
+            F.min("left").alias("left"), F.min("right").alias("right"),
         )
         named_blocks = materialize(spark, named_blocks, "block-names")
         twice = named_blocks.where("n > 1").select(*name)
         whole = some.join(twice, name, "left_semi").select("uid", "first", "last")
 
-        various = named_blocks.groupBy("gram").agg(F.count(F.lit(1)).alias("names")).where("names > 1")
-        various = materialize(spark, various, "tuples")
-        pick = F.struct("first", (F.col("first") + F.col("size")).alias("last"), "lead", "gram", (F.col("n") == 1).cast("int").alias("single"))
-        wanted = named_blocks.join(various.where("names > 1"), "gram", "left_semi").groupBy("uid").agg(F.collect_list(pick).alias("blocks"))
-        wanted = materialize(spark, wanted, "wanted-blocks")
+        # A string has the block's left bytes if it starts far or more before the sample, the right ones if
+        # it starts at far or later. Bytes that only one name has are in no repeated string of another.
+        far, place = half(length, gram), F.col("first") + F.col("lead")
+        known = named_blocks
+        for side in ("left", "right"):
+            various = named_blocks.where(f"{side} <> 0").groupBy(side).agg(F.count(F.lit(1)).alias(f"{side}_names")).where(f"{side}_names > 1")
+            known = known.join(materialize(spark, various, "names"), side, "left")
+        first = F.when(F.col("left_names").isNull(), F.greatest("first", place - far + 1)).otherwise(F.col("first"))
+        end = F.col("first") + F.col("size")
+        last = F.when(F.col("right_names").isNull(), F.least(end, place - far - 1)).otherwise(end)
+        lead = (place - F.col("begin")).cast("int")
+        known = known.withColumns({"begin": first, "end": last}).where("begin <= end")
+        pick = F.struct(F.col("begin").alias("first"), F.col("end").alias("last"), lead.alias("lead"), "gram", (F.col("n") == 1).cast("int").alias("single"))
+        wanted = materialize(spark, known.groupBy("uid").agg(F.collect_list(pick).alias("blocks")), "wanted-blocks")
         strings = texts.join(wanted.where("size(blocks) > 0"), "uid").select("uid", "text", "blocks")
         strings = materialize(spark, strings.mapInArrow(_rebatched(_strings(length)), "key1 long, key2 long, uid long, start long"), "strings")
         keys = strings.groupBy("key1", "key2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key1", "key2")

@@ -69,7 +69,7 @@ def test_blocks_do_not_depend_on_segments(monkeypatch):
     data = np.r_[rng.integers(0, 4, 3000), np.zeros(900, int), rng.integers(0, 256, 2000)].astype(np.uint8)
     repeats._powers.cache_clear()
     monkeypatch.setattr(repeats, "SEGMENT", 700)
-    first, last, sample, gram, _, _ = repeats.blocks_of(data)
+    first, last, sample, gram, *_ = repeats.blocks_of(data)
     assert sorted(i for a, b in zip(first, last) for i in range(a, b + 1)) == list(range(len(data) - 199))
     repeats._powers.cache_clear()
     monkeypatch.setattr(repeats, "SEGMENT", 1 << 18)
