@@ -244,7 +244,8 @@ def remove_repeats(
         )
         named_blocks = materialize(spark, named_blocks, "block-names")
         twice = named_blocks.where("n > 1").select(*name)
-        whole = some.join(twice, name, "left_semi").select("uid", "first", "last")
+        whole = materialize(spark, some.join(twice, name, "left_semi").select("uid", "first", "last"), "whole-blocks")
+        forget(spark, some)
 
         # A string has the block's left bytes if it starts far or more before the sample, the right ones if
         # it starts at far or later. Bytes that only one name has are in no repeated string of another.
@@ -260,16 +261,18 @@ def remove_repeats(
         known = known.withColumns({"begin": first, "end": last}).where("begin <= end")
         pick = F.struct(F.col("begin").alias("first"), F.col("end").alias("last"), lead.alias("lead"), "gram", (F.col("n") == 1).cast("int").alias("single"))
         wanted = materialize(spark, known.groupBy("uid").agg(F.collect_list(pick).alias("blocks")), "wanted-blocks")
+        forget(spark, named_blocks)
         strings = texts.join(wanted.where("size(blocks) > 0"), "uid").select("uid", "text", "blocks")
         strings = materialize(spark, strings.mapInArrow(_rebatched(_strings(length)), "key1 long, key2 long, uid long, start long"), "strings")
         keys = strings.groupBy("key1", "key2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key1", "key2")
         keys = materialize(spark, keys, "repeated-strings")
         partial = strings.where("start IS NOT NULL").join(keys, ["key1", "key2"], "left_semi")
         partial = partial.select("uid", F.col("start").alias("first"), F.col("start").alias("last"))
+        partial = materialize(spark, partial, "repeated-starts")
+        forget(spark, strings)
+        forget(spark, keys)
         ranges = whole.unionAll(partial).groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
         ranges = materialize(spark, ranges, "repeats")
-        for gone in (strings, keys, some):
-            forget(spark, gone)
         cut = named.join(ranges, "uid", "left").select("doc_id", "text", "ranges")
         kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
         return materialize(spark, cut.mapInArrow(_cut(length), kind), "cut")
