@@ -104,6 +104,13 @@ def word_vectors(docs: DataFrame):
     return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-6)
 
 
+def _sums(rows, starts, sizes):
+    """Sums of each document's rows; one sum a document is several times faster than reduceat over rows."""
+    import numpy as np
+
+    return np.stack([rows[a : a + n].sum(axis=0) for a, n in zip(starts.tolist(), sizes.tolist())])
+
+
 def pooled(texts: list[str | None], vectors):
     """Moments of each document's word vectors: means of words and shapes, spread, likeness of neighbours."""
     import numpy as np
@@ -115,10 +122,10 @@ def pooled(texts: list[str | None], vectors):
         starts = (np.cumsum(sizes) - sizes)[some]
         n = sizes[some][:, None].astype(np.float32)
         v = vectors[word]
-        mean = np.add.reduceat(v, starts) / n
+        mean = _sums(v, starts, sizes[some]) / n
         out[some, :DIM] = mean
-        out[some, DIM : 2 * DIM] = np.add.reduceat(vectors[shape], starts) / n
-        out[some, 2 * DIM : 3 * DIM] = np.sqrt(np.maximum(np.add.reduceat(v * v, starts) / n - mean**2, 0))
+        out[some, DIM : 2 * DIM] = _sums(vectors[shape], starts, sizes[some]) / n
+        out[some, 2 * DIM : 3 * DIM] = np.sqrt(np.maximum(_sums(v * v, starts, sizes[some]) / n - mean**2, 0))
         doc = np.repeat(np.arange(len(sizes)), sizes)
         like = np.zeros(len(word), np.float32)
         like[1:] = np.einsum("ij,ij->i", v[1:], v[:-1]) * (doc[1:] == doc[:-1])
