@@ -1,10 +1,12 @@
 """Toxicity (operator 2): a bidirectional gated recurrent network with attention pooling.
 
-Inputs of a step are a word embedding (hashed) and the mean of the word's character-trigram
-embeddings (hashed). Forward and backward GRU states are pooled by attention to one logit a
-window. Every overlapping window of a whole text is scored; the greatest logit, calibrated,
-is the document's. Training is numpy, on a bounded labelled sample; as labels mark
-documents, each round trains on the windows that the model itself finds most telling.
+Inputs of a step are a word embedding (hashed) and the means of the embeddings (hashed) of the
+word's character trigrams and of its beginnings, which inflected words share. Forward and backward GRU states are pooled by attention to one logit a
+window. Every overlapping window of a whole text is scored; a window's evidence is the softplus
+of its logit, and a base plus the sum of the evidence of all windows, calibrated, is the
+document's logit. Training is numpy, on a bounded labelled sample and on the same sum: each
+round scores all windows, and those of a document that weigh most get gradients while the
+others' evidence is held.
 """
 
 from __future__ import annotations
@@ -17,17 +19,25 @@ from pyspark.sql import functions as F
 from tallyloom.llm.quality import fold, labelled_sample
 from tallyloom.llm.words import words
 
-WINDOW, STRIDE = 32, 24
-#: Hash buckets of words and of character trigrams; sizes of their embeddings and of a GRU state.
-WORDS, TRIGRAMS, WORD_DIM, CHAR_DIM, STATE = 16_384, 4096, 6, 10, 8
+WINDOW, STRIDE = 32, 16
+#: Hash buckets of words, of character trigrams and of beginnings; sizes of their embeddings and of a GRU state.
+WORDS, TRIGRAMS, STEMS, WORD_DIM, CHAR_DIM, STEM_DIM, STATE = 16_384, 4096, 16_384, 6, 10, 8, 8
+#: Bytes of a beginning; a shorter word is its own.
+BEGIN = (4, 5, 6, 7, 8)
 #: Bounds on the labelled rows used, of each label; the smallest hashes of the id are taken.
 FIT_TOXIC, FIT_CLEAN = 1500, 1500
 MEMO = 150_000
 CHUNK = 2048
+#: Windows of a document that get gradients in a round, besides one drawn by lot.
+TELLING = 12
+#: Documents of one step of the training.
+DOCS = 24
+#: Training documents below which a word's or a beginning's bucket is not learned; rows added to smooth log odds.
+RARE, SMOOTH = 4, 4.0
 
 
 def encode_words(distinct: list[bytes]):
-    """Word buckets, and trigram buckets of all words with each word's start."""
+    """Word buckets, and the buckets of trigrams and of beginnings of all words with each word's start and number."""
     import zlib
 
     import numpy as np
@@ -39,7 +49,10 @@ def encode_words(distinct: list[bytes]):
     code = ((buffer[:-2] << 16) + (buffer[1:-1] << 8) + buffer[2:]) * 2654435761 % (1 << 32) * TRIGRAMS >> 32
     keep = np.ones(len(buffer), bool)  # a word of n bytes has n trigrams
     keep[starts + size] = keep[starts + size + 1] = False
-    return word, code[keep[:-2]], np.cumsum(size) - size, size
+    begin = [[w[:k] for k in BEGIN if k <= len(w)] or [w] for w in distinct]
+    many = np.fromiter(map(len, begin), np.int64, len(distinct))
+    stem = np.fromiter((zlib.crc32(b, 1) for some in begin for b in some), np.int64, int(many.sum())) % STEMS
+    return word, code[keep[:-2]], np.cumsum(size) - size, size, stem, np.cumsum(many) - many, many
 
 
 def windows_of(n: int) -> list[tuple[int, int]]:
@@ -55,6 +68,12 @@ def _sigmoid(x):
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
+def _softplus(x):
+    import numpy as np
+
+    return np.logaddexp(0, x)
+
+
 class Recurrent:
     """Parameters, forward and backward passes."""
 
@@ -62,10 +81,12 @@ class Recurrent:
         import numpy as np
 
         rng, f = np.random.default_rng(seed), np.float32
-        inputs = WORD_DIM + CHAR_DIM
+        inputs = WORD_DIM + CHAR_DIM + STEM_DIM
         self.p = {
             "words": rng.normal(0, 0.3, (WORDS, WORD_DIM)).astype(f), "chars": rng.normal(0, 0.6, (TRIGRAMS, CHAR_DIM)).astype(f),
-            "v": rng.normal(0, 0.5, 2 * STATE).astype(f), "out": rng.normal(0, 0.5, 2 * STATE).astype(f), "bias": np.zeros(1, f),
+            "stems": rng.normal(0, 0.5, (STEMS, STEM_DIM)).astype(f),
+            "v": rng.normal(0, 0.5, 2 * STATE).astype(f), "out": rng.normal(0, 0.5, 2 * STATE).astype(f),
+            "bias": np.full(1, -3, f), "base": np.full(1, -1, f),
         }
         for side in "fb":
             self.p["w" + side] = rng.normal(0, inputs**-0.5, (inputs, 3 * STATE)).astype(f)
@@ -77,9 +98,10 @@ class Recurrent:
         """The step inputs of distinct words."""
         import numpy as np
 
-        word, code, starts, size = encoded
+        word, code, starts, size, stem, begins, many = encoded
         chars = np.add.reduceat(self.p["chars"][code], starts) / size[:, None].astype(np.float32)
-        return np.concatenate([self.p["words"][word], chars], axis=1)
+        stems = np.add.reduceat(self.p["stems"][stem], begins) / many[:, None].astype(np.float32)
+        return np.concatenate([self.p["words"][word], chars, stems], axis=1)
 
     def gates(self, x):
         """Both directions' input projections, (words x 6 states)."""
@@ -113,16 +135,28 @@ class Recurrent:
         logit = pooled @ self.p["out"] + self.p["bias"][0]
         return (logit, (h_all, kept, a, pooled)) if keep else logit
 
-    def gradients(self, encoded, index, mask, y, weight):
-        """Loss and gradients of the windows' weighted log loss."""
+    def pool(self, logit, doc, n: int):
+        """Logits of n documents: the base and the evidence of all their windows."""
+        import numpy as np
+
+        return self.p["base"][0] + np.bincount(doc, _softplus(logit.astype(float)), n)
+
+    def gradients(self, encoded, index, mask, y, weight, doc=None, rest=0.0):
+        """Loss and gradients of the weighted log loss: of windows, or of documents with `doc` naming each window's.
+
+        `rest` is the evidence of the documents' windows that are not among these.
+        """
         import numpy as np
 
         x = self.inputs(encoded)
         gates = self.gates(x)
         logit, (h_all, kept, a, pooled) = self.run(gates, index, mask, keep=True)
-        prob = _sigmoid(logit)
-        d = ((prob - y) * weight).astype(np.float32)
         grad = {k: np.zeros_like(q) for k, q in self.p.items()}
+        total_logit = logit if doc is None else self.pool(logit, doc, len(y)) + rest
+        d = ((_sigmoid(total_logit) - y) * weight).astype(np.float32)
+        if doc is not None:
+            grad["base"] = d.sum(keepdims=True)
+            d = (d[doc] * _sigmoid(logit)).astype(np.float32)
         grad["out"], grad["bias"] = pooled.T @ d, d.sum(keepdims=True)
         d_pool = d[:, None] * self.p["out"]
         d_a = np.einsum("nk,tnk->tn", d_pool, h_all)
@@ -132,7 +166,7 @@ class Recurrent:
         d_gates = np.zeros_like(gates)
         steps = index.shape[1]
         for side, lo in (("f", 0), ("b", STATE)):
-            u, at, back = self.p["u" + side], 3 * lo, np.zeros((len(y), STATE), np.float32)
+            u, at, back = self.p["u" + side], 3 * lo, np.zeros((len(index), STATE), np.float32)
             for t in range(steps - 1, -1, -1) if side == "f" else range(steps):
                 before, z, g, c, rc = kept[side, t]
                 total = (back + d_h[t, :, lo : lo + STATE]) * mask[:, t, None]
@@ -148,10 +182,12 @@ class Recurrent:
             dg = d_gates[:, at : at + 3 * STATE]
             grad["w" + side], grad["c" + side] = x.T @ dg, dg.sum(axis=0)
             d_x += dg @ self.p["w" + side].T
-        word, code, _, size = encoded
-        np.add.at(grad["words"], word, d_x[:, :WORD_DIM])
-        np.add.at(grad["chars"], code, np.repeat(d_x[:, WORD_DIM:] / size[:, None].astype(np.float32), size, axis=0))
-        loss = (np.logaddexp(0, np.where(y > 0.5, -logit, logit)) * weight).sum()
+        word, code, _, size, stem, _, many = encoded
+        d_word, d_chars, d_stems = np.split(d_x, [WORD_DIM, WORD_DIM + CHAR_DIM], axis=1)
+        np.add.at(grad["words"], word, d_word)
+        np.add.at(grad["chars"], code, np.repeat(d_chars / size[:, None].astype(np.float32), size, axis=0))
+        np.add.at(grad["stems"], stem, np.repeat(d_stems / many[:, None].astype(np.float32), many, axis=0))
+        loss = (np.logaddexp(0, np.where(y > 0.5, -total_logit, total_logit)) * weight).sum()
         return float(loss), grad
 
 
@@ -195,15 +231,13 @@ class Scorer:
         of = self.place.__getitem__
         index, mask, doc = _window_arrays([list(map(of, d)) for d in many])
         logit = np.concatenate([self.model.run(gates, index[k : k + CHUNK], mask[k : k + CHUNK]) for k in range(0, len(index), CHUNK)])
-        best = np.full(len(texts), -np.inf, np.float32)
-        np.maximum.at(best, doc, logit)
-        return best
+        return self.model.pool(logit, doc, len(texts))
 
     def score(self, texts):
         import numpy as np
 
-        best = self.logits(texts).astype(float)
-        return 1 / (1 + np.exp(-np.clip(self.model.slope * best + self.model.shift, -60, 60)))
+        logit = np.clip(self.logits(texts), -30, 30)
+        return 1 / (1 + np.exp(-np.clip(self.model.slope * logit + self.model.shift, -60, 60)))
 
 
 def train(texts: list[str | None], labels, prior: float, rounds: int = 8, seed: int = 3) -> Recurrent:
@@ -223,53 +257,82 @@ def train(texts: list[str | None], labels, prior: float, rounds: int = 8, seed:
     docs = [[number.setdefault(w, len(number)) for w in d] for d in many]
     distinct = list(number) or [b"x"]
     index, mask, doc = _window_arrays(docs)
-    # First choice of windows: word log odds between the labels (documents, not windows, are counted).
-    seen = np.ones((2, len(distinct)))
-    for d, label in zip(docs, y):
-        if d:
-            seen[int(label), np.unique(d)] += 1
-    odds = np.log(seen[1] / (y == 1).sum()) - np.log(seen[0] / (y == 0).sum())
-    rank = np.where(mask, odds[index], -1e9).max(axis=1)
+    # Log odds between the labels (documents of the training part are counted) start the embeddings and choose windows.
+    word, _, _, _, stem, _, many_stems = encode_words(distinct)
+    seen_words, seen_stems = np.zeros((2, WORDS)), np.zeros((2, STEMS))
+    at = np.cumsum(many_stems) - many_stems
+    for k in np.flatnonzero(~held):
+        of = np.unique(np.array(docs[k], np.int64))
+        if len(of):
+            seen_words[int(y[k]), np.unique(word[of])] += 1
+            seen_stems[int(y[k]), np.unique(np.concatenate([stem[at[i] : at[i] + many_stems[i]] for i in of]))] += 1
+    fixed = {}
+    total = np.maximum([(y[~held] == 0).sum(), (y[~held] == 1).sum()], 1)[:, None]
+    for name, seen in (("words", seen_words), ("stems", seen_stems)):
+        expect = total / total.sum() * SMOOTH
+        odds = np.log((seen + expect) / (total + expect))
+        odds = odds[1] - odds[0]
+        fixed[name] = seen.sum(axis=0) < RARE
+        model.p[name][fixed[name]] = 0  # too rare to learn from, as are words never seen
+        model.p[name][:, 0] = np.where(fixed[name], 0, odds)
+    best_stem = np.maximum.reduceat(model.p["stems"][stem, 0], at)
+    rank = np.where(mask, np.maximum(model.p["words"][word, 0], best_stem)[index], -1e9).max(axis=1)
+    evidence = np.zeros(len(doc))
     state = {k: (np.zeros_like(q), np.zeros_like(q)) for k, q in model.p.items()}
-    t, encoded = 0, None
-    for r in range(rounds):
-        if r > 1:
+    t, size = 0, np.bincount(doc, minlength=len(y))
+    starts = np.cumsum(size) - size
+    least, best = np.inf, None
+    for r in range(rounds + 1):
+        if r > 0:
             rank = _all_logits(model, distinct, index, mask)
-        rank = rank + rng.normal(0, 1e-3, len(rank))
-        by = np.lexsort([-rank, doc])
-        first = by[np.r_[True, doc[by][1:] != doc[by][:-1]]]  # each document's most telling window
-        extra = rng.integers(0, len(doc), 2 * len(first))
-        extra = extra[y[doc[extra]] == 0]  # clean documents: any window is clean
-        use = np.unique(np.r_[first, extra])
-        use = use[~held[doc[use]]]
-        rng.shuffle(use)
-        steps = range(0, len(use), 256)
-        for k in steps:
-            rows = use[k : k + 256]
+            evidence = _softplus(rank.astype(float))
+            z = np.clip(model.pool(rank, doc, len(y)), -30, 30)
+            loss, *line = _calibration(z[held], y[held])
+            if loss < least:  # the round that does best on the held fifth is kept
+                least, best = loss, ({k: q.copy() for k, q in model.p.items()}, *line)
+        if r == rounds:
+            break
+        by = np.lexsort([-(rank + rng.normal(0, 1e-3, len(rank))), doc])
+        place = np.empty(len(doc), np.int64)  # of a window in its document, the most telling first
+        place[by] = np.arange(len(doc)) - starts[doc[by]]
+        use = place < TELLING
+        use[starts + rng.integers(0, size)] = True
+        rest = np.bincount(doc, np.where(use, 0, evidence), len(y))
+        some = np.flatnonzero(~held)
+        rng.shuffle(some)
+        for k in range(0, len(some), DOCS):
+            batch = some[k : k + DOCS]
+            rows = np.concatenate([starts[d] + np.flatnonzero(use[starts[d] : starts[d] + size[d]]) for d in batch])
+            own = np.repeat(np.arange(len(batch)), [use[starts[d] : starts[d] + size[d]].sum() for d in batch])
             local, back = np.unique(index[rows], return_inverse=True)
             encoded = encode_words([distinct[i] for i in local])
-            target = y[doc[rows]]
-            weight = np.full(len(rows), 1 / len(rows))
-            _, grad = model.gradients(encoded, back.reshape(len(rows), -1), mask[rows], target, weight)
+            weight = np.full(len(batch), 1 / len(batch))
+            _, grad = model.gradients(encoded, back.reshape(len(rows), -1), mask[rows], y[batch], weight, own, rest[batch])
             t += 1
             rate = 0.012 * (1 - 0.85 * r / rounds)
             for name, g in grad.items():
+                if name in fixed:
+                    g[fixed[name]] = 0
                 m, v = state[name]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 model.p[name] -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    logit = np.full(len(y), -np.inf)
-    np.maximum.at(logit, doc, _all_logits(model, distinct, index, mask))
-    # Calibrate on the held fifth, then move from the sample's share of label 1 to the prior.
-    z, target = np.clip(logit[held], -30, 30), y[held]
-    if len(target) > 20 and 0 < target.mean() < 1:
-        model.slope, model.shift = _platt(z, target)
+    # Calibrated on the held fifth; then from the sample's share of label 1 to the prior.
+    model.p, model.slope, model.shift = best
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     prior = np.clip(prior, 1e-3, 1 - 1e-3)
     model.shift += float(np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
     return model
 
 
+def _calibration(z, y):
+    """Log loss after calibration, slope and shift; without both labels slope 1."""
+    import numpy as np
+
+    slope, shift = _platt(z, y) if len(y) > 20 and 0 < y.mean() < 1 else (1.0, 0.0)
+    return _softplus(np.where(y > 0.5, -1, 1) * (slope * z + shift)).sum(), slope, shift
+
+
 def _platt(z, y):
     """Slope and shift of a logistic curve, by Newton's method with a weak prior on slope 1."""
     import numpy as np

@@ -69,6 +69,16 @@ def test_held_out_labels_are_not_used(spark):
         assert np.allclose([r.score for r in a], [r.score for r in b], atol=1e-6)
 
 
+def test_signs_spread_over_a_text_add_up():
+    rng = random.Random(5)
+    rows = [(prose(rng, 60) + (" zorrax " if k % 2 else " ") + prose(rng, 60), k % 2) for k in range(200)]
+    model = toxicity.train([t for t, _ in rows], [y for _, y in rows], 0.5)
+    plain = prose(rng, 64)
+    marked = " ".join("zorrax" if k == 20 else w for k, w in enumerate(plain.split()))
+    one, four = toxicity.Scorer(model).logits([" ".join([marked] + [plain] * 3), " ".join([marked] * 4)])
+    assert four > one + 1
+
+
 def test_windows_cover_whole_texts():
     for n in range(0, 300):
         spans = toxicity.windows_of(n)
