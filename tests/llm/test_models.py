@@ -30,14 +30,13 @@ def test_quality_on_held_out_rows(spark):
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     accuracy = held_out_accuracy(spark, toxicity.toxicity_scores(spark, docs, labels), "toxic")
-    # 350 toxic rows to learn from, a third of them in languages with few: see the README.
-    assert accuracy[0] > 0.93 and accuracy[1] > 0.65 and accuracy[2] > 0.95
+    assert min(accuracy) > 0.9
 
 
 @pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables")
 def test_toxicity_on_held_out_rows_with_enough_labels(spark):
     labels = spark.read.parquet(f"{LARGER}/labels.parquet")
-    docs = spark.read.parquet(f"{LARGER}/documents.parquet").join(labels.select("doc_id").where("doc_id % 2 = 0"), "doc_id", "left_semi")
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
     accuracy = held_out_accuracy(spark, toxicity.toxicity_scores(spark, docs, labels), "toxic", LARGER)
     assert min(accuracy) > 0.95
 
