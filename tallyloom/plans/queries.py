@@ -133,6 +133,11 @@ def slugify(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.slug(F.split_part("text", F.lit("\n"), F.lit(1))).alias("slug"))
 
 
+@query("""SELECT doc_id, regexp_replace(regexp_replace(lower(replace(replace(strip_accents(text), 'đ', 'd'), 'Đ', 'D')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents""")
+def slugify_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
+
+
 @query("""SELECT p_partkey, 'https://www.google.com/search?q=' || replace(replace(replace(replace(replace(url_encode(p_name || ' (a''b)!~*'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') AS url FROM part""")
 def search_url(spark, sf):
     name = F.concat("p_name", F.lit(" (a'b)!~*"))
