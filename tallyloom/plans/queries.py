@@ -199,6 +199,17 @@ def clipboard_summary(spark, sf):
     return built.select("page_id", F.regexp_replace(reports.summary("en"), r"(?s)\nSOURCES:.*$", "").alias("head"))
 
 
+@query(_REPORT + """SELECT page_id, 'COMPANY: ' || name || chr(10) || 'Country: ' || country || chr(10) || 'Industry: Đang chờ phân loại' || chr(10) || 'Confidence: ' || CASE WHEN linked THEN 91 ELSE 84 END || '/100' || chr(10)
+|| 'Website: ' || domain || chr(10) || 'VERIFIED BUSINESS CHANNELS:' || CASE WHEN linked THEN chr(10) || '• Website tham chiếu: ' || domain ELSE '' END || chr(10) || 'SOURCES:' || chr(10)
+|| CASE WHEN linked THEN '• Link bạn đã cung cấp: ' || url ELSE '• Candidate website: https://' || domain END || chr(10)
+|| '• Search discovery: https://www.google.com/search?q=' || replace(replace(replace(replace(replace(url_encode(name), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') || chr(10)
+|| 'Snapshot: Vừa xong · stored until 30/7/1996' AS summary FROM r JOIN pages USING (page_id)""")
+def clipboard_summary_whole(spark, sf):
+    good, _ = reports.split_requests(reports.clean_requests(_requests(spark, sf)))
+    built = reports.build_reports(good, F.lit(AS_OF).cast("timestamp"))
+    return built.select("page_id", reports.summary("en").alias("summary"))
+
+
 @query(_REPORT + """SELECT page_id, unnest(CASE WHEN linked THEN ['website:true', 'linkedin:false', 'email:false'] ELSE ['website:false', 'linkedin:false', 'email:false'] END) AS contact FROM r""")
 def contact_rows(spark, sf):
     good, _ = reports.split_requests(reports.clean_requests(_requests(spark, sf)))

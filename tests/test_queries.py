@@ -48,6 +48,15 @@ def test_slugs_of_whole_texts(spark):
             assert slugs[i] == "-".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_whole_summaries_end_with_sources_and_snapshot(spark):
+    rows = plans.QUERIES["clipboard_summary_whole"](spark, SF).collect()
+    assert rows
+    for r in rows:
+        *_, heading, website, search, snapshot = r.summary.split("\n")
+        assert heading == "SOURCES:" and "://" in website and "/search?q=" in search and snapshot.startswith("Snapshot: ")
+
+
 def test_every_query_has_sql():
     assert plans.QUERIES.keys() == plans.ORACLE_SQL.keys()
 
