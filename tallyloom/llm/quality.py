@@ -29,7 +29,7 @@ _SHAPE = [(re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() else "Aa" i
 
 
 def _buckets(token: str) -> tuple[int, int]:
-    shape = token[:64]
+    shape = token
     for pattern, to in _SHAPE:
         shape = pattern.sub(to, shape)
     shape = _RUN.sub(r"\1", shape)

@@ -78,6 +78,11 @@ def test_signs_spread_over_a_text_add_up():
     assert four > one + 1
 
 
+def test_shapes_are_of_whole_tokens():
+    shape = lambda token: quality._buckets(token)[1]
+    assert shape("漢" * 100 + "!42") == shape("漢!42") != shape("漢" * 100)
+
+
 def test_windows_cover_whole_texts():
     for n in range(0, 300):
         spans = toxicity.windows_of(n)
