@@ -180,3 +180,10 @@ def test_url_filters(spark):
 def test_unique_rows_only():
     rows = unique(documents())
     assert len({i for i, _ in rows}) == len(rows)
+
+
+def test_register_gate_misses_far_less_than_the_bands():
+    from math import comb
+
+    need = int(np.ceil(minhash.least_alike(0.8, 96) * 96))
+    assert sum(comb(96, k) * 0.8**k * 0.2 ** (96 - k) for k in range(need)) < 3.2e-8
