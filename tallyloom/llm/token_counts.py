@@ -9,6 +9,7 @@ leaf boundary, and puts the new leaves into the tree, updating the sums on the w
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,20 +18,27 @@ from tallyloom.llm.common import materialize, narrow, with_uid
 from tallyloom.llm.tokens import default_tokenizer, encoder
 
 LEAF = 32
-_compiled = None
+@lru_cache(maxsize=8)
+def _compiled(added: str | None):
+    import regex
 
-
-def _pattern():
-    """The tokenizer's pre-token pattern; its white space has no U+001C to U+001F, that of `regex` has."""
-    global _compiled
-    if _compiled is None:
-        import regex
-
-        space = r"[^\S\x1c-\x1f]"
-        _compiled = regex.compile(
+    space = r"[^\S\x1c-\x1f]"
+    if added is None:
+        return regex.compile(
             rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?(?:(?!{space})[^\p{{L}}\p{{N}}])+|{space}+(?!(?!{space})[\s\S])|{space}+"
         )
-    return _compiled
+    own = rf"(?!{added})"  # no other pre-token reaches into an added token, and text before one ends there
+    return regex.compile(
+        rf"{added}|(?:{own}')(?:s|t|re|ve|m|ll|d)| ?(?:{own}\p{{L}})+| ?(?:{own}\p{{N}})+| ?(?:{own}(?!{space})[^\p{{L}}\p{{N}}])+"
+        rf"|(?:{own}{space})+(?:(?={added})|(?!(?!{space})[\s\S]))|(?:{own}{space})+"
+    )
+
+
+def _pattern(text: str, enc):
+    """The tokenizer's pre-token pattern; its white space has no U+001C to U+001F, that of `regex` has.
+
+    The plain one is faster; both agree on texts without added tokens."""
+    return _compiled(f"(?:{enc.added.pattern})" if enc.has_added(text) else None)
 
 
 class SumTree:
@@ -109,7 +117,7 @@ def leaves_of(text: str, enc, leaf: int = LEAF) -> list[tuple[int, int]]:
     """(characters, tokens) of each run of `leaf` pre-tokens of a whole text."""
     import numpy as np
 
-    parts = _pattern().findall(text)
+    parts = _pattern(text, enc).findall(text)
     if not parts:
         return []
     starts = np.arange(0, len(parts), leaf)
@@ -130,16 +138,17 @@ class CountedText:
         at = min(max(at, 0), len(old))
         delete = min(max(delete, 0), len(old) - at)
         self.text, moved = old[:at] + insert + old[at + delete :], len(insert) - delete
-        # Where a pre-token ends depends on two characters behind its end at most.
-        first, start = tree.locate(max(at - 3, 0))
-        while start > max(at - 3, 0):
+        # Where a pre-token ends depends on two characters behind its end at most, or on an added token there.
+        context = max(at - max(3, self.enc.longest_added + 1), 0)
+        first, start = tree.locate(context)
+        while start > context:
             first -= 1
             start = tree.start_of(first)
         last, low = tree.locate(at + delete)
         last = max(first, last)
         place = tree.start_of(last) + tree.sums[tree.size + last][0]  # the old end of slot `last`
         fresh, chars, tokens, n, end = [], 0, 0, 0, start
-        for m in _pattern().finditer(self.text, start):
+        for m in _pattern(self.text, self.enc).finditer(self.text, start):
             end, n = m.end(), n + 1
             chars += end - m.start()
             tokens += len(self.enc.plain[m[0]]) // 4

@@ -1,8 +1,9 @@
 """Whole-text token ids of a public byte-level BPE tokenizer, packed as little-endian uint32.
 
-The ids are those of tokenizers.Tokenizer.encode. Its pre-tokenizer never joins a
-non-space character to white space that follows, so a text is cut into units before single
-spaces and each distinct unit is encoded once per worker; units repeat a lot.
+The ids are those of tokenizers.Tokenizer.encode(text, add_special_tokens=False). Its pre-tokenizer
+never joins a non-space character to white space that follows, so a text is cut into units before
+single spaces and each distinct unit is encoded once per worker; units repeat a lot. A text
+that holds the string of an added token (which the library cuts out first) is encoded whole.
 """
 
 from __future__ import annotations
@@ -68,13 +69,21 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.longest_added = max(map(len, added), default=0)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.plain, self.spaced = _Units(self, ""), _Units(self, " ")
 
+    def has_added(self, text: str) -> bool:
+        return self.added is not None and self.added.search(text) is not None
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.has_added(text):
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(found)}I", *found)
         if _RUNS.search(text):
             return b"".join(map(self.plain.__getitem__, _UNITS.findall(text)))
         head, *rest = text.split(" ")

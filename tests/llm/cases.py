@@ -13,7 +13,7 @@ def prose(rng, n):
 def documents(seed=1):
     rng = random.Random(seed)
     base = [prose(rng, rng.randint(20, 200)) for _ in range(20)]
-    texts = [None, None, "", " ", "one", "two words", "é漢字 \u0000 x", "\n\t a\u001cb  c \n"]
+    texts = [None, None, "", " ", "one", "two words", "é漢字 \u0000 x", "x <|endoftext|> y", "\n\t a\u001cb  c \n"]
     texts += base + base[:5] + [base[0].replace(" ", "\n\t")]
     for t in base[5:12]:  # near copies
         w = t.split()
