@@ -4,7 +4,7 @@ A document is cut into full sequences and a tail shorter than one. How the tails
 sequences is decided on the histogram of their lengths alone (at most capacity - 1
 numbers): column generation solves the linear program over patterns, a knapsack dynamic
 program prices new patterns. Rounded-down patterns are dealt to the tails by rank within
-their length; what rounding leaves is packed by subset sums.
+their length; what rounding leaves is packed by best-fit decreasing.
 """
 
 from __future__ import annotations
@@ -21,114 +21,186 @@ from tallyloom.llm.tokens import default_tokenizer, encoder
 
 #: Rows numbered in one window group; bounds a task of the ranking.
 BLOCK = 65_536
+#: Rows of the linear program; patterns priced at a time.
+ROWS, COLUMNS = 1024, 64
+#: Rows of the slot table up to which it is broadcast.
+SLOTS = 200_000
 
 
 def knapsack(duals, capacity: int):
-    """The pattern (length -> times) of greatest value; duals[l] is the value of length l."""
+    """best[c]: the greatest value within c, duals[l] being the value of length l; take[c]: the last length of it."""
     import numpy as np
 
     best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    gain = duals[1 : capacity + 1]
+    back, gain = np.zeros(capacity + 1), np.ascontiguousarray(duals[1 : capacity + 1])  # back is best, reversed
     for c in range(1, capacity + 1):
-        value = best[c - 1 :: -1][:c] + gain[:c]
+        value = back[capacity + 1 - c :] + gain[:c]
         l = int(value.argmax())
         best[c], take[c] = value[l], l + 1
-    pattern, c = Counter(), capacity
-    while c > 0 and best[c] > 1e-12:
-        if duals[take[c]] > 0:
-            pattern[int(take[c])] += 1
-        c -= int(take[c])
-    return pattern, float(best[capacity])
+        back[capacity - c] = value[l]
+    return best, take
 
 
-def column_generation(demand: dict[int, int], capacity: int, gap: float = 0.0005, rounds: int = 3000) -> list[tuple[dict[int, int], float]]:
-    """Patterns and how often each is used (fractions), least sequences in all, within the gap.
+def patterns_from(best, take, duals, capacity: int) -> list[dict[int, int]]:
+    """For each length the best pattern that holds it, if its value is over one sequence; the most valuable first."""
+    import numpy as np
+
+    lengths = np.arange(1, capacity + 1)
+    value = duals[lengths] + best[capacity - lengths]
+    out = []
+    for l in lengths[np.argsort(-value, kind="stable")].tolist():
+        if duals[l] <= 0 or value[l - 1] <= 1 + 1e-7 or len(out) >= COLUMNS:
+            continue
+        pattern, c = Counter([l]), capacity - l
+        while c > 0:
+            if duals[take[c]] > 0:
+                pattern[int(take[c])] += 1
+            c -= int(take[c])
+        out.append(dict(pattern))
+    return out
+
+
+def best_fit(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best-fit decreasing on the histogram: sequences with one pattern are handled together."""
+    from bisect import bisect_left, insort
+
+    room: list[int] = []  # the rooms of open sequences, ascending
+    open_: dict[int, list[tuple[dict[int, int], int]]] = {}
+
+    def put(pattern: dict[int, int], n: int, left: int) -> None:
+        if left not in open_:
+            open_[left] = []
+            insort(room, left)
+        open_[left].append((pattern, n))
+
+    for l in sorted(demand, reverse=True):
+        n = demand[l]
+        while n > 0:
+            k = bisect_left(room, l)
+            if k == len(room):  # none fits: new ones, each with as many as go in
+                each = min(n, capacity // l)
+                put({l: each}, n // each, capacity - each * l)
+                n %= each
+                continue
+            left = room[k]
+            pattern, m = open_[left].pop()
+            each = min(left // l, n)
+            use = min(m, n // each)
+            if m > use:
+                open_[left].append((pattern, m - use))
+            if not open_[left]:
+                del open_[left]
+                room.pop(k)
+            put(pattern | {l: pattern.get(l, 0) + each}, use, left - each * l)
+            n -= use * each
+    return [x for some in open_.values() for x in some]
+
 
-    Revised simplex with an explicit inverse; demand has one row per length.
+def column_generation(demand: dict[int, int], capacity: int, gap: float = 0.0005) -> list[tuple[dict[int, int], float]]:
+    """Patterns and how often each is used (fractions): the linear program's least number of sequences, within the gap.
+
+    Revised simplex over a pool of patterns that starts with best-fit decreasing's; where no pattern of the pool
+    improves, the knapsack prices new ones, several at a time. It ends at the optimum or where the dual
+    bound (no set of patterns needs fewer sequences) is within the gap; demands are moved by a
+    millionth, so that no pivot is degenerate and the simplex cannot cycle. One row per length: the inverse has lengths squared
+    numbers, so above ROWS lengths they are rounded up to classes first.
     """
     import numpy as np
 
     lengths = sorted(demand)
     if not lengths:
         return []
-    m, row = len(lengths), {l: k for k, l in enumerate(lengths)}
+    m = len(lengths)
+    row = np.zeros(capacity + 1, np.int64)
+    row[lengths] = np.arange(m)
     d = np.array([demand[l] for l in lengths], float)
-    patterns: list[dict[int, int]] = [{l: capacity // l} for l in lengths]
+    moved = d * (1 + 1e-6 * np.random.default_rng(5).random(m))
     inverse = np.diag([1.0 / (capacity // l) for l in lengths])
-    x, basis = inverse @ d, list(range(m))
-    volume = sum(l * n for l, n in demand.items()) / capacity
-    bound, duals = volume, np.zeros(capacity + 1)
-    for _ in range(rounds):
-        y = inverse.sum(axis=0)  # every pattern costs one sequence
-        duals[:] = 0
-        duals[lengths] = y
-        pattern, value = knapsack(np.maximum(duals, 0), capacity)
-        bound = max(bound, float(y @ d) / value) if value > 0 else bound
-        if value <= 1 + 1e-9 or x.sum() <= bound * (1 + gap):
+    x, y = inverse @ moved, inverse.sum(axis=0)  # every pattern costs one sequence
+    pool = [{l: capacity // l} for l in lengths] + [p for p, _ in best_fit(demand, capacity)]
+    basis, known = np.arange(m), {tuple(sorted(p.items())) for p in pool}
+    at, times, first = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def grow(new: list[dict[int, int]]) -> None:
+        nonlocal at, times, first
+        first = np.concatenate([first, len(at) + np.cumsum([0] + [len(p) for p in new[:-1]])]).astype(np.int64)
+        at = np.concatenate([at, row[[l for p in new for l in p]]])
+        times = np.concatenate([times, [float(n) for p in new for n in p.values()]])
+
+    grow(pool)
+    bound = sum(l * n for l, n in demand.items()) / capacity
+    while x.sum() > bound * (1 + gap):
+        value = np.add.reduceat(y[at] * times, first)
+        enter = int(value.argmax())
+        if value[enter] > 1 + 1e-7:
+            here = slice(first[enter], first[enter + 1] if enter + 1 < len(first) else None)
+            step = inverse[:, at[here]] @ times[here]
+            ratio = np.full(m, np.inf)
+            np.divide(x, step, out=ratio, where=step > 1e-9)
+            out = int(ratio.argmin())
+            theta, pivot = ratio[out], inverse[out] / step[out]
+            x = np.maximum(x - theta * step, 0)
+            x[out] = theta
+            y = y - (value[enter] - 1) * pivot
+            some = np.flatnonzero(np.abs(step) > 1e-12)
+            some = some[some != out]
+            inverse[some] -= step[some, None] * pivot
+            inverse[out] = pivot
+            basis[out] = enter
+            continue
+        duals = np.zeros(capacity + 1)
+        duals[lengths] = np.maximum(y, 0)
+        best, take = knapsack(duals, capacity)
+        if best[capacity] <= 1 + 1e-7:
             break
-        column = np.zeros(m)
-        for l, n in pattern.items():
-            column[row[l]] = n
-        step = inverse @ column
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(step > 1e-9, x / step, np.inf)
-        out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
+        bound = max(bound, float(duals[lengths] @ d) / best[capacity])
+        new = [p for p in patterns_from(best, take, duals, capacity) if tuple(sorted(p.items())) not in known]
+        if not new:
             break
-        theta = ratio[out]
-        x = np.maximum(x - theta * step, 0)
-        x[out] = theta
-        pivot = inverse[out] / step[out]
-        step[out] = 0
-        inverse -= np.outer(step, pivot)
-        inverse[out] = pivot
-        patterns.append(dict(pattern))
-        basis[out] = len(patterns) - 1
-    return [(patterns[b], float(v)) for b, v in zip(basis, x) if v > 1e-9]
+        known.update(tuple(sorted(p.items())) for p in new)
+        pool += new
+        grow(new)
+    return [(pool[b], float(v)) for b, v in zip(basis, x) if v > 1e-6]
 
 
 def padding(total: int, capacity: int) -> int:
     return 0 if total & (total - 1) == 0 else capacity - total
 
 
-def subset_sums(left: Counter, capacity: int) -> list[dict[int, int]]:
-    """Pack what is left: the longest piece, then the set of others with the least padding."""
-    out = []
-    while left:
-        first = max(left)
-        left -= Counter([first])
-        room, reach, layers = capacity - first, 1, []
-        full = (1 << (room + 1)) - 1
-        for l in sorted(left, reverse=True):
-            if l > room:
-                continue
-            for _ in range(min(left[l], room // l)):
-                layers.append((l, reach))
-                reach |= (reach << l) & full
-            if reach >> room & 1:
-                break
-        sums = [s for s in range(room + 1) if reach >> s & 1]
-        goal = min(sums, key=lambda s: (padding(first + s, capacity), -s))
-        chosen = Counter([first])
-        for l, before in reversed(layers):
-            if not before >> goal & 1:
-                chosen[l] += 1
-                goal -= l
-        left -= chosen - Counter([first])
-        out.append(dict(chosen))
-    return out
+def _loss(plan: list[tuple[dict[int, int], int]], capacity: int) -> int:
+    return sum(n * padding(sum(l * a for l, a in p.items()), capacity) for p, n in plan)
 
 
 def plan_tails(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """(pattern, times) that hold exactly the demand."""
-    plan, left = [], Counter(demand)
-    for pattern, times in column_generation(demand, capacity):
-        n = min([int(times + 1e-6), *(left[l] // a for l, a in pattern.items())])
-        if n > 0:
-            plan.append((pattern, n))
-            left -= Counter({l: a * n for l, a in pattern.items()})
-    rest = Counter(tuple(sorted(p.items())) for p in subset_sums(left, capacity))
-    return plan + [(dict(p), n) for p, n in rest.items()]
+    """(pattern, times) that hold exactly the demand.
+
+    The linear program's patterns are rounded down, what is left over is packed by best-fit decreasing; if best-fit decreasing
+    alone pads less, its plan is used.
+    """
+    plain, plan, left = best_fit(demand, capacity), [], Counter(demand)
+    unit = -(-len(demand) // ROWS)  # above ROWS lengths: classes of unit lengths, each as its longest
+    classes, real = Counter(), {}
+    for l in sorted(demand):
+        up = min(-(-l // unit) * unit, capacity)
+        classes[up] += demand[l]
+        real.setdefault(up, []).append(l)
+    for pattern, times in column_generation(classes, capacity):
+        n = min([int(times + 1e-3), *(sum(left[r] for r in real[l]) // a for l, a in pattern.items())])
+        while n > 0:  # the longest of each class first; as many sequences at a time as have the same lengths
+            chosen: Counter = Counter()
+            for l, a in pattern.items():
+                for r in reversed(real[l]):
+                    got = min(a, left[r])
+                    chosen[r] += got
+                    a -= got
+            chosen = +chosen
+            k = min([n, *(left[r] // a for r, a in chosen.items())])
+            plan.append((dict(chosen), k))
+            for r, a in chosen.items():
+                left[r] -= a * k
+            n -= k
+    plan += best_fit(+left, capacity)
+    return min(plan, plain, key=lambda p: _loss(p, capacity))
 
 
 def slots(plan: list[tuple[dict[int, int], int]]) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -145,6 +217,16 @@ def slots(plan: list[tuple[dict[int, int], int]]) -> tuple[list[tuple[int, int,
     return rows, sequence
 
 
+def by_rank(rows: list[tuple[int, int, int, int, int]], demand: dict[int, int]) -> list[tuple[int, ...]]:
+    """The slots with (step, near): each is listed under every multiple `near` of its length's step that it touches.
+
+    A length's step is its number of tails by its number of slots, so that the rows at most double and a
+    rank meets few slots."""
+    many = Counter(r[0] for r in rows)
+    step = {l: -(-demand[l] // n) for l, n in many.items()}
+    return [(l, step[l], k, r0, r1, s0, at) for l, r0, r1, s0, at in rows for k in range(r0 // step[l], (r1 - 1) // step[l] + 1)]
+
+
 def _pieces(path: str, end_id: int, capacity: int):
     """Per document: ids in all and the crc32 of each piece (full ones, then the tail)."""
 
@@ -182,6 +264,8 @@ def pack(
 
     Null and empty texts give one piece of the id end_id. Rows with null or repeated ids are
     packed like any other row. An empty table gives no pieces. Other columns are not read.
+    Very long texts are cut like any other, each full sequence in place; lengths that tie take the
+    slots in the order of the input's rows.
     The driver sees the length histogram and the slot table (both bounded by the capacity),
     never documents. Ranks are exact at any size: block counts are summed before each block,
     rows are numbered inside a block of at most BLOCK.
@@ -197,7 +281,9 @@ def pack(
     })
     demand = {r["tail"]: r["count"] for r in sized.where("tail > 0").groupBy("tail").count().collect()}
     rows, used = slots(plan_tails(demand, capacity))
-    table = spark.createDataFrame(rows, "tail long, r0 long, r1 long, s0 long, offset long")
+    table = spark.createDataFrame(by_rank(rows, demand), "tail long, step long, near long, r0 long, r1 long, s0 long, offset long")
+    steps = table.select("tail", "step").distinct()
+    table = F.broadcast(table) if len(rows) <= SLOTS else table
 
     # Full sequences come after the shared ones, in the order of (part, block, seq).
     in_block = Window.partitionBy("part", "block").orderBy("seq")
@@ -217,8 +303,9 @@ def pack(
     counts = counts.select("tail", "part", "block", (F.sum("size").over(order) - F.col("size")).alias("base"))
     inside = F.row_number().over(Window.partitionBy("tail", "part", "block").orderBy("seq")) - 1
     ranked = tails.withColumn("at", inside).join(counts, ["tail", "part", "block"]).withColumn("rank", F.col("base") + F.col("at"))
-    # The slot table has at most a few rows for each of capacity - 1 lengths.
-    placed = ranked.join(F.broadcast(table), "tail").where("rank >= r0 AND rank < r1")
+    # At most capacity - 1 lengths; a rank finds its slot among those that touch its step.
+    ranked = ranked.join(F.broadcast(steps), "tail").withColumn("near", F.floor(F.col("rank") / F.col("step")))
+    placed = ranked.join(table.drop("step"), ["tail", "near"]).where("rank >= r0 AND rank < r1")
     tail = placed.select(
         "doc_id", (F.col("doc_tokens") - F.col("tail")).alias("start"), F.col("tail").alias("length"),
         F.element_at("crcs", -1).alias("ids_crc32"), "doc_tokens",

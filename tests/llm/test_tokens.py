@@ -15,14 +15,15 @@ from tallyloom.llm.tokens import default_tokenizer, encoder
 
 PATH = default_tokenizer()
 PLAIN = Tokenizer.from_file(PATH)
-PLAIN.encode_special_tokens = True
 
 
 def ids_of(text):
     return PLAIN.encode(text or "", add_special_tokens=False).ids
 
 
-odd = st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t\r\x1c\x1f'sdlvemrtZa09.,!_éß×²漢\x85\xa0")), st.characters(exclude_categories=["Cs"])), max_size=40)
+pieces = st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t\r\x1c\x1f'sdlvemrtZa09.,!_éß×²漢\x85\xa0")), st.characters(exclude_categories=["Cs"])), max_size=40)
+#: Half of the texts hold the added token's string, or parts of it, next to anything.
+odd = st.one_of(pieces, st.lists(st.one_of(pieces, st.sampled_from(["<|endoftext|>", " <|endoftext|> ", "<|endof", "text|>", "<|", "|>"])), max_size=6).map("".join))
 
 
 @settings(max_examples=400, deadline=None)
@@ -41,6 +42,14 @@ def test_edited_counts_equal_encoding_anew(text, edits, leaf):
         assert doc.tree.tokens == len(ids_of(doc.text)) and doc.tree.chars == len(doc.text)
 
 
+def test_added_tokens_are_the_librarys():
+    text = "x <|endoftext|> y"
+    assert ids_of(text) == [87, 220, 50256, 331]
+    for t in (text, "<|endoftext|>", "<|endoftext|><|endoftext|>", "  <|endoftext|>", "<|endoftext|>  ", "\n<|endoftext|>\n a", "'<|endoftext|>'s"):
+        assert np.frombuffer(encoder(PATH).encode(t), "<u4").tolist() == ids_of(t)
+        assert sum(n for _, n in token_counts.leaves_of(t, encoder(PATH))) == len(ids_of(t))
+
+
 def test_an_edit_touches_little(spark):
     text = " ".join(f"word{k}" for k in range(20_000))
     enc = encoder(PATH)
