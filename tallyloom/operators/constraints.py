@@ -11,6 +11,12 @@ STATUSES = ("queued", "researching", "ready", "needs_review", "failed", "expired
 SOURCE_KINDS = ("website", "directory", "social", "news", "registry", "customer_input")
 LEDGER_TYPES = ("credit", "debit", "refund", "adjustment")
 ROLES = ("owner", "admin", "member", "viewer")
+DOMAINS = {"plan": PLANS, "status": STATUSES, "kind": SOURCE_KINDS, "type": LEDGER_TYPES, "role": ROLES}
+
+
+def in_domains(columns: dict[str, str]) -> dict[str, Column]:
+    """Checks for violations(): column -> the name of its domain."""
+    return {f"{c} in {d}": one_of(F.col(c), DOMAINS[d]) for c, d in columns.items()}
 
 
 def not_negative(value: Column) -> Column:

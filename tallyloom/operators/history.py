@@ -42,9 +42,52 @@ def schedule(jobs: DataFrame, start: Column, end: Column, every: Column) -> Data
     return jobs.withColumn("due", F.explode(F.sequence(start, end, F.make_dt_interval(every))))
 
 
+def mark_expired(rows: DataFrame, status: str, expires: str, as_of: Column) -> DataFrame:
+    """Rows past their expiry get the status "expired"; they stay."""
+    gone = F.coalesce(dates.is_expired(F.col(expires), as_of), F.lit(False))
+    return rows.withColumn(status, F.when(gone, "expired").otherwise(F.col(status)))
+
+
+def current(rows: DataFrame, status: str) -> DataFrame:
+    """What may be shown as current: no expired row."""
+    return rows.where(~F.col(status).eqNullSafe(F.lit("expired")))
+
+
+def setting_at(rows: DataFrame, settings: DataFrame, key: str, at: str, since: str, value: str) -> DataFrame:
+    """Each row with the setting of its key that held at its time, so that a later change binds new rows only.
+
+    settings: (key, since, value). Rows and settings of a key are merged by time in one window group, a
+    setting before the rows of the same moment; rows before the first setting get null.
+    """
+    both = rows.withColumns({"_at": F.col(at), "_row": F.lit(1), value: F.lit(None).cast(settings.schema[value].dataType)}).unionByName(
+        settings.select(key, F.col(since).alias("_at"), F.lit(0).alias("_row"), value), allowMissingColumns=True
+    )
+    before = Window.partitionBy(key).orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn(value, F.last(value, ignorenulls=True).over(before)).where("_row = 1").drop("_at", "_row")
+
+
 def candidates(left: DataFrame, right: DataFrame, block: str, name: str, key: str, most: int) -> DataFrame:
-    """Pairs of one block whose names are within `most` edits; each pair once, by key."""
-    a = left.select(block, F.col(name).alias("name_a"), F.col(key).alias("key_a"))
+    """Pairs of one block whose names are within `most` edits; each pair once, by key.
+
+    A name is cut into most + 1 pieces: of two names within `most` edits one has a piece that stands in the
+    other, moved by `most` places at most. Names are joined by block, length and such a piece, so that unlike names
+    of a large block do not meet.
+    """
+    n, k = F.length("name_b"), most + 1
+    cut = lambda i, size: F.floor(size * i / k).cast("int")
+    pieces = [F.struct(n.alias("size"), F.lit(i).alias("i"), F.substr("name_b", cut(i, n) + 1, cut(i + 1, n) - cut(i, n)).alias("piece")) for i in range(k)]
     b = right.select(block, F.col(name).alias("name_b"), F.col(key).alias("key_b"))
-    near = F.levenshtein("name_a", "name_b", most)
-    return a.join(b, block).where(F.col("key_a") < F.col("key_b")).withColumn("distance", near).where("distance >= 0")
+    b = b.select("*", F.inline(F.array(*pieces)))
+    probes = []
+    for d in range(-most, most + 1):
+        size = F.length("name_a") + d
+        for i in range(k):
+            for move in range(-most, most + 1):
+                start = cut(i, size) + move
+                ok = (size >= 0) & (start >= 0)
+                piece = F.substr("name_a", F.greatest(start, F.lit(0)) + 1, F.greatest(cut(i + 1, size) - cut(i, size), F.lit(0)))
+                probes.append(F.when(ok, F.struct(size.alias("size"), F.lit(i).alias("i"), piece.alias("piece"))))
+    a = left.select(block, F.col(name).alias("name_a"), F.col(key).alias("key_a"))
+    a = a.select("*", F.inline(F.array_distinct(F.filter(F.array(*probes), lambda p: p.isNotNull()))))
+    met = a.join(b, [block, "size", "i", "piece"]).where(F.col("key_a") < F.col("key_b")).drop("size", "i", "piece").distinct()
+    return met.withColumn("distance", F.levenshtein("name_a", "name_b", most)).where("distance >= 0")

@@ -29,6 +29,11 @@ def signed(kind: Column, amount: Column) -> Column:
     return F.when(kind == "debit", -amount).otherwise(amount)
 
 
+def is_credit_text(amount: Column) -> Column:
+    """Whether an amount as shown is a credit: it starts with a plus."""
+    return F.startswith(amount, F.lit("+"))
+
+
 def balances(entries: DataFrame, owner: str, kind: str, amount: str) -> DataFrame:
     return entries.groupBy(owner).agg(F.sum(signed(F.col(kind), F.col(amount))).alias("balance"))
 

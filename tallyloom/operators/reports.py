@@ -16,6 +16,12 @@ CONFIDENCE_WITH_URL, CONFIDENCE_WITHOUT = 91, 84
 SIGNALS_WITH_URL = ("Có link tham chiếu", "Cần chạy connector thật để xác minh")
 SIGNALS_WITHOUT = ("Tìm bằng tên công ty", "Nên bổ sung quốc gia để tăng độ chính xác")
 ACCENT = "#4F7CFF"
+JUST_NOW = "Vừa xong"
+NEW_CONTACTS = (("Website tham chiếu", "website"), ("LinkedIn công ty", "linkedin"), ("Email kinh doanh", "email"))
+NEW_CONTACT_SOURCES = ("Link người dùng cung cấp", "Candidate discovery", "Chưa có evidence")
+NEW_SOURCES = ("Link bạn đã cung cấp", "Candidate website", "Search discovery")
+LINKEDIN, SEARCH = "linkedin.com/company/", "https://www.google.com/search?q="
+PROGRESS = (12, 36, 68, 91)
 CREDITS_PER_REPORT = 5
 VERIFIED_CONFIDENCE = 80
 #: Labels of the summary, by locale.
@@ -96,6 +102,25 @@ def has_input(name: Column, url: Column) -> Column:
     return (F.coalesce(name, F.lit("")) != "") | (F.coalesce(url, F.lit("")) != "")
 
 
+def has_input_for(mode: Column, name: Column, url: Column) -> Column:
+    """The guard of one input mode, "name" or "url": only that field counts, white space does not."""
+    return text.js_trim(F.coalesce(F.when(mode == "name", name).otherwise(url), F.lit(""))) != ""
+
+
+def progress(step: Column) -> Column:
+    """Percent after a step of the research, from 0; null beyond the last."""
+    return F.get(F.array(*map(F.lit, PROGRESS)), step)
+
+
+def tint(accent: Column, alpha: str = "18") -> Column:
+    return F.concat(accent, F.lit(alpha))
+
+
+def nothing_found(rows: DataFrame) -> DataFrame:
+    """One row: whether there is none; reads no more than one."""
+    return rows.limit(1).agg((F.count(F.lit(1)) == 0).alias("empty"))
+
+
 def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests with a name or a URL, and the rejected ones."""
     ok = has_input(F.col("company_name"), F.col("source_url"))
@@ -110,21 +135,22 @@ def build_reports(requests: DataFrame, as_of: Column) -> DataFrame:
     }).withColumn("slug_", text.slug(F.col("name_")))
     domain = urls.domain_or_slug(url, F.col("slug_"))
     path = F.coalesce(blank_to_null(F.col("slug_")), F.lit("company"))
+    (website, linkedin, email), (given, candidate, none) = (label for label, _ in NEW_CONTACTS), NEW_CONTACT_SOURCES
     contact = lambda label, value, kind, verified, source: F.struct(
         F.lit(label).alias("label"), value.alias("value"), F.lit(kind).alias("type"), verified.alias("verified"), source.alias("source")
     )
     contacts = F.array(
-        contact("Website tham chiếu", domain, "website", has_url, F.when(has_url, "Link người dùng cung cấp").otherwise("Candidate discovery")),
-        contact("LinkedIn công ty", F.concat(F.lit("linkedin.com/company/"), path), "linkedin", F.lit(False), F.lit("Candidate discovery")),
-        contact("Email kinh doanh", F.lit(UNVERIFIED[0]), "email", F.lit(False), F.lit("Chưa có evidence")),
+        contact(website, domain, "website", has_url, F.when(has_url, given).otherwise(candidate)),
+        contact(linkedin, F.concat(F.lit(LINKEDIN), path), "linkedin", F.lit(False), F.lit(candidate)),
+        contact(email, F.lit(UNVERIFIED[0]), "email", F.lit(False), F.lit(none)),
     )
     source = lambda label, at, kind, verified: F.struct(
         label.alias("label"), at.alias("url"), F.lit(kind).alias("kind"), verified.alias("verified")
     )
     at = F.when(F.startswith(url, F.lit("http")), url).otherwise(F.concat(F.lit("https://"), domain))
     sources = F.array(
-        source(F.when(has_url, "Link bạn đã cung cấp").otherwise("Candidate website"), at, "website", has_url),
-        source(F.lit("Search discovery"), F.concat(F.lit("https://www.google.com/search?q="), text.encode_component(F.col("name_"))), "directory", F.lit(None).cast("boolean")),
+        source(F.when(has_url, NEW_SOURCES[0]).otherwise(NEW_SOURCES[1]), at, "website", has_url),
+        source(F.lit(NEW_SOURCES[2]), F.concat(F.lit(SEARCH), text.encode_component(F.col("name_"))), "directory", F.lit(None).cast("boolean")),
     )
     signals = F.when(has_url, F.array(*map(F.lit, SIGNALS_WITH_URL))).otherwise(F.array(*map(F.lit, SIGNALS_WITHOUT)))
     expires = dates.expiry_date(as_of)
@@ -133,7 +159,7 @@ def build_reports(requests: DataFrame, as_of: Column) -> DataFrame:
         "status": F.lit("ready"), "confidence": F.when(has_url, CONFIDENCE_WITH_URL).otherwise(CONFIDENCE_WITHOUT),
         "expires_at": dates.short_date(expires), "days_left": dates.days_left(expires, as_of.cast("date")), "industry": F.lit(PENDING_INDUSTRY),
         "website": domain, "country": F.coalesce(blank_to_null(F.col("country")), F.lit(UNKNOWN_COUNTRY)),
-        "last_updated": F.lit("Vừa xong"), "contacts": contacts, "sources": sources, "signals": signals,
+        "last_updated": F.lit(JUST_NOW), "contacts": contacts, "sources": sources, "signals": signals,
     }).withColumn("company_name", F.col("name_")).drop("name_", "slug_")
 
 
@@ -141,6 +167,11 @@ def newest(reports: DataFrame, order: list[Column], n: int = 4) -> DataFrame:
     return reports.orderBy(*order).limit(n)
 
 
+def newest_of(reports: DataFrame, tenant: str, value: object, order: list[Column], n: int = 4) -> DataFrame:
+    """One tenant's newest rows; the filter reaches the scan."""
+    return newest(reports.where(F.col(tenant) == value), order, n)
+
+
 def prepend(new: DataFrame, current: DataFrame, seq: str = "seq") -> DataFrame:
     """New rows before the current ones: seq 0 and 1 say which list a row is from."""
     return new.withColumn(seq, F.lit(0)).unionByName(current.withColumn(seq, F.lit(1)))

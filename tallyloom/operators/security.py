@@ -41,3 +41,21 @@ POLICIES = {
     ("source_evidence", "select"): "member", ("source_evidence", "all"): "member",
     ("credit_ledger", "select"): "member",
 }
+
+
+def visible(rows: DataFrame, table: str, command: str, members: DataFrame, user: object, key: str, creator: str = "created_by") -> DataFrame:
+    """The secured view of a table: rows that `command` by the user may touch. Without a policy none.
+
+    Policies of one command add up, those for "all" commands count for each; an administrator is a
+    member, so the widest of the rules decides.
+    """
+    rules = {POLICIES.get((table, command)), POLICIES.get((table, "all"))}
+    if "own" in rules:
+        return own_rows(rows, user, key)
+    if "member" in rules:
+        return member_rows(rows, members, user, key)
+    if "admin" in rules:
+        return admin_rows(rows, members, user, key)
+    if "insertable" in rules:
+        return insertable_rows(rows, members, user, key, creator)
+    return rows.where(F.lit(False))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import dates, text, urls
 from tallyloom.operators import changes, constraints, extract, history, ledger, reports, search, security
+from tallyloom.sources import samples
 from tallyloom.sources.tables import parse_requests, table, to_response
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +69,12 @@ def recent_top4(spark, sf):
     return reports.newest(table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), [F.desc("o_orderdate"), F.col("o_orderkey")])
 
 
+@query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_suppkey = 3 ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 4")
+def tenant_newest(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_suppkey")
+    return reports.newest_of(rows, "l_suppkey", 3, [F.desc("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")]).drop("l_suppkey")
+
+
 @query("SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey OFFSET 1")
 def skip_first(spark, sf):
     return table(spark, sf, "region").orderBy("r_regionkey").offset(1)
@@ -86,10 +93,14 @@ def confidence_tier(spark, sf):
     return table(spark, sf, "documents").select("doc_id", reports.confidence_tier(c).alias("tier"), reports.percent(c).alias("bar"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type IN ('email', 'phone', 'linkedin', 'whatsapp') THEN event_type ELSE 'globe' END AS contact_icon,
-CASE event_type WHEN 'social' THEN 'social' WHEN 'news' THEN 'news' ELSE 'globe' END AS source_icon FROM events""")
+_KINDS = ("email", "phone", "linkedin", "whatsapp", "website", "social", "news", "directory")
+
+
+@query("""WITH k AS (SELECT event_id, ['email', 'phone', 'linkedin', 'whatsapp', 'website', 'social', 'news', 'directory'][event_id % 8 + 1] AS kind FROM events)
+SELECT event_id, CASE WHEN kind IN ('email', 'phone', 'linkedin', 'whatsapp') THEN kind ELSE 'globe' END AS contact_icon,
+CASE kind WHEN 'social' THEN 'social' WHEN 'news' THEN 'news' ELSE 'globe' END AS source_icon FROM k""")
 def icons(spark, sf):
-    kind = F.col("event_type")
+    kind = F.get(F.array(*map(F.lit, _KINDS)), (F.col("event_id") % 8).cast("int"))
     return table(spark, sf, "events").select("event_id", reports.contact_icon(kind).alias("contact_icon"), reports.source_icon(kind).alias("source_icon"))
 
 
@@ -128,9 +139,9 @@ def title_and_initials(spark, sf):
     return table(spark, sf, "part").select("p_partkey", title.alias("title"), text.initials(title).alias("initials"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(lower(replace(replace(strip_accents(split_part(text, chr(10), 1)), 'đ', 'd'), 'Đ', 'D')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents""")
+@query("""SELECT doc_id, regexp_replace(regexp_replace(lower(replace(replace(strip_accents(text), 'đ', 'd'), 'Đ', 'D')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents""")
 def slugify(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.slug(F.split_part("text", F.lit("\n"), F.lit(1))).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
 @query("""SELECT doc_id, regexp_replace(regexp_replace(lower(replace(replace(strip_accents(text), 'đ', 'd'), 'Đ', 'D')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents""")
@@ -169,8 +180,8 @@ def _requests(spark, sf):
 
 @query("SELECT page_id, page_id % 3 <> 0 AS accepted FROM pages")
 def input_guard(spark, sf):
-    good, bad = reports.split_requests(reports.clean_requests(_requests(spark, sf)))
-    return good.select("page_id", F.lit(True).alias("accepted")).unionAll(bad.select("page_id", F.lit(False).alias("accepted")))
+    cleaned = reports.clean_requests(_requests(spark, sf))
+    return cleaned.select("page_id", reports.has_input(F.col("company_name"), F.col("source_url")).alias("accepted"))
 
 
 _REPORT = """WITH r AS (SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'Nova Đại ' || page_id
@@ -191,12 +202,15 @@ def build_report(spark, sf):
     )
 
 
-@query(_REPORT + """SELECT page_id, 'COMPANY: ' || name || chr(10) || 'Country: ' || country || chr(10) || 'Industry: Đang chờ phân loại' || chr(10) || 'Confidence: ' || CASE WHEN linked THEN 91 ELSE 84 END || '/100' || chr(10)
-|| 'Website: ' || domain || chr(10) || 'VERIFIED BUSINESS CHANNELS:' || CASE WHEN linked THEN chr(10) || '• Website tham chiếu: ' || domain ELSE '' END AS head FROM r""")
+@query(_REPORT + """SELECT page_id, 'CÔNG TY: ' || name || chr(10) || 'Quốc gia: ' || country || chr(10) || 'Ngành: Đang chờ phân loại' || chr(10) || 'Độ tin cậy: ' || CASE WHEN linked THEN 91 ELSE 84 END || '/100' || chr(10)
+|| 'Website: ' || domain || chr(10) || 'KÊNH KINH DOANH ĐÃ XÁC MINH:' || CASE WHEN linked THEN chr(10) || '• Website tham chiếu: ' || domain ELSE '' END || chr(10) || 'NGUỒN:' || chr(10)
+|| CASE WHEN linked THEN '• Link bạn đã cung cấp: ' || url ELSE '• Candidate website: https://' || domain END || chr(10)
+|| '• Search discovery: https://www.google.com/search?q=' || replace(replace(replace(replace(replace(url_encode(name), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') || chr(10)
+|| 'Snapshot: Vừa xong · lưu đến 30/7/1996' AS summary FROM r JOIN pages USING (page_id)""")
 def clipboard_summary(spark, sf):
     good, _ = reports.split_requests(reports.clean_requests(_requests(spark, sf)))
     built = reports.build_reports(good, F.lit(AS_OF).cast("timestamp"))
-    return built.select("page_id", F.regexp_replace(reports.summary("en"), r"(?s)\nSOURCES:.*$", "").alias("head"))
+    return built.select("page_id", reports.summary("vi").alias("summary"))
 
 
 @query(_REPORT + """SELECT page_id, 'COMPANY: ' || name || chr(10) || 'Country: ' || country || chr(10) || 'Industry: Đang chờ phân loại' || chr(10) || 'Confidence: ' || CASE WHEN linked THEN 91 ELSE 84 END || '/100' || chr(10)
@@ -217,6 +231,75 @@ def contact_rows(spark, sf):
     return rows.select("page_id", F.concat("c.type", F.lit(":"), F.col("c.verified").cast("string")).alias("contact"))
 
 
+_SLUG = "CASE WHEN linked THEN regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') ELSE 'nova-dai-' || page_id END"
+
+
+@query(_REPORT + f""", p AS (SELECT page_id, unnest([
+{{'part': 'contact', 'label': 'Website tham chiếu', 'value': domain, 'kind': 'website', 'verified': linked, 'copyable': true, 'source': CASE WHEN linked THEN 'Link người dùng cung cấp' ELSE 'Candidate discovery' END}},
+{{'part': 'contact', 'label': 'LinkedIn công ty', 'value': 'linkedin.com/company/' || {_SLUG}, 'kind': 'linkedin', 'verified': false, 'copyable': true, 'source': 'Candidate discovery'}},
+{{'part': 'contact', 'label': 'Email kinh doanh', 'value': 'Chưa xác minh', 'kind': 'email', 'verified': false, 'copyable': false, 'source': 'Chưa có evidence'}},
+{{'part': 'source', 'label': CASE WHEN linked THEN 'Link bạn đã cung cấp' ELSE 'Candidate website' END, 'value': CASE WHEN linked THEN url ELSE 'https://' || domain END, 'kind': 'website', 'verified': linked, 'copyable': NULL, 'source': NULL}},
+{{'part': 'source', 'label': 'Search discovery', 'value': 'https://www.google.com/search?q=' || url_encode(name), 'kind': 'directory', 'verified': NULL, 'copyable': NULL, 'source': NULL}},
+{{'part': 'signal', 'label': CASE WHEN linked THEN 'Có link tham chiếu' ELSE 'Tìm bằng tên công ty' END, 'value': NULL, 'kind': NULL, 'verified': NULL, 'copyable': NULL, 'source': NULL}},
+{{'part': 'signal', 'label': CASE WHEN linked THEN 'Cần chạy connector thật để xác minh' ELSE 'Nên bổ sung quốc gia để tăng độ chính xác' END, 'value': NULL, 'kind': NULL, 'verified': NULL, 'copyable': NULL, 'source': NULL}},
+{{'part': 'report', 'label': 'report-' || epoch_ms(TIMESTAMP '1996-06-30'), 'value': '#4F7CFF18', 'kind': 'ready', 'verified': NULL, 'copyable': NULL, 'source': NULL}}
+]) AS x FROM r JOIN pages USING (page_id)) SELECT page_id, x.part AS part, x.label AS label, x.value AS value, x.kind AS kind, x.verified AS verified, x.copyable AS copyable, x.source AS source FROM p""")
+def report_parts(spark, sf):
+    """Every contact, source and signal of the built reports, and their ids and tints."""
+    good, _ = reports.split_requests(reports.clean_requests(_requests(spark, sf)))
+    built = reports.build_reports(good, F.lit(AS_OF).cast("timestamp"))
+    none = lambda kind: F.lit(None).cast(kind)
+    part = lambda name, label, value, kind, verified, copyable, source: F.struct(
+        F.lit(name).alias("part"), label.alias("label"), value.alias("value"), kind.alias("kind"), verified.alias("verified"), copyable.alias("copyable"), source.alias("source")
+    )
+    contacts = F.transform("contacts", lambda c: part("contact", c["label"], c["value"], c["type"], c["verified"], reports.can_copy(c["value"]), c["source"]))
+    sources = F.transform("sources", lambda s: part("source", s["label"], s["url"], s["kind"], s["verified"], none("boolean"), none("string")))
+    signals = F.transform("signals", lambda s: part("signal", s, none("string"), none("string"), none("boolean"), none("boolean"), none("string")))
+    own = F.array(part("report", F.col("id"), reports.tint(F.col("accent")), F.col("status"), none("boolean"), none("boolean"), none("string")))
+    return built.select("page_id", F.inline(F.concat(contacts, sources, signals, own)))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN true WHEN 1 THEN url <> '' ELSE false END AS accepted FROM pages""")
+def mode_guard(spark, sf):
+    k = F.col("page_id")
+    mode = F.when(k % 2 == 0, "name").otherwise("url")
+    name = F.when(k % 4 == 0, " x ").when(k % 4 == 2, " \t\u00a0")
+    url = F.when(k % 4 == 1, F.col("url"))
+    return table(spark, sf, "pages").select("page_id", reports.has_input_for(mode, name, url).alias("accepted"))
+
+
+@query("SELECT event_id, CAST([12, 36, 68, 91][event_id % 5 + 1] AS INTEGER) AS progress FROM events")
+def progress_steps(spark, sf):
+    return table(spark, sf, "events").select("event_id", reports.progress((F.col("event_id") % 5).cast("int")).alias("progress"))
+
+
+@query("""SELECT 'BUILDING' AS q, false AS empty UNION ALL SELECT 'no such segment', true""")
+def empty_result(spark, sf):
+    found = lambda q: reports.nothing_found(_search(q)(spark, sf)).select(F.lit(q).alias("q"), "empty")
+    return found("BUILDING").unionAll(found("no such segment"))
+
+
+@query("""SELECT * FROM (VALUES ('report-nova', 'verified', 4, 4, 'Ready', '#7C6CFC18', true, false), ('report-hoshi', 'verified', 3, 3, 'Ready', '#F29E4C18', true, true),
+('report-velar', 'review', 2, 0, 'Needs review', '#28A88B18', true, false)) AS t(id, tier, n_sources, n_verified, label, tint, found_all, found_japan)""")
+def shipped_reports(spark, sf):
+    r = samples.sample_reports(spark)
+    fields = ["company_name", "country", "industry"]
+    hit = lambda q: search.search(r, q, fields).select("id", F.lit(True).alias(f"found_{q.lower() or 'all'}"))
+    shown = r.select(
+        "id", reports.confidence_tier(F.col("confidence")).alias("tier"), F.size("sources").alias("n_sources"),
+        F.size(reports.verified_contacts(F.col("contacts"))).alias("n_verified"), reports.status_label(F.col("status")).alias("label"), reports.tint(F.col("accent")).alias("tint"),
+    )
+    return shown.join(hit(""), "id", "left").join(hit("Japan"), "id", "left").fillna(False)
+
+
+@query("""SELECT * FROM (VALUES ('vi', 'Hôm nay-Nova Distribution Ltd.-Company Report--5', false), ('vi', 'Hôm qua-Hoshi Components Co.-Company Report--5', false),
+('vi', '01/10/2026-Nạp Starter credits-Top-up-+150', true), ('en', 'Today-Nova Distribution Ltd.-Company Report--5', false), ('en', 'Yesterday-Hoshi Components Co.-Company Report--5', false),
+('en', '01 Oct 2026-Starter credits top-up-Top-up-+150', true)) AS t(locale, key, credit)""")
+def shipped_usage(spark, sf):
+    key = F.concat_ws("-", "at", "item", "kind", "amount")
+    return samples.sample_usage(spark).select("locale", key.alias("key"), ledger.is_credit_text(F.col("amount")).alias("credit"))
+
+
 @query("""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN NULL ELSE 'Acme ' || page_id END AS company_name, CASE WHEN page_id % 4 = 1 THEN NULL ELSE url END AS source_url FROM pages WHERE page_id % 5 <> 0""")
 def parse_request_json(spark, sf):
     k = F.col("page_id")
@@ -250,9 +333,20 @@ def expiry(spark, sf):
 
 @query("""SELECT count(*) FILTER (l_shipdate < TIMESTAMP '1996-06-30') AS purged, count(*) FILTER (l_shipdate >= TIMESTAMP '1996-06-30') AS kept FROM lineitem""")
 def retention_split(spark, sf):
-    keep, purge = history.split_expired(table(spark, sf, "lineitem"), "l_shipdate", _as_of())
-    both = keep.select(F.lit(1).alias("keep")).unionAll(purge.select(F.lit(0).alias("keep")))
-    return both.agg(F.count_if(F.col("keep") == 0).alias("purged"), F.count_if(F.col("keep") == 1).alias("kept"))
+    gone = F.coalesce(dates.is_expired(F.col("l_shipdate"), _as_of()), F.lit(False))
+    return table(spark, sf, "lineitem").agg(F.count_if(gone).alias("purged"), F.count_if(~gone).alias("kept"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-06-30'")
+def retention_kept(spark, sf):
+    keep, _ = history.split_expired(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), "l_shipdate", _as_of())
+    return keep
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-06-30'")
+def retention_purged(spark, sf):
+    _, purge = history.split_expired(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), "l_shipdate", _as_of())
+    return purge
 
 
 @query("""SELECT count(*) FILTER (l_returnflag <> 'R' AND l_shipdate >= TIMESTAMP '1996-06-30') AS active,
@@ -277,6 +371,26 @@ def monitor_schedule(spark, sf):
     return out.select("o_orderkey", "due")
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderdate + INTERVAL 30 DAY < TIMESTAMP '1996-06-30' THEN 'expired' WHEN o_orderkey % 2 = 0 THEN 'ready' END AS status,
+NOT o_orderdate + INTERVAL 30 DAY < TIMESTAMP '1996-06-30' AS is_current FROM orders""")
+def expired_status(spark, sf):
+    status, ends = F.when(F.col("o_orderkey") % 2 == 0, "ready"), F.col("o_orderdate") + F.make_dt_interval(F.lit(30))
+    marked = history.mark_expired(table(spark, sf, "orders").select("o_orderkey", status.alias("status"), ends.alias("ends")), "status", "ends", _as_of()).drop("ends")
+    shown = history.current(marked, "status").withColumn("is_current", F.lit(True))
+    return shown.unionByName(marked.where("status = 'expired'").withColumn("is_current", F.lit(False)))
+
+
+@query("""SELECT o_orderkey, CAST(CASE WHEN o_orderdate >= TIMESTAMP '1997-01-01' THEN 365 WHEN o_orderdate >= TIMESTAMP '1994-01-01' THEN 90
+WHEN o_custkey % 2 = 0 THEN 30 END AS INTEGER) AS days FROM orders WHERE o_custkey % 10 <> 0 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_custkey % 10 = 0""")
+def retention_as_of(spark, sf):
+    """Reports with the retention that their owner had set when they were captured."""
+    owners = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey")).where("o_custkey % 10 <> 0")
+    since = lambda day, days: owners.select("o_custkey", F.lit(day).cast("timestamp_ntz").alias("since"), F.lit(days).alias("days"))
+    settings = since("1994-01-01", 90).unionAll(since("1997-01-01", 365)).unionAll(since("1900-01-01", 30).where("o_custkey % 2 = 0"))
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return history.setting_at(rows, settings, "o_custkey", "o_orderdate", "since", "days").select("o_orderkey", "days")
+
+
 # Row security
 
 
@@ -307,9 +421,51 @@ def rls_insert(spark, sf):
     return security.insertable_rows(batch, _members(spark, sf), 3, "c_nationkey").select("c_custkey")
 
 
+_GUARDS = """own: profiles select, profiles update
+member: organizations select, organization_members select, research_jobs select, research_jobs update, company_reports select, company_reports insert, company_reports update, company_reports delete, source_evidence select, source_evidence insert, source_evidence update, source_evidence delete, credit_ledger select
+admin: organizations update, organization_members insert, organization_members update, organization_members delete
+insertable: research_jobs insert"""
+_GUARD_SQL = {
+    "own": "c_nationkey = 3", "member": "EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_suppkey % 7 = 3)",
+    "admin": "EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_suppkey % 7 = 3 AND s_suppkey % 4 IN (0, 1))",
+    "insertable": "c_custkey % 5 = 3 AND EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_suppkey % 7 = 3)",
+}
+_POLICY_ROWS = [(*p.split(), g) for line in _GUARDS.split("\n") for g, ps in [line.split(": ")] for p in ps.split(", ")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{t} {c}' AS policy, c_custkey FROM customer WHERE {_GUARD_SQL[g]}" for t, c, g in _POLICY_ROWS))
+def rls_policies(spark, sf):
+    """What user 3 may touch, for each table and command; customers stand for each table's rows."""
+    rows = table(spark, sf, "customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") % 5).alias("created_by"))
+    out = None
+    for name in dict.fromkeys(t for t, _ in security.POLICIES):
+        for command in ("select", "insert", "update", "delete"):
+            seen = security.visible(rows, name, command, _members(spark, sf), 3, "c_nationkey").select(F.lit(f"{name} {command}").alias("policy"), "c_custkey")
+            out = seen if out is None else out.unionAll(seen)
+    return out
+
+
 # Constraints and keys
 
 
+_CHOICES = {
+    "plan": ("starter", "pro", "team", "enterprise", "free"), "status": ("queued", "researching", "ready", "needs_review", "failed", "expired", "lost"),
+    "kind": ("website", "directory", "social", "news", "registry", "customer_input", "email"), "type": ("credit", "debit", "refund", "adjustment", "gift"),
+    "role": ("owner", "admin", "member", "viewer", "boss"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{d} in {d}' AS rule, count(*) FILTER (o_orderkey % {len(v)} = {len(v) - 1}) AS violations FROM orders" for d, v in _CHOICES.items())
++ " UNION ALL SELECT 'positive', count(*) FILTER (o_orderkey % 3 = 0) FROM orders UNION ALL SELECT 'given', count(*) FILTER (o_orderkey % 4 = 0) FROM orders")
+def enum_violations(spark, sf):
+    k = F.col("o_orderkey")
+    pick = {d: F.get(F.array(*map(F.lit, v)), (k % len(v)).cast("int")) for d, v in _CHOICES.items()}
+    rows = table(spark, sf, "orders").select(*(c.alias(d) for d, c in pick.items()), (k % 3).alias("amount"), F.when(k % 4 != 0, k).alias("given"))
+    checks = constraints.in_domains({d: d for d in _CHOICES}) | {"positive": constraints.positive(F.col("amount"))}
+    return constraints.violations(rows, checks).unionAll(constraints.nulls(rows, ["given"]))
+
+
+
 @query("""SELECT 'balance' AS rule, count(*) FILTER (NOT (s_acctbal >= 0)) AS violations FROM supplier UNION ALL SELECT 'share', count(*) FILTER (NOT (s_acctbal BETWEEN 0 AND 3650)) FROM supplier
 UNION ALL SELECT 'region', count(*) FILTER (NOT (s_nationkey IN (1, 2, 3))) FROM supplier UNION ALL SELECT 'named', count(*) FILTER (s_name IS NULL) FROM supplier""")
 def check_violations(spark, sf):
@@ -376,10 +532,18 @@ def defaults_and_touch(spark, sf):
     return changes.touch(rows, F.col("o_orderkey") % 2 == 0, _as_of())
 
 
-@query("SELECT event_id AS id, coalesce(json_extract_string(props, '$.full_name'), json_extract_string(props, '$.k')) AS full_name, json_extract_string(props, '$.avatar') AS avatar_url FROM events")
+@query("""SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'Full ' || event_id WHEN 1 THEN 'Name ' || event_id WHEN 2 THEN 'Full ' || event_id END AS full_name,
+CASE WHEN event_id % 2 = 0 THEN 'https://a.example/' || event_id END AS avatar_url FROM events WHERE event_id % 5 <> 0
+UNION ALL SELECT event_id, 'old', NULL FROM events WHERE event_id % 5 = 0""")
 def json_profile(spark, sf):
-    at = lambda k: F.get_json_object("props", f"$.{k}")
-    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.coalesce(at("full_name"), at("k")).alias("full_name"), at("avatar").alias("avatar_url"))
+    """New users' profiles from their metadata; a profile that is there stays."""
+    k = F.col("event_id")
+    field = lambda name, value, when: F.when(when, F.concat(F.lit(f'"{name}":"{value} '), k.cast("string"), F.lit('"')))
+    avatar = F.when(k % 2 == 0, F.concat(F.lit('"avatar_url":"https://a.example/'), k.cast("string"), F.lit('"')))
+    body = F.concat(F.lit("{"), F.concat_ws(",", field("full_name", "Full", k % 2 == 0), field("name", "Name", (k % 4).isin(0, 1)), avatar), F.lit("}"))
+    users = table(spark, sf, "events").select(k.alias("id"), body.alias("raw_user_meta_data"))
+    have = users.where("id % 5 = 0").select("id", F.lit("old").alias("full_name"), F.lit(None).cast("string").alias("avatar_url"))
+    return changes.insert_if_absent(have, changes.profiles_of_users(users), "id", ["full_name"])
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN CASE o_orderstatus WHEN 'O' THEN 'researching' WHEN 'P' THEN 'ready' ELSE 'failed' END
@@ -488,7 +652,7 @@ _CONTACT_HTML = """<a href="mailto:a%s@x.example?s=1">m</a> <a href='tel:+81%s'>
 
 @query("""SELECT page_id, 'a' || page_id || '@x.example' AS email, '+81' || page_id AS phone, '84' || page_id AS whatsapp, 'Acme ' || page_id AS name, 'not_found' AS fax FROM pages""")
 def extract_contacts(spark, sf):
-    html = F.replace(F.lit(_CONTACT_HTML), F.lit("%s"), F.col("page_id").cast("string"))
+    html = F.concat(F.coalesce("html", F.lit("")), F.replace(F.lit(_CONTACT_HTML), F.lit("%s"), F.col("page_id").cast("string")))
     first = lambda xs: extract.or_not_found(F.get(xs, F.lit(0)))
     return table(spark, sf, "pages").select("page_id", html.alias("html")).select(
         "page_id", first(extract.emails(F.col("html"))).alias("email"), first(extract.phones(F.col("html"))).alias("phone"),

@@ -1,0 +1,76 @@
+"""Relations that the library ships: three sample reports and the credit usage shown with them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+REPORT = (
+    "id string, company_name string, initials string, accent string, country string, status string, confidence int, expires_at string, days_left int, "
+    "industry string, website string, last_updated string, contacts array<struct<label:string,value:string,type:string,verified:boolean,source:string>>, "
+    "sources array<struct<label:string,url:string,kind:string,verified:boolean>>, signals array<string>"
+)
+#: The sample reports.
+REPORTS = [
+    (
+        "report-nova", "Nova Distribution Ltd.", "ND", "#7C6CFC", "Singapore", "ready", 94, "05/11/2026", 30, "Phân phối & thương mại",
+        "novadistribution.example", "09:42 hôm nay",
+        [
+            ("Website chính thức", "novadistribution.example", "website", True, "Website công ty"),
+            ("LinkedIn công ty", "linkedin.com/company/nova-distribution", "linkedin", True, "Liên kết từ website"),
+            ("Email kinh doanh", "sales@novadistribution.example", "email", True, "Trang Contact"),
+            ("Điện thoại văn phòng", "+65 6123 4820", "phone", True, "Trang Contact"),
+        ],
+        [
+            ("Website chính thức", "https://novadistribution.example/about", "website", True),
+            ("Trang liên hệ", "https://novadistribution.example/contact", "website", True),
+            ("LinkedIn Company Page", "https://linkedin.com/company/nova-distribution", "social", None),
+            ("Trade Directory", "https://directory.example/nova-distribution", "directory", None),
+        ],
+        ["Website xác minh", "Có LinkedIn", "Contact B2B công khai"],
+    ),
+    (
+        "report-hoshi", "Hoshi Components Co.", "HC", "#F29E4C", "Japan", "ready", 89, "04/11/2026", 29, "Linh kiện công nghiệp",
+        "hoshi-components.example", "Hôm qua, 16:18",
+        [
+            ("Website chính thức", "hoshi-components.example", "website", True, "Website công ty"),
+            ("Email kinh doanh", "export@hoshi-components.example", "email", True, "Trang Contact"),
+            ("Điện thoại văn phòng", "+81 3 6812 2040", "phone", True, "Trang Contact"),
+        ],
+        [
+            ("Website chính thức", "https://hoshi-components.example", "website", True),
+            ("Product catalog", "https://hoshi-components.example/catalog", "website", None),
+            ("Industry directory", "https://directory.example/hoshi-components", "directory", None),
+        ],
+        ["Danh mục sản phẩm", "Kênh export", "Website xác minh"],
+    ),
+    (
+        "report-velar", "Velar Foods GmbH", "VF", "#28A88B", "Germany", "needs_review", 67, "01/11/2026", 26, "Thực phẩm & nguyên liệu",
+        "velarfoods.example", "02/10/2026",
+        [
+            ("Website có khả năng khớp", "velarfoods.example", "website", False, "Search result"),
+            ("LinkedIn công ty", "linkedin.com/company/velar-foods", "linkedin", False, "LinkedIn"),
+        ],
+        [
+            ("Website ứng viên", "https://velarfoods.example", "website", None),
+            ("Trade Directory", "https://directory.example/velar-foods", "directory", None),
+        ],
+        ["Cần xác minh", "Hai entity tương tự"],
+    ),
+]
+#: The credit usage, by locale: when, item, kind, amount.
+USAGE = [
+    ("vi", "Hôm nay", "Nova Distribution Ltd.", "Company Report", "-5"),
+    ("vi", "Hôm qua", "Hoshi Components Co.", "Company Report", "-5"),
+    ("vi", "01/10/2026", "Nạp Starter credits", "Top-up", "+150"),
+    ("en", "Today", "Nova Distribution Ltd.", "Company Report", "-5"),
+    ("en", "Yesterday", "Hoshi Components Co.", "Company Report", "-5"),
+    ("en", "01 Oct 2026", "Starter credits top-up", "Top-up", "+150"),
+]
+
+
+def sample_reports(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(REPORTS, REPORT)
+
+
+def sample_usage(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(USAGE, "locale string, at string, item string, kind string, amount string")
