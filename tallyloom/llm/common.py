@@ -53,10 +53,13 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete what materialize() wrote for df; nothing may read df afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._tallyloom_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete what materialize() wrote for the frames, or for a frame they were selected from unchanged; nothing may read them afterwards."""
+    for df in frames:
+        path = getattr(df, "_tallyloom_path", None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

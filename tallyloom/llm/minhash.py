@@ -9,10 +9,12 @@ weighted Jaccard similarity. Points are generated in time order only until they
 than the latest register.
 
 Links: registers are banded; documents that share a band meet in a bucket. Buckets are
-not expanded into pairs. Rounds compare each member with one pivot of its bucket, skip
-what is connected already, and contract connected documents. What is still apart in a bucket
-is compared exhaustively, block by block, on signatures first. Every link is verified on
-exact multiset overlap.
+not expanded into pairs. Rounds compare each member with one pivot of its bucket (first the
+one in the middle of the most members), skip what is connected already, and contract connected
+documents. What is still apart in a bucket is compared exhaustively, each pair in the first
+bucket it shares: small buckets on signatures, large ones block by block on the bags themselves, of
+which only a spanning forest of links comes out. Every link is verified on exact multiset overlap
+of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from tallyloom.llm.words import GOLDEN, mix, shingle_hashes, word_hashes, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-BLOCK = 256
+#: Members of a bucket beyond which it is compared in blocks; members and shingles of a block.
+SMALL, BLOCK, SHINGLES = 64, 512, 4_000_000
 BATCH = 256
 #: Joins of a few rows with texts or bags: Spark's runtime Bloom filter drops the others in the
 #: scan, before they are shuffled. It needs a predicate on the small side.
@@ -159,71 +162,113 @@ def _numbered_bags(shingle: int):
 
 
 def _blocks(registers: int, least: float, similarity: float):
-    """Pairs of one bucket, from different components, that signatures and sizes allow."""
+    """Links of one bucket, or of two blocks of it, between different components.
+
+    A pair is looked at only in the first bucket that it shares. Where bags are shipped it is verified
+    here and the links are reduced to a spanning forest of the components (sure);
+    else the pairs that signatures and sizes allow are returned.
+    """
     agree = math.floor(registers * least)
 
     def run(table):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        left = table.filter(pc.equal(table["side"], 0))
-        right = table.filter(pc.equal(table["side"], 1))
-        same = left.num_rows == 0 or right.num_rows == 0  # one block against itself
-        left, right = (table, table) if same else (left, right)
-        col = lambda t, c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
-        sig = [np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(t.num_rows, registers) for t in (left, right)]
-        uid, comp, size = ([col(t, c) for t in (left, right)] for c in ("uid", "comp", "size"))
-        a, b = [], []
-        for i in range(left.num_rows):
-            ok = (comp[1] != comp[0][i]) & (np.minimum(size[1], size[0][i]) >= similarity * np.maximum(size[1], size[0][i]))
-            if same:
-                ok &= uid[1] > uid[0][i]
+
+        n = table.num_rows
+        here = table["key"][0].as_py()
+        col = lambda c: table[c].combine_chunks().to_numpy(zero_copy_only=False)
+        uid, comp, size, side = (col(c) for c in ("uid", "comp", "size", "side"))
+        flat = lambda c: table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        keys = flat("keys").reshape(n, -1)
+        sure = table["ids"].null_count == 0
+        if sure:
+            ids = flat("ids")
+            ends = np.cumsum(size)
+            _, code = np.unique(ids, return_inverse=True)
+            posting = np.repeat(np.arange(n), size)[np.argsort(code, kind="stable")]
+            start = np.concatenate([[0], np.cumsum(np.bincount(code))])
+        else:
+            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(n, registers)
+        two = side.min() != side.max()  # one block against another
+        names, of, many = np.unique(comp, return_inverse=True, return_counts=True)
+        hub = of == many.argmax()  # pairs inside the largest component are settled
+        root = list(range(len(names)))
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        at, a, b = np.arange(n), [], []
+        for i in np.flatnonzero(~hub).tolist():
+            ok = (of != of[i]) & (hub | (at > i)) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9)
+            if two:
+                ok &= side != side[i]
             ok = np.flatnonzero(ok)
-            ok = ok[(sig[1][ok] == sig[0][i]).sum(axis=1) >= agree]
-            a += [uid[0][i]] * len(ok)
-            b += uid[1][ok].tolist()
+            same = keys[ok] == keys[i]
+            ok = ok[keys[i][same.argmax(axis=1)] == here]
+            if not sure:
+                ok = ok[(sig[ok] == sig[i]).sum(axis=1) >= agree]
+                a += [uid[i]] * len(ok)
+                b += uid[ok].tolist()
+                continue
+            if not len(ok):
+                continue
+            mine = code[ends[i] - size[i] : ends[i]]
+            length = start[mine + 1] - start[mine]
+            place = np.repeat(start[mine] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            both = np.bincount(posting[place], minlength=n)[ok]
+            ok = ok[both >= similarity * (size[i] + size[ok] - both) - 1e-9]
+            found, first = np.unique(of[ok], return_index=True)
+            for c, j in zip(found.tolist(), ok[first].tolist()):
+                if find(c) != find(int(of[i])):
+                    root[find(c)] = find(int(of[i]))
+                    a.append(uid[i])
+                    b.append(uid[j])
         a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": np.full(len(a), sure)})
 
     return run
 
 
-def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(comp, root): the least comp reachable over edges (a, b) between comps; only comps with edges.
 
     Large-star / small-star contraction: each round is a pair of aggregations, the number of rounds
-    grows with the logarithm of the component's size. Partial aggregation keeps hubs small.
+    grows with the logarithm of the component's size. Partial aggregation keeps hubs small. Done when
+    every edge belongs to a star: no node has two roots, and no root has one.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = materialize(spark, edges, "cc-edges")
-    before = None
     while True:
+        ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("leaf"), F.lit(0).alias("hub"))
+        ends = ends.unionAll(edges.select("v", F.lit(0), F.lit(1))).groupBy("n").agg(F.sum("leaf").alias("leaf"), F.max("hub").alias("hub"))
+        if ends.where("leaf + hub > 1").isEmpty():
+            roots = edges.select(F.col("u").alias("comp"), F.col("v").alias("root"))
+            roots._tallyloom_path = edges._tallyloom_path
+            return roots
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        out = small.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
-        out = materialize(spark, out, "cc-edges")
-        now = out.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.count_distinct("u"), F.sum("v")).first()
+        out = materialize(spark, small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
         forget(spark, edges)
         edges = out
-        if now == before or now[0] == 0:
-            return edges.select(F.col("u").alias("comp"), F.col("v").alias("root"))
-        before = now
 
 
 def _relabel(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes (uid, comp) with comps that edges (uids a, b) connect made one."""
+    """nodes (uid, comp, ...) with comps that edges (uids a, b) connect made one; the old nodes and edges are deleted."""
     of = nodes.select("uid", "comp")
     lifted = (
         edges.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     )
-    roots = components(spark, nodes, lifted)
+    roots = components(spark, lifted)
     merged = nodes.join(roots, "comp", "left")
-    return materialize(spark, merged.withColumn("comp", F.coalesce("root", "comp")).drop("root"), "classes")
+    out = materialize(spark, merged.withColumn("comp", F.coalesce("root", "comp")).drop("root"), "classes")
+    forget(spark, roots, nodes, edges)
+    return out
 
 
 def least_alike(similarity: float, registers: int) -> float:
@@ -255,12 +300,14 @@ def near_duplicates(
     signed = materialize(spark, signed, "signatures")
     # Equal multisets become one representative before any bucket is built.
     chosen = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("uid").alias("uid"))
-    reps = materialize(spark, signed.select("uid", "size", "keys", "sig").join(chosen.select("uid"), "uid", "left_semi"), "representatives")
+    reps = signed.select("uid", "size", "keys", "sig").join(chosen.select("uid"), "uid", "left_semi")
+    reps = materialize(spark, reps, "representatives")
     member = reps.select("uid", F.explode("keys").alias("key"))
-    shared = member.groupBy("key").count().where("count > 1").select("key")
+    shared = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = materialize(spark, member.join(shared, "key"), "buckets")
-    nodes = member.select("uid").distinct().withColumn("comp", F.col("uid"))
-    nodes = materialize(spark, nodes.join(reps.select("uid", "size", "sig"), "uid"), "classes")
+    # A document in the middle of its near copies is in their buckets more often than the others: round 0's pivot.
+    nodes = member.groupBy("uid").agg(F.sum(F.log2("n")).alias("middle")).withColumn("comp", F.col("uid"))
+    nodes = materialize(spark, nodes.join(reps.select("uid", "size"), "uid"), "classes")
     with session_conf(spark, **BLOOM):
         bag = materialize(
             spark, named.join(nodes.where("size > 0").select("uid"), "uid", "left_semi").select("uid", "text")
@@ -272,37 +319,52 @@ def near_duplicates(
         with session_conf(spark, **BLOOM):
             found = pairs.where("a < b").join(bag.toDF("b", "ids_b"), "b").join(bag.toDF("a", "ids_a"), "a")
             over = found.select("a", "b", both.alias("both"), (F.size("ids_a") + F.size("ids_b")).alias("sum"))
-            return materialize(spark, over.where(F.col("both") >= similarity * (F.col("sum") - F.col("both")) - 1e-9).select("a", "b"), "links")
+            out = materialize(spark, over.where(F.col("both") >= similarity * (F.col("sum") - F.col("both")) - 1e-9).select("a", "b"), "links")
+        forget(spark, pairs)
+        return out
 
     def open_members() -> DataFrame:
         """Members of buckets that hold several components."""
-        labelled = member.join(nodes, "uid")
+        labelled = member.select("uid", "key").join(nodes, "uid")
         apart = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
         return labelled.join(apart, "key")
 
     for r in range(rounds):
         labelled = open_members()
+        rank = (-F.col("middle"), F.col("uid")) if r == 0 else (F.xxhash64("uid", F.lit(r)), F.col("uid"))
         pivot = labelled.groupBy("key").agg(
-            F.min(F.struct(F.xxhash64("uid", F.lit(r)).alias("h"), F.col("uid").alias("p"), F.col("comp").alias("pc"), F.col("size").alias("ps"))).alias("pivot")
+            F.min(F.struct(*(c.alias(f"r{k}") for k, c in enumerate(rank)), F.col("uid").alias("p"), F.col("comp").alias("pc"), F.col("size").alias("ps"))).alias("pivot")
         ).select("key", "pivot.p", "pivot.pc", "pivot.ps")
         pairs = labelled.join(pivot, "key").where("comp <> pc").where(_sizes_allow(F.col("size"), F.col("ps"), similarity))
         pairs = materialize(spark, pairs.select(F.least("uid", "p").alias("a"), F.greatest("uid", "p").alias("b")).distinct(), "pairs")
         nodes = _relabel(spark, nodes, verified(pairs))
 
+    # What is still apart in a bucket is compared pair by pair: a large bucket in blocks, with its
+    # members' bags, so that only links come out; a small one on signatures, its pairs are verified after.
     least = least_alike(similarity, bands * rows)
-    labelled = materialize(spark, open_members(), "open")
-    blocks = labelled.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    labelled = open_members().select("uid", "key", "comp", "size")
+    labelled = materialize(spark, labelled.join(reps.select("uid", "keys", "sig"), "uid"), "open")
+    blocks = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    large = F.col("n") > SMALL
+    blocks = blocks.select("key", large.alias("large"), F.when(large, F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / SHINGLES)).cast("int")).otherwise(1).alias("n"))
     placed = labelled.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("uid"), F.col("n")).cast("int"))
     twice = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
         "key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).cast("int").alias("side"),
-        "uid", "comp", "size", "sig",
+        "uid", "comp", "size", "keys", "sig", F.when(F.col("large"), F.col("uid")).alias("of"),
     )
-    rest = twice.groupBy("key", "x", "y").applyInArrow(_blocks(bands * rows, least, similarity), "a long, b long").distinct()
-    nodes = _relabel(spark, nodes, verified(materialize(spark, rest, "pairs")))
+    twice = twice.join(bag.toDF("of", "ids"), "of", "left").drop("of")
+    rest = twice.groupBy("key", "x", "y").applyInArrow(_blocks(bands * rows, least, similarity), "a long, b long, sure boolean")
+    rest = materialize(spark, rest, "pairs")
+    links = verified(materialize(spark, rest.where("NOT sure").select("a", "b").distinct(), "pairs"))
+    sure = materialize(spark, rest.where("sure").select("a", "b").unionAll(links).distinct(), "links")
+    forget(spark, rest, links, labelled)
+    nodes = _relabel(spark, nodes, sure)
+    forget(spark, member, reps, bag)
 
     labels = signed.select("uid", "doc_id", "size", "digest").join(chosen.toDF("digest", "rep"), "digest", "left")
     labels = labels.join(nodes.select(F.col("uid").alias("rep"), "comp"), "rep", "left")
     labels = materialize(spark, labels.select("uid", "doc_id", "size", F.coalesce("comp", "rep", "uid").alias("comp")), "labels")
+    forget(spark, signed, nodes)
     classes = labels.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return labels.join(classes, "comp").select("doc_id", "class_id", "class_size", F.col("size").alias("n_shingles"), "uid")
 

@@ -138,6 +138,43 @@ def test_near_duplicates_exhaustive_step(spark):
     assert sorted(tuple(sorted(g)) for g in groups.values()) == classes(rows)
 
 
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """Hot buckets: many members, most of them unlike each other, some linked only through others."""
+    monkeypatch.setattr(minhash, "SMALL", 5)
+    monkeypatch.setattr(minhash, "BLOCK", 24)
+    rng = random.Random(11)
+    base = prose(rng, 120).split()
+    rows = []
+    for k in range(160):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randint(0, 119)] = f"edit{rng.random()}"
+        rows.append((k, " ".join(w)))
+    expect = classes(rows)
+    assert 20 < len(expect) < 150 and max(map(len, expect)) > 5
+    for rounds in (0, 1):
+        groups = {}
+        for r in minhash.near_duplicates(spark, frame(spark, rows), rounds=rounds).collect():
+            groups.setdefault(r.class_id, []).append(r.doc_id)
+        assert sorted(tuple(sorted(g)) for g in groups.values()) == expect
+
+
+def test_a_bucket_of_unlike_members_gives_no_pairs():
+    """One band shared by a thousand documents that are alike by half: the block step returns links only."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    n, shared = 1000, rng.integers(0, 1 << 60, 50)
+    ids = [np.r_[shared, rng.integers(0, 1 << 60, 50)] for _ in range(n)]
+    ids[500] = np.r_[ids[400][:99], ids[500][99:]]
+    columns = {
+        "key": np.full(n, 7), "uid": np.arange(n), "comp": np.arange(n), "size": np.full(n, 100), "side": np.zeros(n, np.int32),
+        "keys": pa.array([[7] * 24] * n), "sig": pa.nulls(n, pa.binary()), "ids": pa.array([i.tolist() for i in ids]),
+    }
+    got = minhash._blocks(96, 0.5, 0.8)(pa.table(columns)).to_pylist()
+    assert got == [{"a": 400, "b": 500, "sure": True}]
+
+
 def test_near_duplicates_empty(spark):
     assert minhash.near_duplicates(spark, frame(spark, [])).collect() == []
 
