@@ -282,7 +282,7 @@ def least_alike(similarity: float, registers: int) -> float:
 
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-    shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, rounds: int = 2,
+    shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, rounds: int = 1,
 ) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, n_shingles.
 
