@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import forget, materialize, narrow, session_conf, with_uid
+from tallyloom.llm.common import BLOOM, forget, materialize, narrow, session_conf, with_uid
 from tallyloom.llm.words import GOLDEN, mix, shingle_hashes, word_hashes, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -33,13 +33,6 @@ BANDS, ROWS = 24, 4
 #: Members of a bucket beyond which it is compared in blocks; members and shingles of a block.
 SMALL, BLOCK, SHINGLES = 64, 512, 4_000_000
 BATCH = 256
-#: Joins of a few rows with texts or bags: Spark's runtime Bloom filter drops the others in the
-#: scan, before they are shuffled. It needs a predicate on the small side.
-BLOOM = {
-    "spark__sql__optimizer__runtime__bloomFilter__enabled": "true",
-    "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0",
-    "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "1g",
-}
 
 
 def bags(texts: list[str | None], shingle: int = SHINGLE) -> list:

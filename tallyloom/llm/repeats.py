@@ -1,21 +1,21 @@
-"""Removal of repeated byte strings by sparse suffix sorting (operator 3).
+"""Removal of repeated byte strings with a difference cover (operator 3).
 
 A string of LENGTH bytes that also starts elsewhere is repeated; every byte that such a
-string covers goes. Not all suffixes are sorted. As in a difference-cover algorithm, sampled
-positions are sorted and named first, names are named again, and the other positions are decided
-through the sample they share:
-
-1. Sample. Of the GRAM-byte tuples in a string the one with the least hash (the last, at a
-   tie) is its sample. Equal strings have equal samples at equal offsets, which is what a
-   difference cover is for; here content picks the cover, so it holds about LENGTH / 2.4
-   times fewer positions than strings. Strings with one sample are neighbours: a block.
-2. Names of sampled tuples. Blocks whose tuple occurs once hold no repeated string.
-3. Names of names. Blocks with equal bytes around the sample get one name; all strings of
-   a block whose name occurs twice are repeated. Hot passages collapse to one row here,
-   before they are shuffled.
-4. The rest. Blocks of different names are named again by the bytes on either side of the sample;
-   only strings on a side that several names share are left. Those of one block per name are
-   compared as fingerprints of tuple, offset and bytes.
+string covers goes. Prefixes of LENGTH bytes decide, so suffixes are named, not ranked.
+
+1. Sample. The positions whose remainder modulo PERIOD lies in a difference cover, 9 % of all: for any two
+   positions there is one distance below PERIOD at which both meet the sample, and there the
+   sampled tuples of LENGTH - PERIOD + 1 bytes of equal strings are equal. Tuples are sorted out
+   by their names; what occurs once is done with.
+2. Names of names. A sampled position with the PERIOD strings that start before it and hold its tuple is a block.
+   Blocks of one tuple with equal bytes get one name; all strings of a block whose name occurs twice are
+   repeated. Hot passages collapse to one row here.
+3. The remaining suffixes. Blocks of different names are named again by the bytes on either side of the
+   tuple; only strings on a side that several names share are left. They are sorted by the name of their LENGTH
+   bytes (one block stands for all of its name), and equal neighbours are repeated.
+
+Names are two polynomial hashes with byte tables of their own. Blocks and remaining suffixes are handled in
+PASSES ranges of their names, one after another, which bounds the disk.
 """
 
 from __future__ import annotations
@@ -27,14 +27,42 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import forget, materialize, narrow, session_conf, with_uid
+from tallyloom.llm.common import BLOOM, forget, materialize, narrow, session_conf, with_uid
 from tallyloom.llm.words import mix
 
-LENGTH, GRAM = 200, 32
+LENGTH = 200
+#: Period of the cover, q * q + q + 1 for a prime q: a perfect difference set of q + 1 remainders exists.
+PRIME = 11
+PERIOD = PRIME * PRIME + PRIME + 1
+PASSES = 2
 #: String starts handled at a time, so that a very long text needs little memory.
 SEGMENT = 1 << 18
 
 
+@lru_cache(maxsize=1)
+def cover() -> tuple[int, ...]:
+    """A perfect difference set modulo PERIOD: every other remainder is one difference of its members.
+
+    Multiplication by PRIME maps such a set onto a shift of itself; the set is put together from orbits of it.
+    """
+    orbits = {frozenset(x * PRIME**k % PERIOD for k in range(3)) for x in range(PERIOD)}
+    orbits = sorted(sorted(o) for o in orbits)
+
+    def extend(have: list[int], seen: set[int], at: int) -> list[int] | None:
+        if len(have) == PRIME + 1:
+            return have
+        for k in range(at, len(orbits)):
+            more = have + orbits[k]
+            new = [(x - y) % PERIOD for x in more for y in more if x != y and not (x in have and y in have)]
+            if len(more) <= PRIME + 1 and len(set(new)) == len(new) and not seen & set(new):
+                found = extend(more, seen | set(new), k + 1)
+                if found:
+                    return found
+        return None
+
+    return tuple(sorted(extend([], set(), 0)))
+
+
 @lru_cache(maxsize=1)
 def _powers():
     """Two polynomial hashes modulo 2**64: byte values, powers and inverse powers of an odd base."""
@@ -61,75 +89,80 @@ def _hash(prefix, starts, ends, which: int):
     return (prefix[ends] - prefix[starts]) * _powers()[which][2][starts]
 
 
-def samples(v, window: int):
-    """For each start of `window` values: the place of the least one, the last at a tie."""
+def blocks_of(data, length: int = LENGTH, only: tuple[int, int] | None = None, names: bool = True):
+    """Arrays of a text's blocks: the sampled place, first start, last start, tuple hash and, if asked for, two hashes of the block's
+    bytes, hashes of the bytes around the tuple that every string starting half() or more before it has (left)
+    and that every other has (right), 0 where the block has no such string. only: (k, n), tuples whose hash is k modulo n."""
     import numpy as np
 
-    n = len(v)
-    v = ((v >> np.uint64(32)) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - np.arange(n, dtype=np.uint64))
-    rows = -(-n // window)
-    padded = np.full(rows * window, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[:n] = v
-    table = padded.reshape(rows, window)
-    left = np.minimum.accumulate(table, axis=1).ravel()
-    right = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(right[: n - window + 1], left[window - 1 : n])
-    return (np.uint64(0xFFFFFFFF) - (least & np.uint64(0xFFFFFFFF))).astype(np.int64)
+    out, gram, far = [], length - PERIOD + 1, half(length)
+    for s in range(0, max(len(data) - length + 1, 0) and len(data) - gram + 1, SEGMENT):
+        low = max(0, s - PERIOD + 1)
+        part = data[low : s + SEGMENT - 1 + length]
+        one = _prefix(part, 0)
+        turns = np.arange(s - s % PERIOD, min(s + SEGMENT, len(data) - gram + 1), PERIOD)
+        p = (turns[:, None] + np.array(cover())).ravel()
+        p = p[(p >= s) & (p < s + SEGMENT) & (p + gram <= len(data))]
+        tuples = mix(_hash(one, p - low, p - low + gram, 0))
+        if only:
+            keep = (tuples >> np.uint64(8)) % np.uint64(only[1]) == only[0]
+            p, tuples = p[keep], tuples[keep]
+        first, last = np.maximum(0, p - PERIOD + 1), np.minimum(p, len(data) - length)
+        more = []
+        if names:
+            two = _prefix(part, 1)
+            more = [mix(_hash(h, first - low, last - low + length, i)) for i, h in enumerate((one, two))]
+            for some, a, b in ((p - first >= far, p - far, p + gram), (p - last <= far, p, p + length - far)):
+                hashes = np.zeros(len(p), np.uint64)
+                hashes[some] = mix(_hash(one, a[some] - low, b[some] - low, 0)) | np.uint64(1)
+                more.append(hashes)
+        out.append((p, first, last, tuples, *more))
+    if not out:
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * (5 if names else 1)
+    return [np.concatenate(c) for c in zip(*out)]
 
 
-def half(length: int, gram: int) -> int:
-    return (length - gram) // 2
+def half(length: int) -> int:
+    return (PERIOD - 1) // 2
 
 
-def blocks_of(data, length: int = LENGTH, gram: int = GRAM):
-    """Arrays of a text's blocks: first start, last start, sample, tuple hash, two hashes of the block's
-    bytes, hashes of the bytes around the sample that every string starting half() or more before it has (left)
-    and that every other has (right), 0 where the block has no such string."""
+def _bytes(text: str | None):
     import numpy as np
 
-    out, far = [], half(length, gram)
-    for s in range(0, len(data) - length + 1, SEGMENT):
-        part = data[s : s + SEGMENT + length - 1]
-        one, two = _prefix(part, 0), _prefix(part, 1)
-        at = np.arange(len(part) - gram + 1)
-        grams = mix(_hash(one, at, at + gram, 0))
-        m = samples(grams, length - gram + 1)
-        first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-        last = np.r_[first[1:] - 1, len(m) - 1]
-        p = m[first]
-        sides = []
-        for some, a, b in ((p - first >= far, p - far, p + gram), (p - last <= far, p, p + length - far)):
-            hashes = np.zeros(len(p), np.uint64)
-            hashes[some] = mix(_hash(one, a[some], b[some], 0)) | np.uint64(1)
-            sides.append(hashes)
-        out.append((first + s, last + s, p + s, grams[p], *(mix(_hash(h, first, last + length, i)) for i, h in enumerate((one, two))), *sides))
-    if not out:
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 5
-    return [np.concatenate(c) for c in zip(*out)]
+    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _bytes(text: str | None):
-    import numpy as np
+def _tuples(length: int):
+    """The names of all sampled tuples."""
 
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for text in batch.column("text"):
+                names = blocks_of(_bytes(text.as_py()), length, names=False)[3]
+                if len(names):
+                    yield pa.RecordBatch.from_arrays([pa.array(names.view("i8"))], names=["gram"])
+
+    return run
 
 
-_BLOCK = "uid long, first long, last long, lead int, gram long, one long, two long, left long, right long"
+_BLOCK = "uid long, place int, lead short, size short, gram long, one long, two long, left int, right int"
 
 
-def _blocks(length: int, gram: int):
+def _blocks(length: int, only: tuple[int, int]):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text")):
-                first, last, p, *hashes = blocks_of(_bytes(text.as_py()), length, gram)
-                if len(first):
+                p, first, last, gram, one, two, left, right = blocks_of(_bytes(text.as_py()), length, only)
+                if len(p):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(first), uid)), pa.array(first), pa.array(last), pa.array((p - first).astype(np.int32)),
-                         *(pa.array(x.astype(np.int64)) for x in hashes)],
-                        names=["uid", "first", "last", "lead", "gram", "one", "two", "left", "right"],
+                        [pa.array(np.full(len(p), uid)), pa.array(p.astype(np.int32)), pa.array((p - first).astype(np.int16)), pa.array((last - first).astype(np.int16)),
+                         *(pa.array(x.view("i8")) for x in (gram, one, two)), *(pa.array(x.astype(np.uint32).view("i4")) for x in (left, right))],
+                        names=["uid", "place", "lead", "size", "gram", "one", "two", "left", "right"],
                     )
 
     return run
@@ -154,36 +187,45 @@ def _rebatched(run, rows: int = 50_000):
     return out
 
 
-def _strings(length: int):
-    """Fingerprints of the strings of given blocks: (key1, key2, uid, start), start null if it needs no mark."""
+def _strings(length: int, only: tuple[int, int]):
+    """Names of the wanted strings: (key1, key2, uid, start), start null if it needs no mark; each start once."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for uid, text, rows in zip(*(batch.column(c).to_pylist() for c in ("uid", "text", "blocks"))):
+            for uid, text, rows in zip(*(batch.column(c).to_pylist() for c in ("uid", "text", "wanted"))):
                 data = _bytes(text)
-                col = {c: np.array([r[c] for r in rows], np.int64) for c in ("first", "last", "lead", "gram", "single")}
-                for s in np.unique(col["first"] // SEGMENT):
-                    use = np.flatnonzero(col["first"] // SEGMENT == s)
-                    base = int(s) * SEGMENT
-                    part = data[base : base + SEGMENT + length - 1]
-                    size = col["last"][use] - col["first"][use] + 1
-                    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    i = np.repeat(col["first"][use], size) + inner - base
-                    offset = (np.repeat(col["lead"][use], size) - inner).astype(np.uint64)
-                    g = np.repeat(col["gram"][use], size).astype(np.uint64)
-                    keys = [mix(mix(_hash(_prefix(part, k), i, i + length, k) + g) + offset) for k in (0, 1)]
-                    marked = np.repeat(col["single"][use], size).astype(bool)
+                col = {c: np.array([r[c] for r in rows], np.int64) for c in ("first", "last", "single")}
+                want, mark = (_covered(col["first"][use], col["last"][use] + 1, len(data)) for use in (slice(None), col["single"] > 0))
+                for s in range(0, len(data), SEGMENT):
+                    at = np.flatnonzero(want[s : s + SEGMENT])
+                    if not len(at):
+                        continue
+                    part = data[s : s + SEGMENT + length - 1]
+                    one = mix(_hash(_prefix(part, 0), at, at + length, 0))
+                    keep = (one >> np.uint64(8)) % np.uint64(only[1]) == only[0]
+                    at, one = at[keep], one[keep]
+                    two = mix(_hash(_prefix(part, 1), at, at + length, 1))
                     yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(k.astype(np.int64)) for k in keys), pa.array(np.full(len(i), uid)), pa.array(i + base, mask=~marked)],
+                        [pa.array(one.view("i8")), pa.array(two.view("i8")), pa.array(np.full(len(at), uid)), pa.array((at + s).astype(np.int32), mask=~mark[at + s])],
                         names=["key1", "key2", "uid", "start"],
                     )
 
     return run
 
 
+def _covered(first, end, n: int):
+    """Which of n places lie in a range."""
+    import numpy as np
+
+    step = np.zeros(n + 1, np.int32)
+    np.add.at(step, first, 1)
+    np.add.at(step, end, -1)
+    return np.cumsum(step[:-1]) > 0
+
+
 def _cut(length: int):
     """Per document: what remains when the marked strings' bytes are gone."""
 
@@ -213,66 +255,78 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM
-) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passes: int = PASSES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    Texts are UTF-8 bytes; null counts as empty; texts under `length` bytes keep all. Strings are
-    judged on the input. Rows with null or repeated ids are documents of their own, so equal
-    rows remove each other's bytes. An empty table gives no rows. Other columns are not read.
-    Fingerprints of blocks and strings have 128 bits.
+    Texts are UTF-8 bytes; null counts as empty; texts under `length` bytes keep all; very long texts are
+    read in segments. Strings are judged on the input. Rows with null or repeated ids are documents of
+    their own, so equal rows remove each other's bytes. An empty table gives no rows. Other columns are
+    not read. length is over PERIOD. Blocks and strings are equal if two 64-bit hashes with tables of their own are.
     """
     named = with_uid(spark, narrow(docs, id_col, text_col))
     texts = named.select("uid", "text")
-    bloom = {
-        "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0",
-        "spark__sql__execution__arrow__maxRecordsPerBatch": "2000",
-    }
     name = ["gram", "lead", "size", "one", "two"]
-    with session_conf(spark, **bloom):
-        every = materialize(spark, texts.mapInArrow(_rebatched(_blocks(length, gram)), _BLOCK), "blocks")
-        # Tuples that occur once are done with.
-        grams = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        grams = materialize(spark, grams, "tuples")
-        some = every.withColumn("size", F.col("last") - F.col("first")).join(grams.where("n > 1"), "gram", "left_semi")
-        some = materialize(spark, some, "shared-blocks")
-        forget(spark, every)
-        named_blocks = some.groupBy(*name).agg(
-            F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"), F.min_by("first", "uid").alias("first"),
-            F.min("left").alias("left"), F.min("right").alias("right"),
-        )
-        named_blocks = materialize(spark, named_blocks, "block-names")
-        twice = named_blocks.where("n > 1").select(*name)
-        whole = materialize(spark, some.join(twice, name, "left_semi").select("uid", "first", "last"), "whole-blocks")
-        forget(spark, some)
-
-        # A string has the block's left bytes if it starts far or more before the sample, the right ones if
-        # it starts at far or later. Bytes that only one name has are in no repeated string of another.
-        far, place = half(length, gram), F.col("first") + F.col("lead")
-        known = named_blocks
-        for side in ("left", "right"):
-            various = named_blocks.where(f"{side} <> 0").groupBy(side).agg(F.count(F.lit(1)).alias(f"{side}_names")).where(f"{side}_names > 1")
-            known = known.join(materialize(spark, various, "names"), side, "left")
-        first = F.when(F.col("left_names").isNull(), F.greatest("first", place - far + 1)).otherwise(F.col("first"))
-        end = F.col("first") + F.col("size")
-        last = F.when(F.col("right_names").isNull(), F.least(end, place - far - 1)).otherwise(end)
-        lead = (place - F.col("begin")).cast("int")
-        known = known.withColumns({"begin": first, "end": last}).where("begin <= end")
-        pick = F.struct(F.col("begin").alias("first"), F.col("end").alias("last"), lead.alias("lead"), "gram", (F.col("n") == 1).cast("int").alias("single"))
-        wanted = materialize(spark, known.groupBy("uid").agg(F.collect_list(pick).alias("blocks")), "wanted-blocks")
-        forget(spark, named_blocks)
-        strings = texts.join(wanted.where("size(blocks) > 0"), "uid").select("uid", "text", "blocks")
-        strings = materialize(spark, strings.mapInArrow(_rebatched(_strings(length)), "key1 long, key2 long, uid long, start long"), "strings")
-        keys = strings.groupBy("key1", "key2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key1", "key2")
-        keys = materialize(spark, keys, "repeated-strings")
-        partial = strings.where("start IS NOT NULL").join(keys, ["key1", "key2"], "left_semi")
-        partial = partial.select("uid", F.col("start").alias("first"), F.col("start").alias("last"))
-        partial = materialize(spark, partial, "repeated-starts")
-        forget(spark, strings)
-        forget(spark, keys)
-        ranges = whole.unionAll(partial).groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    with session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000", **BLOOM):
+        tuples = texts.mapInArrow(_rebatched(_tuples(length)), "gram long")
+        tuples = materialize(spark, tuples.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "tuples")
+        whole, wanted = zip(*(_one_range(spark, texts, tuples, name, length, (k, passes)) for k in range(passes)))
+        forget(spark, tuples)
+        pick = F.struct("first", "last", "single")
+        asked = _union(wanted).groupBy("uid").agg(F.collect_list(pick).alias("wanted"))
+        asked = materialize(spark, texts.join(asked, "uid").select("uid", "text", "wanted"), "wanted")
+        forget(spark, *wanted)
+        partial = []
+        for k in range(passes):
+            strings = asked.mapInArrow(_rebatched(_strings(length, (k, passes))), "key1 long, key2 long, uid long, start int")
+            strings = materialize(spark, strings, "strings")
+            keys = strings.groupBy("key1", "key2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key1", "key2")
+            found = strings.where("start IS NOT NULL").join(keys, ["key1", "key2"], "left_semi")
+            partial.append(materialize(spark, found.select("uid", F.col("start").alias("first"), F.col("start").alias("last")), "repeated-starts"))
+            forget(spark, strings)
+        forget(spark, asked)
+        ranges = _union([*whole, *partial]).groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
         ranges = materialize(spark, ranges, "repeats")
+        forget(spark, *whole, *partial)
         cut = named.join(ranges, "uid", "left").select("doc_id", "text", "ranges")
         kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-        return materialize(spark, cut.mapInArrow(_cut(length), kind), "cut")
+        out = materialize(spark, cut.mapInArrow(_cut(length), kind), "cut")
+        forget(spark, ranges)
+        return out
+
+
+def _union(frames) -> DataFrame:
+    out, *rest = frames
+    for f in rest:
+        out = out.unionAll(f)
+    return out
+
+
+def _one_range(spark: SparkSession, texts: DataFrame, tuples: DataFrame, name: list[str], length: int, only: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Of the blocks whose tuple lies in a range: those that are repeated as a whole (uid, first, last), and the starts
+    that are left (uid, first, last, single); single is 0 where the block stands for others that are marked already."""
+    every = texts.mapInArrow(_rebatched(_blocks(length, only)), _BLOCK)
+    mine = tuples.where(F.pmod(F.shiftrightunsigned("gram", 8), F.lit(only[1])) == only[0])
+    some = materialize(spark, every.join(mine.hint("shuffle_hash"), "gram", "left_semi"), "shared-blocks")
+    named = some.groupBy(*name).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "place")).alias("of"), F.min("left").alias("left"), F.min("right").alias("right")
+    )
+    named = materialize(spark, named, "block-names")
+    twice = named.where("n > 1").select(*name)
+    first = (F.col("place") - F.col("lead")).alias("first")
+    whole = some.join(twice.hint("shuffle_hash"), name, "left_semi").select("uid", first, (F.col("place") - F.col("lead") + F.col("size")).alias("last"))
+    whole = materialize(spark, whole, "whole-blocks")
+    forget(spark, some)
+
+    # A string has the block's left bytes if it starts far or more before the tuple, the right ones if
+    # it starts at far or later. Bytes that only one name has are in no repeated string of another.
+    far, known = half(length), named.withColumns({"uid": F.col("of.uid"), "place": F.col("of.place")})
+    for side in ("left", "right"):
+        various = named.where(f"{side} <> 0").groupBy("gram", side).agg(F.count(F.lit(1)).alias(f"{side}_names")).where(f"{side}_names > 1")
+        known = known.join(various, ["gram", side], "left")
+    begin = F.when(F.col("left_names").isNull(), F.greatest(first, F.col("place") - far + 1)).otherwise(first)
+    end = F.col("place") - F.col("lead") + F.col("size")
+    end = F.when(F.col("right_names").isNull(), F.least(end, F.col("place") - far - 1)).otherwise(end)
+    known = known.select("uid", begin.alias("first"), end.alias("last"), (F.col("n") == 1).cast("int").alias("single")).where("first <= last")
+    wanted = materialize(spark, known, "wanted-starts")
+    forget(spark, named)
+    return whole, wanted

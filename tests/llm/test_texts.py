@@ -64,21 +64,45 @@ def test_repeats(spark):
     assert repeats.remove_repeats(spark, frame(spark, [])).collect() == []
 
 
+def test_cover_is_a_perfect_difference_set():
+    d = repeats.cover()
+    assert len(d) == 12 and sorted((x - y) % repeats.PERIOD for x in d for y in d if x != y) == list(range(1, repeats.PERIOD))
+
+
 def test_blocks_do_not_depend_on_segments(monkeypatch):
     rng = np.random.default_rng(1)
     data = np.r_[rng.integers(0, 4, 3000), np.zeros(900, int), rng.integers(0, 256, 2000)].astype(np.uint8)
     repeats._powers.cache_clear()
     monkeypatch.setattr(repeats, "SEGMENT", 700)
-    first, last, sample, gram, *_ = repeats.blocks_of(data)
-    assert sorted(i for a, b in zip(first, last) for i in range(a, b + 1)) == list(range(len(data) - 199))
+    small = repeats.blocks_of(data)
     repeats._powers.cache_clear()
     monkeypatch.setattr(repeats, "SEGMENT", 1 << 18)
     whole = repeats.blocks_of(data)
-    at = {i: (p, g) for a, b, p, g, *_ in zip(*whole) for i in range(a, b + 1)}
-    assert all(at[i] == (p, g) for a, b, p, g in zip(first, last, sample, gram) for i in range(a, b + 1))
+    assert all((a == b).all() for a, b in zip(small, whole))
+    assert set(whole[0].tolist()) == {p for p in range(len(data) - 67) if p % repeats.PERIOD in repeats.cover()}
+    for k in range(3):
+        part = repeats.blocks_of(data, only=(k, 3))
+        assert all(x in whole[0] for x in part[0])
+    assert sum(len(repeats.blocks_of(data, only=(k, 3))[0]) for k in range(3)) == len(whole[0])
     repeats._powers.cache_clear()
 
 
+def test_repeats_of_all_kinds(spark):
+    """Copies at every remainder, of 199 to 210 bytes and more, overlapping, cut by text ends, many at once."""
+    rng = random.Random(14)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(700)
+    rows = [(k, text(rng.randint(0, 150)) + shared[(a := rng.randint(0, 450)) : a + rng.choice([199, 200, 201, 210, 250])] + text(rng.randint(0, 150))) for k in range(60)]
+    rows += [(100 + k, shared[: 200 + k]) for k in range(4)] + [(110, shared), (111, shared[1:]), (112, "z" * 600), (113, "yz" * 260), (114, text(300) + shared + shared + text(40))]
+    got = repeats.remove_repeats(spark, frame(spark, rows), passes=3).collect()
+    count = Counter(b[i : i + 200] for _, t in rows for b in [t.encode()] for i in range(len(b) - 199))
+    for r in got:
+        b = dict(rows)[r.doc_id].encode()
+        gone = {i + j for i in range(len(b) - 199) if count[b[i : i + 200]] > 1 for j in range(200)}
+        assert r.n_removed == len(gone), r.doc_id
+        assert r.kept_sha256 == hashlib.sha256(bytes(x for i, x in enumerate(b) if i not in gone)).hexdigest()
+
+
 def bag(text):
     w = words(text)
     return Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
