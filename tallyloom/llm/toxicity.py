@@ -191,18 +191,16 @@ class Recurrent:
         return float(loss), grad
 
 
-def _window_arrays(many: list[list[int]]):
-    """All windows of documents given as word numbers: index, mask, the window's document."""
+def _window_arrays(flat, sizes):
+    """All windows of documents given as word numbers, one after the other: index, mask, the window's document."""
     import numpy as np
 
-    spans = [(d, s, n) for d, doc in enumerate(many) for s, n in windows_of(len(doc))]
-    flat = np.fromiter((x for doc in many for x in doc), np.int64, sum(map(len, many)))
-    base = np.cumsum([0] + [len(doc) for doc in many])
-    doc = np.array([d for d, _, _ in spans], np.int64)
-    start = base[doc] + np.array([s for _, s, _ in spans], np.int64)
-    size = np.array([n for _, _, n in spans], np.int64)
+    many = np.where(sizes <= WINDOW, 1, -(-(sizes - WINDOW + STRIDE) // STRIDE))  # windows_of()
+    doc = np.repeat(np.arange(len(sizes)), many)
+    at = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * STRIDE
+    start = (np.cumsum(sizes) - sizes)[doc] + at
     step = np.arange(WINDOW)
-    mask = step < size[:, None]
+    mask = step < np.minimum(WINDOW, sizes[doc] - at)[:, None]
     index = np.where(mask, np.minimum(start[:, None] + step, max(len(flat) - 1, 0)), 0)
     return (flat[index] if len(flat) else np.zeros_like(index)), mask, doc
 
@@ -220,16 +218,17 @@ class Scorer:
         import numpy as np
 
         many = [words(t) for t in texts]
-        fresh = list({w for doc in many for w in doc} - self.place.keys())
+        every = [w for doc in many for w in doc]
+        fresh = list(set(every) - self.place.keys())
         if len(self.place) + len(fresh) > MEMO:
             self.place, self.gates = {}, self.gates[:0]
-            fresh = list({w for doc in many for w in doc})
+            fresh = list(set(every))
         if fresh:
             self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh))))
             self.gates = np.concatenate([self.gates, self.model.gates(self.model.inputs(encode_words(fresh)))])
         gates = self.gates if len(self.gates) else np.zeros((1, 6 * STATE), np.float32)
-        of = self.place.__getitem__
-        index, mask, doc = _window_arrays([list(map(of, d)) for d in many])
+        flat = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
+        index, mask, doc = _window_arrays(flat, np.array([len(d) for d in many], np.int64))
         logit = np.concatenate([self.model.run(gates, index[k : k + CHUNK], mask[k : k + CHUNK]) for k in range(0, len(index), CHUNK)])
         return self.model.pool(logit, doc, len(texts))
 
@@ -256,7 +255,8 @@ def train(texts: list[str | None], labels, prior: float, rounds: int = 8, seed:
     number: dict[bytes, int] = {}
     docs = [[number.setdefault(w, len(number)) for w in d] for d in many]
     distinct = list(number) or [b"x"]
-    index, mask, doc = _window_arrays(docs)
+    flat = np.fromiter((x for d in docs for x in d), np.int64, sum(map(len, docs)))
+    index, mask, doc = _window_arrays(flat, np.array([len(d) for d in docs], np.int64))
     # Log odds between the labels (documents of the training part are counted) start the embeddings and choose windows.
     word, _, _, _, stem, _, many_stems = encode_words(distinct)
     seen_words, seen_stems = np.zeros((2, WORDS)), np.zeros((2, STEMS))
@@ -355,10 +355,17 @@ def _all_logits(model: Recurrent, distinct: list[bytes], index, mask):
     return np.concatenate([model.run(gates, index[k : k + CHUNK], mask[k : k + CHUNK]) for k in range(0, len(index), CHUNK)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn_from, label: str = "toxic", toxic: int = FIT_TOXIC, clean: int = FIT_CLEAN) -> Recurrent:
-    """Train on at most toxic + clean labelled documents; the prior is counted on all labels."""
+def fit(
+    docs: DataFrame, labels: DataFrame, learn_from, label: str = "toxic", toxic: int = FIT_TOXIC, clean: int = FIT_CLEAN, prior: float | None = 0.5
+) -> Recurrent:
+    """Train on at most toxic + clean labelled documents.
+
+    Scores are calibrated for this prior share of label 1; at 0.5 a score says which label the text speaks for, whatever
+    the labels' shares. None: the share among all labels.
+    """
     known = labels.where(F.col(label).isNotNull()).where(learn_from)
-    prior = known.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    if prior is None:
+        prior = known.agg(F.avg(F.col(label).cast("double"))).first()[0]
     some = [labelled_sample(docs, known.where(F.col(label) == v), label, F.lit(True), n) for v, n in ((1, toxic), (0, clean))]
     got = some[0].select("text", "y").unionAll(some[1].select("text", "y")).orderBy("y", "text").toPandas()
     return train(got["text"].tolist(), got["y"].to_numpy(), prior if prior is not None else 0.5)
@@ -381,8 +388,9 @@ def _scores(model: Recurrent, size: int = 128):
 def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Labels count only where crc32(doc_id as text) mod 5 is not 0. Null, empty and wordless
-    texts are one window without words and get the score of nothing read. Rows with null ids
+    Labels count only where crc32(doc_id as text) mod 5 is not 0; of a document labelled twice the higher label
+    counts, and ties in the sample's order go by id. Null, empty and wordless texts are one window without
+    words and get the score of nothing read; of very long texts all windows are scored. Rows with null ids
     are never held out (false); repeated rows are scored each; an empty table gives no rows.
     Other columns are not read.
     """
