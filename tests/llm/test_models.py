@@ -78,6 +78,96 @@ def test_signs_spread_over_a_text_add_up():
     assert four > one + 1
 
 
+def plain_logit(model, text):
+    """A document's logit with loops over numbers only: embeddings, two GRUs, attention, evidence of all windows."""
+    import math
+    import re
+
+    p = {k: v.tolist() for k, v in model.p.items()}
+    words = re.findall(rb"[a-z0-9\x80-\xff]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()))
+    sig, size = (lambda x: 1 / (1 + math.exp(-x))), toxicity.STATE
+
+    def embed(w):
+        padded = b" " + w + b" "
+        grams = [((padded[i] << 16) + (padded[i + 1] << 8) + padded[i + 2]) * 2654435761 % 2**32 * toxicity.TRIGRAMS >> 32 for i in range(len(w))]
+        stems = [zlib.crc32(w[:k], 1) % toxicity.STEMS for k in toxicity.BEGIN if k <= len(w)] or [zlib.crc32(w, 1) % toxicity.STEMS]
+        mean = lambda rows: [sum(c) / len(rows) for c in zip(*rows)]
+        return p["words"][zlib.crc32(w) % toxicity.WORDS] + mean([p["chars"][g] for g in grams]) + mean([p["stems"][s] for s in stems])
+
+    def gru(xs, side):
+        h, out = [0.0] * size, []
+        for x in xs:
+            xw = [sum(a * w[j] for a, w in zip(x, p["w" + side])) + p["c" + side][j] for j in range(3 * size)]
+            hu = [sum(a * u[j] for a, u in zip(h, p["u" + side])) for j in range(3 * size)]
+            z = [sig(xw[j] + hu[j]) for j in range(size)]
+            g = [sig(xw[size + j] + hu[size + j]) for j in range(size)]
+            c = [math.tanh(xw[2 * size + j] + g[j] * hu[2 * size + j]) for j in range(size)]
+            h = [a + b * (d - a) for a, b, d in zip(h, z, c)]
+            out.append(h)
+        return out
+
+    total = p["base"][0]
+    for start, n in toxicity.windows_of(len(words)):
+        xs = [embed(w) for w in words[start : start + n]]
+        states = [a + b for a, b in zip(gru(xs, "f"), gru(xs[::-1], "b")[::-1])] or [[0.0] * (2 * size)]
+        e = [math.exp(sum(a * b for a, b in zip(s, p["v"]))) for s in states]
+        pooled = [sum(w * s[j] for w, s in zip(e, states)) / sum(e) for j in range(2 * size)]
+        logit = sum(a * b for a, b in zip(pooled, p["out"])) + p["bias"][0]
+        total += math.log1p(math.exp(-abs(logit))) + max(logit, 0)
+    return total
+
+
+def test_toxicity_scores_against_plain_loops(spark):
+    rows = [(i, t if t is None or len(t) < 3000 else t[:3000]) for i, t in documents() if i is not None and i != 100]
+    known = [(prose(random.Random(k), 40) + (" idiot" if k % 2 else ""), k % 2) for k in range(60)]
+    model = toxicity.train([t for t, _ in known], [y for _, y in known], 0.5, rounds=2)
+    got = {r.doc_id: r.score for r in frame(spark, rows).select("doc_id", "text").mapInArrow(toxicity._scores(model, size=7), "doc_id long, score double").collect()}
+    for i, t in rows:
+        logit = model.slope * min(max(plain_logit(model, t), -30), 30) + model.shift
+        assert abs(got[i] - 1 / (1 + np.exp(-logit))) < 1e-4, (i, t)
+
+
+def test_quality_scores_against_plain_loops(spark):
+    """Random indexing, pooling and the two layers again, word by word."""
+    rows = [(i, t) for i, t in documents() if i is not None and i != 100]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    df = frame(spark, rows)
+    vectors, network = quality.fit(df.select("doc_id", "text"), labels, quality.fold(quality.F.col("doc_id"), 3) != 1)
+    got = {r.doc_id: r.score for r in quality.quality_scores(spark, df, labels).collect()}
+    place, sign = quality._index()
+    n = quality.LEXICAL + quality.SHAPES
+    table = np.zeros((n, quality.DIM))
+
+    def add(of, by):
+        for k, s in zip(place[by], sign[by]):
+            table[of, k] += s
+
+    for _, t in rows:
+        pairs = [quality._buckets(w) for w in (t or "").split()]
+        for k, (word, shape) in enumerate(pairs):
+            for other in ([pairs[k - 1][0]] if k else []) + ([pairs[k + 1][0]] if k + 1 < len(pairs) else []):
+                add(word, other)
+            add(shape, word)
+            add(word, shape)
+    table = [row / max(np.sqrt((row * row).sum()), 1e-6) for row in table]
+    assert np.allclose(table, vectors, atol=1e-5)
+    for i, t in rows:
+        pairs = [quality._buckets(w) for w in (t or "").split()]
+        x = np.zeros(3 * quality.DIM + 4)
+        if pairs:
+            v, s = [table[w] for w, _ in pairs], [table[h] for _, h in pairs]
+            mean = sum(v) / len(v)
+            x[: quality.DIM], x[quality.DIM : 2 * quality.DIM] = mean, sum(s) / len(s)
+            x[2 * quality.DIM : 3 * quality.DIM] = np.sqrt(np.maximum(sum(a * a for a in v) / len(v) - mean**2, 0))
+            x[-4] = sum((a * b).sum() for a, b in zip(v, v[1:])) / len(v)
+            x[-3] = sum(a[0] == b[0] for a, b in zip(pairs, pairs[1:])) / len(v)
+            x[-2] = np.sqrt((mean * mean).sum())
+        x[-1] = np.log1p(len(pairs)) / 5
+        hidden = [np.tanh(sum((x - network.mean) / network.scale * network.w1[:, j]) + network.b1[j]) for j in range(len(network.b1))]
+        logit = sum(h * w for h, w in zip(hidden, network.w2)) + network.b2
+        assert abs(got[i] - 1 / (1 + np.exp(-logit / network.temperature))) < 1e-3, (i, t)
+
+
 def test_shapes_are_of_whole_tokens():
     shape = lambda token: quality._buckets(token)[1]
     assert shape("漢" * 100 + "!42") == shape("漢!42") != shape("漢" * 100)
