@@ -13,6 +13,8 @@ from tallyloom.llm.tokens import default_tokenizer, encoder
 
 #: Documents that go to Arrow in one batch, so that a batch of long texts stays small.
 BATCH = 128
+#: Rows after which the writer looks whether a stripe is full; few, as documents may be long.
+CHECK_ROWS = 256
 
 
 def _encode(path: str, end_id: int):
@@ -47,20 +49,21 @@ def write_token_orc(
     """Encode every whole text, append end_id, write (doc_id, part, seq, ids) in ascending doc_id order.
 
     part and seq are the file's place and the row's place in it. Null texts count as empty
-    (one id, end_id). Null ids come first; rows with one id lie together, in text order. An
-    empty table gives readable files without rows. Other columns are not read. The text is
+    (one id, end_id); very long texts are one row each. Null ids come first; rows that tie in id lie
+    together, in the order of a hash of their text, which also deals one id's rows over tasks. An empty table gives readable files without rows. Other columns are not read. The text is
     shuffled once, by ranges of the id; encoding and writing follow in the same stage.
     Readers take stripes in parallel and skip stripes and row groups by the id's statistics
     and Bloom filter.
     """
     run = _encode(tokenizer or default_tokenizer(), end_id)
-    ranged = narrow(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")
+    ranged = narrow(docs, id_col, text_col).repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     with session_conf(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         (
             ranged.mapInArrow(run, "doc_id long, part int, seq long, ids array<int>")
             .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
             .option("orc.create.index", "true").option("orc.row.index.stride", row_stride)
-            .option("orc.stripe.size", stripe_mb << 20).option("compression", "zstd").orc(path)
+            .option("orc.stripe.size", stripe_mb << 20).option("orc.rows.between.memory.checks", CHECK_ROWS).option("compression", "zstd").orc(path)
         )
 
 

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tallyloom.llm import packing, token_counts, token_orc
-from tallyloom.llm.common import fresh_path
+from tallyloom.llm.common import fresh_path, session_conf
 from tallyloom.llm.tokens import default_tokenizer, encoder
 
 PATH = default_tokenizer()
@@ -105,6 +106,44 @@ def test_token_files(spark):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,105)]" in plan
 
 
+def test_point_lookups_skip_stripes(spark):
+    """Stripes of a file whose ids cannot match are not read, and Bloom filters of the ids are in the files."""
+    import glob
+
+    import pyarrow.orc as orc
+
+    path = fresh_path(spark, "orc")
+    docs = spark.range(0, 40_000, 2).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 40), x -> substr(sha2(concat(id, ':', x), 256), 1, 9))) AS text")
+    token_orc.write_token_orc(spark, docs, path, stripe_mb=1, row_stride=1000)
+    files = glob.glob(path.removeprefix("file://") + "/*.orc")
+    stripes = sum(orc.ORCFile(f).nstripes for f in files)
+    assert stripes > len(files)
+    read = lambda i: token_orc.read_token_orc(spark, path).where(f"doc_id = {i}")
+    assert [r.doc_id for r in read(20_000).collect()] == [20_000] and read(20_001).collect() == []
+    scanned = lambda df: (df.collect(), df._jdf.queryExecution().executedPlan())[1]
+
+    def rows_read(plan):
+        found = 0 if "Scan orc" not in plan.nodeName() else plan.metrics().apply("numOutputRows").value()
+        return found + sum(rows_read(plan.children().apply(k)) for k in range(plan.children().size()))
+
+    inner = lambda p: p.executedPlan() if "AdaptiveSparkPlan" in p.nodeName() else p
+    one, none, every = (rows_read(inner(scanned(df))) for df in (read(20_000), read(20_001), token_orc.read_token_orc(spark, path)))
+    assert every == 20_000 and 0 < one <= 1000  # one row group
+    assert none == 0  # the id is within a row group's range, so only the Bloom filter can tell
+
+
+def test_one_id_may_have_many_rows(spark):
+    rows = [(None, f"text {k}") for k in range(300)] + [(7, "same")] * 50 + [(k, "x") for k in range(20)]
+    path = fresh_path(spark, "orc")
+    with session_conf(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        token_orc.write_token_orc(spark, frame(spark, rows), path)
+    stored = token_orc.read_token_orc(spark, path)
+    parts = stored.where("doc_id IS NULL").groupBy("part").count().collect()
+    assert len(parts) > 1
+    got = token_orc.token_positions(spark, path).orderBy("start").collect()
+    assert [r.doc_id or -1 for r in got] == sorted(i or -1 for i, _ in rows) and got[-1].start + got[-1].n_tokens == sum(r.n_tokens for r in got)
+
+
 def test_token_files_empty(spark):
     assert token_orc.token_file_query(spark, frame(spark, [])).collect() == []
 
@@ -141,6 +180,31 @@ def test_packing_empty(spark):
     assert packing.pack(spark, frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_padding_on_the_tables(spark, sf):
+    """Under 1 % of all ids, and the linear program never loses to best-fit decreasing."""
+    folder = f"/root/testdata/sf{sf}/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables")
+    pieces = packing.pack(spark, spark.read.parquet(folder))
+    sums = pieces.groupBy("sequence_id").agg({"length": "sum"}).toPandas()["sum(length)"]
+    assert sum(packing.padding(int(n), 1024) for n in sums) < 0.01 * sums.sum()
+
+
+def test_patterns_beat_best_fit():
+    for demand, capacity in (({342: 1000, 300: 900, 171: 777}, 1024), ({k: 40 for k in range(256, 513)}, 1024), ({k: 3 for k in range(1, 8192)}, 8192)):
+        plan, plain = packing.plan_tails(demand, capacity), packing.best_fit(demand, capacity)
+        used = defaultdict(int)
+        for pattern, n in plan:
+            assert sum(l * a for l, a in pattern.items()) <= capacity
+            for l, a in pattern.items():
+                used[l] += a * n
+        assert used == demand
+        assert packing._loss(plan, capacity) <= packing._loss(plain, capacity)
+        if capacity == 1024:
+            assert sum(n for _, n in plan) < 0.97 * sum(n for _, n in plain)
+
+
 def test_column_generation_is_near_the_bound():
     rng = random.Random(2)
     demand = defaultdict(int)
