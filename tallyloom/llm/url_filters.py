@@ -43,8 +43,9 @@ def apply_rules(
     empty host and path. Null and repeated page ids stay as they are; other columns are
     not read. prefix: hex digits of the hash the join uses.
 
-    Path prefixes are cut at the distinct path lengths of the rules, a list bounded by the
-    longest path; they come to the pages as one array value, not as rows. Repeated
+    Very long urls are judged whole; of rules that tie the text decides. Hosts are cut to the distinct label
+    counts and paths to the distinct path lengths of the rules, lists bounded by the longest rule, so that a
+    host of very many labels gives few suffixes; path prefixes come as one array value, not as rows. Repeated
     (host, path) pairs are expanded once. The rules are broadcast only if Spark finds them
     below its threshold; else the join shuffles and AQE splits common suffixes.
     """
@@ -53,11 +54,11 @@ def apply_rules(
         F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")
     )
     lengths = sorted(x[0] for x in rules.select(F.length("path")).distinct().collect() if x[0] is not None)
-    # Label suffixes: a.b.c -> [a.b.c, b.c, c]
-    labels = F.split("host", r"\.", -1)
-    hosts = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), ".")
-    )
+    # Label suffixes: a.b.c -> those of a.b.c, b.c and c that have as many labels as some rule
+    labels = lambda host: F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    counts = sorted(x[0] for x in rules.select(labels(F.col("host"))).distinct().collect() if x[0] is not None)
+    suffixes = [F.when(labels(F.col("host")) >= n, F.substring_index("host", ".", -n)) for n in counts]
+    hosts = F.filter(F.array(*suffixes or [F.lit(None).cast("string")]), lambda h: h.isNotNull())
     cuts = F.filter(F.array(*[F.lit(n) for n in lengths] or [F.lit(0)]), lambda n: n <= F.length("path"))
     paths = F.transform(cuts, lambda n: F.substring(F.col("path"), F.lit(1), n))
     expanded = (
