@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialize
+from tallyloom.llm.common import forget, materialize
 from tallyloom.llm.words import shingle_hashes, word_hashes, words
 
 WINDOW, SHINGLE = 10, 5
@@ -122,7 +122,11 @@ def _count_tokens(maps: dict[int, bytes], bits: int):
     return run
 
 
-def _candidates(maps: dict[int, bytes], bits: int, window: int):
+def _candidates(maps: dict[int, bytes], bits: int, window: int, shingle: int):
+    """Each document's places that may be a window's prefix token, with the words around that a window could take.
+
+    A token of fewer words than a shingle is a whole window: it brings its own words only."""
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -139,10 +143,11 @@ def _candidates(maps: dict[int, bytes], bits: int, window: int):
                 for at, size, h in _hits(many, maps, bits):
                     if not size:
                         continue
+                    reach = size if size < shingle else window
                     for d, p, x in zip((np.searchsorted(starts, at, "right") - 1).tolist(), at.tolist(), h.tolist()):
                         p -= int(starts[d])
-                        low = max(0, p + size - window)
-                        near = b" ".join(many[d][low : p + window]).decode("utf-8", "surrogatepass")
+                        low = max(0, p + size - reach)
+                        near = b" ".join(many[d][low : p + reach]).decode("utf-8", "surrogatepass")
                         found[d].append({"token": x, "token_size": size, "pos": p, "lead": p - low, "near": near})
                 n = len(many)
                 yield pa.RecordBatch.from_arrays(
@@ -163,7 +168,8 @@ def contamination(
     n_hit counts words inside any occurrence of a window of window item words (an item of
     fewer words, but not none, is one window). Null and empty texts have no words; items
     without words never occur; an item with a null id hits words but is in no list of items.
-    Repeated rows are judged each; an empty table of either kind works. Other columns are not read.
+    Very long texts are read whole; windows that tie in rarity go by hash and place. Repeated rows are
+    judged each; an empty table of either kind works. Other columns are not read.
     """
     docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     items = items.select(items[item_col].cast("string").alias("item_id"), items[item_text_col].cast("string").alias("text"))
@@ -184,10 +190,11 @@ def contamination(
         .select("words", "p.*")
     )
     prefix = materialize(spark, prefix.withColumn("size", F.size(F.split("words", " "))), "window-prefix")
+    forget(spark, tokens)
 
     maps, bits = bitmap(prefix.select("token", "token_size").distinct())
     seen = docs.mapInArrow(
-        _candidates(maps, bits, window),
+        _candidates(maps, bits, window, shingle),
         "uid long, doc_id long, n_words long, found array<struct<token:long,token_size:int,pos:long,lead:int,near:string>>",
     )
     seen = materialize(spark, seen, "contamination")

@@ -19,7 +19,7 @@ def test_decontaminate(spark):
     rows = documents()
     long = rows[0][1] or prose(rng, 50)
     base = next(t for _, t in rows if t and len(t.split()) > 60)
-    items = [(1, " ".join(base.split()[10:40])), (2, "TWO, words!"), (3, None), (4, ""), (5, "..."), (6, prose(rng, 40)), (7, "one"), (2, "TWO words"), (None, "twice"), (8, long)]
+    items = [(20, "alpha"), (21, "one two words"), (1, " ".join(base.split()[10:40])), (2, "TWO, words!"), (3, None), (4, ""), (5, "..."), (6, prose(rng, 40)), (7, "one"), (2, "TWO words"), (None, "twice"), (8, long)]
     got = decontaminate.contamination(spark, frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
     windows = {}
     for i, t in items:
@@ -218,7 +218,7 @@ def test_signatures_are_unbiased():
 def test_url_filters(spark):
     pages = [
         (1, "http://a.NET/x"), (2, "http://example.net/en/a"), (3, "http://x.example.com/de/"), (4, "http://example.com/den"), (5, "http://y.org/fr/?q"),
-        (6, None), (7, "no scheme"), (8, "http://net"), (9, "http://notexample.net/en/"), (9, "http://notexample.net/en/"), (None, "a://net/#f"), (11, "u://b://net/"), (12, "http://a.net?x/"), (13, "://net/a\nb"),
+        (6, None), (7, "no scheme"), (8, "http://net"), (9, "http://notexample.net/en/"), (9, "http://notexample.net/en/"), (None, "a://net/#f"), (11, "u://b://net/"), (12, "http://a.net?x/"), (13, "://net/a\nb"), (14, "http://" + "a." * 10_000 + "example.net/en/" + "p" * 10_000), (15, "http://" + "." * 50 + "net/"),
     ]
     df = spark.createDataFrame([(i, u, "x", "y") for i, u in pages], "page_id long, url string, host string, rule string")
     got = [(r.page_id or -1, r.host, r.path, r.rule, r.verdict) for r in url_filters.apply_rules(df, url_filters.rule_frame(spark)).collect()]
