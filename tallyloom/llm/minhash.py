@@ -282,7 +282,8 @@ def near_duplicates(
     Two documents are linked if the multiset Jaccard similarity of their five-word shingles
     is at least 0.8; classes are the connected components, class_id is the class's least
     doc_id (rows without id last). A pair at the threshold shares no band with probability
-    (1 - 0.8**4)**24 = 3e-6. Null, empty and wordless texts have no shingles and stay alone; a text of
+    (1 - 0.8**4)**24 = 3e-6, and in small buckets a further 3e-9 fail the register gate (least_alike). Very
+    long texts are shingled whole; pivots that tie go by uid. Null, empty and wordless texts have no shingles and stay alone; a text of
     fewer than five words is one shingle. Rows with null or repeated ids are judged each.
     An empty table gives an empty result. Other columns are not read.
     """
