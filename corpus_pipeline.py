@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import stages
-from tallyloom.llm.common import materialize, table
+from tallyloom.llm.common import forget, materialize, table
 
 STAGES = [
     ("quality", stages.quality),
@@ -22,5 +22,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(spark, before)
     return docs
