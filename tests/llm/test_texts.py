@@ -248,3 +248,36 @@ def test_register_gate_misses_far_less_than_the_bands():
 
     need = int(np.ceil(minhash.least_alike(0.8, 96) * 96))
     assert sum(comb(96, k) * 0.8**k * 0.2 ** (96 - k) for k in range(need)) < 3.2e-8
+
+
+def test_recall_against_all_pairs_of_a_table(spark):
+    """Every row whose id is divisible by 5 (RECALL_STEP) against all rows: pairs of similarity 0.8 and more are in one class."""
+    import os
+
+    import pytest
+
+    folder, step = os.environ.get("RECALL_DIR", "/root/testdata/sf0.01"), int(os.environ.get("RECALL_STEP", "5"))
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    ids = np.array([r.doc_id for r in rows])
+    bags = [minhash.numbered(b) for b in minhash.bags([r.text for r in rows])]
+    size = np.array([len(b) for b in bags])
+    _, code = np.unique(np.concatenate(bags), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), size)
+    order = np.argsort(code, kind="stable")
+    start = np.r_[0, np.cumsum(np.bincount(code))]
+    ends = np.cumsum(size)
+    of = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark, docs).collect()}
+    pairs = found = 0
+    for q in np.flatnonzero(ids % step == 0):
+        if not size[q]:
+            continue
+        mine = code[ends[q] - size[q] : ends[q]]
+        both = np.bincount(np.concatenate([owner[order[start[c] : start[c + 1]]] for c in mine]), minlength=len(rows))
+        alike = np.flatnonzero(both >= 0.8 * (size[q] + size - both) - 1e-9)
+        pairs += len(alike) - 1
+        found += sum(of[ids[k]] == of[ids[q]] for k in alike) - 1
+    print("pairs", pairs, "found", found)
+    assert pairs > 10 and found == pairs
