@@ -146,3 +146,55 @@ def test_entry_without_llm():
     import __spark_entry__ as e
 
     assert "search_recent" in e.queries() and e.queries().keys() >= e.oracle_sql().keys()
+
+
+def test_candidates_lose_no_pair(spark):
+    """Short and empty names over a small alphabet: all pairs of a block within two edits, and no other."""
+    import random
+
+    rng = random.Random(1)
+    names = ["", "a", "ab"] + ["".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(150)]
+    rows = spark.createDataFrame([("x" if k % 3 else "y", n, k) for k, n in enumerate(names)], "b string, n string, k int")
+
+    def edits(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, line = line, [i]
+            for j, y in enumerate(b, 1):
+                line.append(min(before[j] + 1, line[-1] + 1, before[j - 1] + (x != y)))
+        return line[-1]
+
+    expect = {(i, j, edits(names[i], names[j])) for j in range(len(names)) for i in range(j) if bool(i % 3) == bool(j % 3)}
+    got = {(r.key_a, r.key_b, r.distance) for r in history.candidates(rows, rows, "b", "n", "k", 2).collect()}
+    assert got == {x for x in expect if x[2] <= 2}
+
+
+def test_settings_bind_new_rows_only(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 10), (1, 20), (2, 5)], "k int, t int")
+    settings = spark.createDataFrame([(1, 10, 30), (1, 15, 90), (3, 1, 7)], "k int, since int, days int")
+    got = {(r.k, r.t): r.days for r in history.setting_at(rows, settings, "k", "t", "since", "days").collect()}
+    assert got == {(1, 5): None, (1, 10): 30, (1, 20): 90, (2, 5): None}
+
+
+def test_expired_rows_stay_but_are_not_current(spark):
+    rows = spark.createDataFrame([(1, "ready", 5), (2, "ready", 15), (3, None, None)], "id int, status string, e int")
+    marked = history.mark_expired(rows, "status", "e", F.lit(10))
+    assert {r.id: r.status for r in marked.collect()} == {1: "expired", 2: "ready", 3: None}
+    assert sorted(r.id for r in history.current(marked, "status").collect()) == [2, 3]
+
+
+def test_secured_views(spark):
+    members = spark.createDataFrame([(1, 7, "viewer"), (2, 7, "owner")], "org int, user_id int, role string")
+    rows = spark.createDataFrame([(1, "a", 7), (2, "b", 8), (3, "c", 7)], "org int, v string, created_by int")
+    see = lambda *rule: sorted(r.v for r in security.visible(rows, *rule, members, 7, "org").collect())
+    assert see("organization_members", "select") == ["a", "b"] and see("organization_members", "delete") == ["b"]
+    assert see("research_jobs", "insert") == ["a"] and see("research_jobs", "delete") == []
+    assert see("profiles", "insert") == [] and see("credit_ledger", "update") == []
+
+
+def test_csv(spark, tmp_path):
+    from tallyloom.sources.tables import write_csv
+
+    write_csv(spark.createDataFrame([(1, 'a "quoted", text'), (2, None)], "id int, t string"), str(tmp_path / "out"))
+    back = spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "out"))
+    assert sorted((r.id, r.t) for r in back.collect()) == [("1", 'a "quoted", text'), ("2", None)]
