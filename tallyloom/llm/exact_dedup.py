@@ -92,7 +92,8 @@ def exact_dedup(
 
     state: a folder, shared by the cluster, that retains the stream's state from call to call. Documents of
     earlier calls come first: a later copy of one is dropped, its keep_id is the earlier document's and
-    group_size counts both. The files of earlier documents have to be readable still.
+    group_size counts both. The files of earlier documents have to be readable still. A call that failed after its
+    log was written must not be repeated on the same folder: its rows would count as earlier ones.
     """
     return _judged(spark, *_located(spark, docs), id_col, text_col, digest_bits, state).drop("file", "row")
 

@@ -33,6 +33,8 @@ BANDS, ROWS = 24, 4
 #: Members of a bucket beyond which it is compared in blocks; members and shingles of a block.
 SMALL, BLOCK, SHINGLES = 64, 512, 4_000_000
 BATCH = 256
+#: AQE may split a hot bucket's rows in a join even where an aggregation by bucket follows.
+SPLIT = {"spark__sql__adaptive__forceOptimizeSkewedJoin": "true"}
 
 
 def bags(texts: list[str | None], shingle: int = SHINGLE) -> list:
@@ -330,14 +332,16 @@ def near_duplicates(
             F.min(F.struct(*(c.alias(f"r{k}") for k, c in enumerate(rank)), F.col("uid").alias("p"), F.col("comp").alias("pc"), F.col("size").alias("ps"))).alias("pivot")
         ).select("key", "pivot.p", "pivot.pc", "pivot.ps")
         pairs = labelled.join(pivot, "key").where("comp <> pc").where(_sizes_allow(F.col("size"), F.col("ps"), similarity))
-        pairs = materialize(spark, pairs.select(F.least("uid", "p").alias("a"), F.greatest("uid", "p").alias("b")).distinct(), "pairs")
+        with session_conf(spark, **SPLIT):
+            pairs = materialize(spark, pairs.select(F.least("uid", "p").alias("a"), F.greatest("uid", "p").alias("b")).distinct(), "pairs")
         nodes = _relabel(spark, nodes, verified(pairs))
 
     # What is still apart in a bucket is compared pair by pair: a large bucket in blocks, with its
     # members' bags, so that only links come out; a small one on signatures, its pairs are verified after.
     least = least_alike(similarity, bands * rows)
     labelled = open_members().select("uid", "key", "comp", "size")
-    labelled = materialize(spark, labelled.join(reps.select("uid", "keys", "sig"), "uid"), "open")
+    with session_conf(spark, **SPLIT):
+        labelled = materialize(spark, labelled.join(reps.select("uid", "keys", "sig"), "uid"), "open")
     blocks = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     large = F.col("n") > SMALL
     blocks = blocks.select("key", large.alias("large"), F.when(large, F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / SHINGLES)).cast("int")).otherwise(1).alias("n"))
