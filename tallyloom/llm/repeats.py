@@ -37,6 +37,8 @@ PERIOD = PRIME * PRIME + PRIME + 1
 PASSES = 2
 #: String starts handled at a time, so that a very long text needs little memory.
 SEGMENT = 1 << 18
+#: Documents of an Arrow batch that are read together.
+DOCS = 64
 
 
 @lru_cache(maxsize=1)
@@ -89,39 +91,85 @@ def _hash(prefix, starts, ends, which: int):
     return (prefix[ends] - prefix[starts]) * _powers()[which][2][starts]
 
 
-def blocks_of(data, length: int = LENGTH, only: tuple[int, int] | None = None, names: bool = True):
-    """Arrays of a text's blocks: the sampled place, first start, last start, tuple hash and, if asked for, two hashes of the block's
-    bytes, hashes of the bytes around the tuple that every string starting half() or more before it has (left)
-    and that every other has (right), 0 where the block has no such string. only: (k, n), tuples whose hash is k modulo n."""
+def blocks_of(texts: list[bytes], length: int = LENGTH, only: tuple[int, int] | None = None, names: bool = True):
+    """Arrays of the blocks of many texts: the text's number, the sampled place, first start, last start, tuple hash and, if asked for,
+    two hashes of the block's bytes, hashes of the bytes around the tuple that every string starting half() or more before it has (left)
+    and that every other has (right), 0 where the block has no such string. only: (k, n), tuples whose hash is k modulo n.
+
+    Texts are joined up to SEGMENT bytes, longer ones are read in segments."""
     import numpy as np
 
-    out, gram, far = [], length - PERIOD + 1, half(length)
-    for s in range(0, max(len(data) - length + 1, 0) and len(data) - gram + 1, SEGMENT):
-        low = max(0, s - PERIOD + 1)
-        part = data[low : s + SEGMENT - 1 + length]
-        one = _prefix(part, 0)
-        turns = np.arange(s - s % PERIOD, min(s + SEGMENT, len(data) - gram + 1), PERIOD)
-        p = (turns[:, None] + np.array(cover())).ravel()
-        p = p[(p >= s) & (p < s + SEGMENT) & (p + gram <= len(data))]
-        tuples = mix(_hash(one, p - low, p - low + gram, 0))
+    out, gram = [], length - PERIOD + 1
+    for held in _joined(texts, length):
+        data, owner, start, size, low, high = held  # a text's place in data, its bytes there, and the range of sampled places wanted
+        near = _sampled(int(high.max()))
+        begin, end = np.searchsorted(near, low), np.searchsorted(near, high)
+        many = end - begin
+        of = np.repeat(np.arange(len(owner)), many)
+        local = near[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + begin[of]]
+        shift = (start - np.maximum(0, low - PERIOD + 1))[of]  # from a place in the text to one in data
+        one = _prefix(data, 0)
+        tuples = mix(_hash(one, local + shift, local + shift + gram, 0))
         if only:
             keep = (tuples >> np.uint64(8)) % np.uint64(only[1]) == only[0]
-            p, tuples = p[keep], tuples[keep]
-        first, last = np.maximum(0, p - PERIOD + 1), np.minimum(p, len(data) - length)
-        more = []
-        if names:
-            two = _prefix(part, 1)
-            more = [mix(_hash(h, first - low, last - low + length, i)) for i, h in enumerate((one, two))]
-            for some, a, b in ((p - first >= far, p - far, p + gram), (p - last <= far, p, p + length - far)):
-                hashes = np.zeros(len(p), np.uint64)
-                hashes[some] = mix(_hash(one, a[some] - low, b[some] - low, 0)) | np.uint64(1)
-                more.append(hashes)
-        out.append((p, first, last, tuples, *more))
+            local, shift, of, tuples = local[keep], shift[keep], of[keep], tuples[keep]
+        if not names:
+            out.append((tuples,))
+            continue
+        first, last = np.maximum(0, local - PERIOD + 1), np.minimum(local, size[of] - length)
+        two, far, more = _prefix(data, 1), half(length), []
+        for i, h in enumerate((one, two)):
+            more.append(mix(_hash(h, first + shift, last + shift + length, i)))
+        for some, a, b in ((local - first >= far, local - far, local + gram), (local - last <= far, local, local + length - far)):
+            hashes = np.zeros(len(local), np.uint64)
+            hashes[some] = mix(_hash(one, (a + shift)[some], (b + shift)[some], 0)) | np.uint64(1)
+            more.append(hashes)
+        out.append((owner[of], local, first, last, tuples, *more))
     if not out:
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * (5 if names else 1)
+        return [np.zeros(0, np.int64)] * 4 * names + [np.zeros(0, np.uint64)] * (5 if names else 1)
     return [np.concatenate(c) for c in zip(*out)]
 
 
+def _joined(texts: list[bytes], length: int):
+    """Texts joined to arrays of about SEGMENT bytes, with what blocks_of needs of each; a longer text in segments of its sampled places."""
+    import numpy as np
+
+    gram, held, room = length - PERIOD + 1, [], 0
+
+    def out():
+        data = np.frombuffer(b"".join(x[0] for x in held), np.uint8)
+        sizes = np.array([len(x[0]) for x in held], np.int64)
+        owner, size, low, high = (np.array([x[k] for x in held], np.int64) for k in (1, 2, 3, 4))
+        return data, owner, np.cumsum(sizes) - sizes, size, low, high
+
+    for k, text in enumerate(texts):
+        if len(text) < length:
+            continue
+        for s in range(0, len(text) - gram + 1, SEGMENT):
+            high = min(s + SEGMENT, len(text) - gram + 1)
+            part = text if len(text) <= SEGMENT else text[max(0, s - PERIOD + 1) : high - 1 + length]
+            if held and room + len(part) > SEGMENT:
+                yield out()
+                held, room = [], 0
+            held.append((part, k, len(text), s, high))
+            room += len(part)
+    if held:
+        yield out()
+
+
+_places = [0, None]
+
+
+def _sampled(n: int):
+    """The sampled places below n or more, ascending; kept per worker."""
+    import numpy as np
+
+    if _places[1] is None or _places[0] < n:
+        turns = np.arange(-(-n // PERIOD) + 1) * PERIOD
+        _places[:] = [n, (turns[:, None] + np.array(cover())).ravel()]
+    return _places[1]
+
+
 def half(length: int) -> int:
     return (PERIOD - 1) // 2
 
@@ -139,10 +187,9 @@ def _tuples(length: int):
         import pyarrow as pa
 
         for batch in batches:
-            for text in batch.column("text"):
-                names = blocks_of(_bytes(text.as_py()), length, names=False)[3]
-                if len(names):
-                    yield pa.RecordBatch.from_arrays([pa.array(names.view("i8"))], names=["gram"])
+            for k in range(0, batch.num_rows, DOCS):
+                (names,) = blocks_of(_encoded(batch.column("text").slice(k, DOCS)), length, names=False)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view("i8"))], names=["gram"])
 
     return run
 
@@ -156,18 +203,30 @@ def _blocks(length: int, only: tuple[int, int]):
         import pyarrow as pa
 
         for batch in batches:
-            for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text")):
-                p, first, last, gram, one, two, left, right = blocks_of(_bytes(text.as_py()), length, only)
-                if len(p):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(p), uid)), pa.array(p.astype(np.int32)), pa.array((p - first).astype(np.int16)), pa.array((last - first).astype(np.int16)),
-                         *(pa.array(x.view("i8")) for x in (gram, one, two)), *(pa.array(x.astype(np.uint32).view("i4")) for x in (left, right))],
-                        names=["uid", "place", "lead", "size", "gram", "one", "two", "left", "right"],
-                    )
+            for k in range(0, batch.num_rows, DOCS):
+                uid = batch.column("uid").slice(k, DOCS).to_numpy()
+                of, p, first, last, gram, one, two, left, right = blocks_of(_encoded(batch.column("text").slice(k, DOCS)), length, only)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(uid[of]), pa.array(p.astype(np.int32)), pa.array((p - first).astype(np.int16)), pa.array((last - first).astype(np.int16)),
+                     *(pa.array(x.view("i8")) for x in (gram, one, two)), *(pa.array(x.astype(np.uint32).view("i4")) for x in (left, right))],
+                    names=["uid", "place", "lead", "size", "gram", "one", "two", "left", "right"],
+                )
 
     return run
 
 
+def _encoded(texts) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
+
+
+def _lists(column):
+    """The values of a column of lists (null: empty) as one array, and each row's first and end in it."""
+    import numpy as np
+
+    ends = np.cumsum(np.array(column.value_lengths().fill_null(0), np.int64))
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
+
+
 def _rebatched(run, rows: int = 50_000):
     """Join a generator's small batches, so that Spark gets few and large ones."""
 
@@ -195,10 +254,11 @@ def _strings(length: int, only: tuple[int, int]):
         import pyarrow as pa
 
         for batch in batches:
-            for uid, text, rows in zip(*(batch.column(c).to_pylist() for c in ("uid", "text", "wanted"))):
-                data = _bytes(text)
-                col = {c: np.array([r[c] for r in rows], np.int64) for c in ("first", "last", "single")}
-                want, mark = (_covered(col["first"][use], col["last"][use] + 1, len(data)) for use in (slice(None), col["single"] > 0))
+            packed, begin, end = _lists(batch.column("wanted"))
+            for uid, text, lo, hi in zip(batch.column("uid").to_pylist(), batch.column("text"), begin.tolist(), end.tolist()):
+                data, x = _bytes(text.as_py()), packed[lo:hi]
+                first, size, single = x >> 9, x >> 1 & 255, x & 1
+                want, mark = (_covered(first[use], (first + size + 1)[use], len(data)) for use in (slice(None), single > 0))
                 for s in range(0, len(data), SEGMENT):
                     at = np.flatnonzero(want[s : s + SEGMENT])
                     if not len(at):
@@ -220,9 +280,9 @@ def _covered(first, end, n: int):
     """Which of n places lie in a range."""
     import numpy as np
 
-    step = np.zeros(n + 1, np.int32)
-    np.add.at(step, first, 1)
-    np.add.at(step, end, -1)
+    if not len(first):
+        return np.zeros(n, bool)
+    step = np.bincount(first, minlength=n + 1) - np.bincount(end, minlength=n + 1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -234,15 +294,10 @@ def _cut(length: int):
         import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
-                data = _bytes(text)
-                step = np.zeros(len(data) + 1, np.int32)
-                if ranges:
-                    r = np.array([(x["first"], x["last"] + length) for x in ranges], np.int64)
-                    np.add.at(step, r[:, 0], 1)
-                    np.add.at(step, r[:, 1], -1)
-                gone = np.cumsum(step[:-1]) > 0
+            rows, (packed, begin, end) = [], _lists(batch.column("ranges"))
+            for text, lo, hi in zip(batch.column("text"), begin.tolist(), end.tolist()):
+                data, x = _bytes(text.as_py()), packed[lo:hi]
+                gone = _covered(x >> 8, (x >> 8) + (x & 255) + length, len(data))
                 spans = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(gone) else 0
                 rows.append((len(data), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
             cols = list(zip(*rows)) or [[]] * 4
@@ -271,8 +326,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         tuples = materialize(spark, tuples.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "tuples")
         whole, wanted = zip(*(_one_range(spark, texts, tuples, name, length, (k, passes)) for k in range(passes)))
         forget(spark, tuples)
-        pick = F.struct("first", "last", "single")
-        asked = _union(wanted).groupBy("uid").agg(F.collect_list(pick).alias("wanted"))
+        asked = _union(wanted).groupBy("uid").agg(F.collect_list("wanted").alias("wanted"))
         asked = materialize(spark, texts.join(asked, "uid").select("uid", "text", "wanted"), "wanted")
         forget(spark, *wanted)
         partial = []
@@ -281,10 +335,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
             strings = materialize(spark, strings, "strings")
             keys = strings.groupBy("key1", "key2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key1", "key2")
             found = strings.where("start IS NOT NULL").join(keys, ["key1", "key2"], "left_semi")
-            partial.append(materialize(spark, found.select("uid", F.col("start").alias("first"), F.col("start").alias("last")), "repeated-starts"))
+            partial.append(materialize(spark, found.select("uid", F.shiftleft(F.col("start").cast("long"), 8).alias("range")), "repeated-starts"))
             forget(spark, strings)
         forget(spark, asked)
-        ranges = _union([*whole, *partial]).groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+        ranges = _union([*whole, *partial]).groupBy("uid").agg(F.collect_list("range").alias("ranges"))
         ranges = materialize(spark, ranges, "repeats")
         forget(spark, *whole, *partial)
         cut = named.join(ranges, "uid", "left").select("doc_id", "text", "ranges")
@@ -302,31 +356,33 @@ def _union(frames) -> DataFrame:
 
 
 def _one_range(spark: SparkSession, texts: DataFrame, tuples: DataFrame, name: list[str], length: int, only: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """Of the blocks whose tuple lies in a range: those that are repeated as a whole (uid, first, last), and the starts
-    that are left (uid, first, last, single); single is 0 where the block stands for others that are marked already."""
+    """Of the blocks whose tuple lies in a range: those that are repeated as a whole (uid, range: first start * 256 + starts after it),
+    and the starts that are left (uid, wanted: such a range * 2 + single); single is 0 where the block stands for others that are marked already."""
     every = texts.mapInArrow(_rebatched(_blocks(length, only)), _BLOCK)
     mine = tuples.where(F.pmod(F.shiftrightunsigned("gram", 8), F.lit(only[1])) == only[0])
     some = materialize(spark, every.join(mine.hint("shuffle_hash"), "gram", "left_semi"), "shared-blocks")
     named = some.groupBy(*name).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "place")).alias("of"), F.min("left").alias("left"), F.min("right").alias("right")
+        F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"), F.min_by("place", "uid").alias("place"), F.min("left").alias("left"), F.min("right").alias("right")
     )
     named = materialize(spark, named, "block-names")
     twice = named.where("n > 1").select(*name)
-    first = (F.col("place") - F.col("lead")).alias("first")
-    whole = some.join(twice.hint("shuffle_hash"), name, "left_semi").select("uid", first, (F.col("place") - F.col("lead") + F.col("size")).alias("last"))
+    first = F.col("place") - F.col("lead")
+    packed = F.shiftleft(first.cast("long"), 8) + F.col("size")
+    whole = some.join(twice.hint("shuffle_hash"), name, "left_semi").select("uid", packed.alias("range"))
     whole = materialize(spark, whole, "whole-blocks")
     forget(spark, some)
 
     # A string has the block's left bytes if it starts far or more before the tuple, the right ones if
     # it starts at far or later. Bytes that only one name has are in no repeated string of another.
-    far, known = half(length), named.withColumns({"uid": F.col("of.uid"), "place": F.col("of.place")})
+    far, known = half(length), named
     for side in ("left", "right"):
         various = named.where(f"{side} <> 0").groupBy("gram", side).agg(F.count(F.lit(1)).alias(f"{side}_names")).where(f"{side}_names > 1")
         known = known.join(various, ["gram", side], "left")
     begin = F.when(F.col("left_names").isNull(), F.greatest(first, F.col("place") - far + 1)).otherwise(first)
     end = F.col("place") - F.col("lead") + F.col("size")
     end = F.when(F.col("right_names").isNull(), F.least(end, F.col("place") - far - 1)).otherwise(end)
-    known = known.select("uid", begin.alias("first"), end.alias("last"), (F.col("n") == 1).cast("int").alias("single")).where("first <= last")
+    known = known.select("uid", begin.cast("long").alias("first"), end.cast("long").alias("last"), (F.col("n") == 1).cast("int").alias("single")).where("first <= last")
+    known = known.select("uid", (F.shiftleft("first", 9) + F.shiftleft(F.col("last") - F.col("first"), 1) + F.col("single")).alias("wanted"))
     wanted = materialize(spark, known, "wanted-starts")
     forget(spark, named)
     return whole, wanted

@@ -71,19 +71,18 @@ def test_cover_is_a_perfect_difference_set():
 
 def test_blocks_do_not_depend_on_segments(monkeypatch):
     rng = np.random.default_rng(1)
-    data = np.r_[rng.integers(0, 4, 3000), np.zeros(900, int), rng.integers(0, 256, 2000)].astype(np.uint8)
-    repeats._powers.cache_clear()
-    monkeypatch.setattr(repeats, "SEGMENT", 700)
-    small = repeats.blocks_of(data)
-    repeats._powers.cache_clear()
-    monkeypatch.setattr(repeats, "SEGMENT", 1 << 18)
-    whole = repeats.blocks_of(data)
-    assert all((a == b).all() for a, b in zip(small, whole))
-    assert set(whole[0].tolist()) == {p for p in range(len(data) - 67) if p % repeats.PERIOD in repeats.cover()}
-    for k in range(3):
-        part = repeats.blocks_of(data, only=(k, 3))
-        assert all(x in whole[0] for x in part[0])
-    assert sum(len(repeats.blocks_of(data, only=(k, 3))[0]) for k in range(3)) == len(whole[0])
+    data = np.r_[rng.integers(0, 4, 3000), np.zeros(900, int), rng.integers(0, 256, 2000)].astype(np.uint8).tobytes()
+    texts = [b"", data, data[:199], data[:200], data[:701], data[5:3000], b"x" * 700]
+    wholes = []
+    for segment in (700, 1 << 18):
+        repeats._powers.cache_clear()
+        monkeypatch.setattr(repeats, "SEGMENT", segment)
+        wholes.append(repeats.blocks_of(texts))
+        parts = [repeats.blocks_of(texts, only=(k, 3)) for k in range(3)]
+        assert sorted(x for p in parts for x in zip(*p)) == sorted(zip(*wholes[-1]))
+        assert sorted(repeats.blocks_of(texts, names=False)[0]) == sorted(wholes[-1][4])
+    assert all((a == b).all() for a, b in zip(*wholes))
+    assert {(k, p) for k, p in zip(*wholes[0][:2])} == {(k, p) for k, t in enumerate(texts) if len(t) >= 200 for p in range(len(t) - 67) if p % repeats.PERIOD in repeats.cover()}
     repeats._powers.cache_clear()
 
 
