@@ -34,7 +34,7 @@ LENGTH = 200
 #: Period of the cover, q * q + q + 1 for a prime q: a perfect difference set of q + 1 remainders exists.
 PRIME = 11
 PERIOD = PRIME * PRIME + PRIME + 1
-PASSES = 2
+PASSES = 3
 #: String starts handled at a time, so that a very long text needs little memory.
 SEGMENT = 1 << 18
 #: Documents of an Arrow batch that are read together.
