@@ -53,12 +53,13 @@ def session_conf(spark: SparkSession, **pairs: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+def materialize(spark: SparkSession, df: DataFrame, tag: str, dictionary: bool = True) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut, lost executors
-    do not force upstream work to run again, and the shuffle files of the write can go."""
+    do not force upstream work to run again, and the shuffle files of the write can go.
+    dictionary=False: for columns of hashes, which dictionaries only delay."""
     path = fresh_path(spark, tag)
     with session_conf(spark, **{_CLEANUP.replace(".", "__"): "true"}):
-        df.write.parquet(path)
+        df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyloom_path = path
     return out

@@ -194,7 +194,7 @@ def _tuples(length: int):
     return run
 
 
-_BLOCK = "uid long, place int, lead short, size short, gram long, one long, two long, left int, right int"
+_BLOCK = "uid long, place int, shape int, gram long, one long, two long, sides long"  # shape: lead * 256 + size; sides: left and right
 
 
 def _blocks(length: int, only: tuple[int, int]):
@@ -207,9 +207,9 @@ def _blocks(length: int, only: tuple[int, int]):
                 uid = batch.column("uid").slice(k, DOCS).to_numpy()
                 of, p, first, last, gram, one, two, left, right = blocks_of(_encoded(batch.column("text").slice(k, DOCS)), length, only)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid[of]), pa.array(p.astype(np.int32)), pa.array((p - first).astype(np.int16)), pa.array((last - first).astype(np.int16)),
-                     *(pa.array(x.view("i8")) for x in (gram, one, two)), *(pa.array(x.astype(np.uint32).view("i4")) for x in (left, right))],
-                    names=["uid", "place", "lead", "size", "gram", "one", "two", "left", "right"],
+                    [pa.array(uid[of]), pa.array(p.astype(np.int32)), pa.array(((p - first << 8) + last - first).astype(np.int32)),
+                     *(pa.array(x.view("i8")) for x in (gram, one, two, (left << np.uint64(32)) | (right & np.uint64(0xFFFFFFFF))))],
+                    names=["uid", "place", "shape", "gram", "one", "two", "sides"],
                 )
 
     return run
@@ -320,7 +320,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """
     named = with_uid(spark, narrow(docs, id_col, text_col))
     texts = named.select("uid", "text")
-    name = ["gram", "lead", "size", "one", "two"]
+    name = ["gram", "shape", "one", "two"]
     with session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000", **BLOOM):
         tuples = texts.mapInArrow(_rebatched(_tuples(length)), "gram long")
         tuples = materialize(spark, tuples.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "tuples")
@@ -332,9 +332,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         partial = []
         for k in range(passes):
             strings = asked.mapInArrow(_rebatched(_strings(length, (k, passes))), "key1 long, key2 long, uid long, start int")
-            strings = materialize(spark, strings, "strings")
+            strings = materialize(spark, strings, "strings", dictionary=False)
             keys = strings.groupBy("key1", "key2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key1", "key2")
-            found = strings.where("start IS NOT NULL").join(keys, ["key1", "key2"], "left_semi")
+            found = strings.where("start IS NOT NULL").join(keys.hint("shuffle_hash"), ["key1", "key2"], "left_semi")
             partial.append(materialize(spark, found.select("uid", F.shiftleft(F.col("start").cast("long"), 8).alias("range")), "repeated-starts"))
             forget(spark, strings)
         forget(spark, asked)
@@ -360,14 +360,15 @@ def _one_range(spark: SparkSession, texts: DataFrame, tuples: DataFrame, name: l
     and the starts that are left (uid, wanted: such a range * 2 + single); single is 0 where the block stands for others that are marked already."""
     every = texts.mapInArrow(_rebatched(_blocks(length, only)), _BLOCK)
     mine = tuples.where(F.pmod(F.shiftrightunsigned("gram", 8), F.lit(only[1])) == only[0])
-    some = materialize(spark, every.join(mine.hint("shuffle_hash"), "gram", "left_semi"), "shared-blocks")
+    some = materialize(spark, every.join(mine.hint("shuffle_hash"), "gram", "left_semi"), "shared-blocks", dictionary=False)
     named = some.groupBy(*name).agg(
-        F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"), F.min_by("place", "uid").alias("place"), F.min("left").alias("left"), F.min("right").alias("right")
+        F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"), F.min_by("place", "uid").alias("place"), F.min("sides").alias("sides")
     )
-    named = materialize(spark, named, "block-names")
+    named = named.select(*name, "n", "uid", "place", F.shiftrightunsigned("sides", 32).alias("left"), F.col("sides").bitwiseAND(0xFFFFFFFF).alias("right"))
+    named = materialize(spark, named, "block-names", dictionary=False)
     twice = named.where("n > 1").select(*name)
-    first = F.col("place") - F.col("lead")
-    packed = F.shiftleft(first.cast("long"), 8) + F.col("size")
+    first, size = F.col("place") - F.shiftright("shape", 8), F.col("shape").bitwiseAND(255)
+    packed = F.shiftleft(first.cast("long"), 8) + size
     whole = some.join(twice.hint("shuffle_hash"), name, "left_semi").select("uid", packed.alias("range"))
     whole = materialize(spark, whole, "whole-blocks")
     forget(spark, some)
@@ -377,9 +378,9 @@ def _one_range(spark: SparkSession, texts: DataFrame, tuples: DataFrame, name: l
     far, known = half(length), named
     for side in ("left", "right"):
         various = named.where(f"{side} <> 0").groupBy("gram", side).agg(F.count(F.lit(1)).alias(f"{side}_names")).where(f"{side}_names > 1")
-        known = known.join(various, ["gram", side], "left")
+        known = known.join(various.hint("shuffle_hash"), ["gram", side], "left")
     begin = F.when(F.col("left_names").isNull(), F.greatest(first, F.col("place") - far + 1)).otherwise(first)
-    end = F.col("place") - F.col("lead") + F.col("size")
+    end = first + size
     end = F.when(F.col("right_names").isNull(), F.least(end, F.col("place") - far - 1)).otherwise(end)
     known = known.select("uid", begin.cast("long").alias("first"), end.cast("long").alias("last"), (F.col("n") == 1).cast("int").alias("single")).where("first <= last")
     known = known.select("uid", (F.shiftleft("first", 9) + F.shiftleft(F.col("last") - F.col("first"), 1) + F.col("single")).alias("wanted"))
