@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import conversation_repair, decontaminate, exact_dedup, minhash, packing, quality, repeats, token_counts, token_orc, toxicity, url_filters
+from tallyloom.llm import conversation_repair, decontaminate, exact_dedup, minhash, packing, periodic_runs, quality, repeats, token_counts, token_orc, toxicity, url_filters
 from tallyloom.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.apply_rules(table(spark, sf_dir, "pages"), url_filters.rule_frame(spark))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), loops=True))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_verdicts(table(spark, sf_dir, "conversations"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filters": op10_url_filters,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
