@@ -3,17 +3,16 @@
 A run of period q and at least 4q words holds, for the power of two b with b <= q < 2b, a
 block of b words at a multiple of b, and the same block q words later. So for each b the
 blocks of the text at multiples of b become integer-sequence keys of an Aho-Corasick
-automaton, which searches the whole text; an occurrence b to 2b - 1 words after a block is
-a seed, and is extended word by word to both sides. Every word of a run occurs four times
-in its text, so texts are first cut at words that occur less often.
+automaton, which searches the whole text (a block is the pair of its halves' numbers, so
+the automaton stays shallow). An occurrence b to 2b - 1 words after a block is a seed,
+extended word by word to both sides. Every word of a run occurs four times in its text,
+so texts are first cut at words that occur less often.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,23 +72,42 @@ def _agree(a, b, back: bool = False) -> int:
     return done
 
 
-def _seeds(ids: tuple, size: int) -> Iterator[tuple[int, int]]:
-    """(start, distance) of blocks at multiples of size that occur again, size to 2 * size - 1 words later."""
+def _name_blocks(names, size: int):
+    """For each place the number of the block of size words there, 0 where no block at a multiple of size is the same.
+
+    names: the same for half the size (words for 1). A block is the key (number of its first half, number of its
+    second), so that keys stay short however long blocks are; the places half a block apart follow each other
+    in the searched sequence.
+    """
     import ahocorasick
+    import numpy as np
 
-    blocks, number, known = [], {}, ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for at in range(0, len(ids) - size + 1, size):
-        block = ids[at : at + size]
-        if block not in number:
-            number[block] = len(number)
-            known.add_word(block, number[block])
-        blocks.append(number[block])
+    half, n = size // 2, len(names)
+    known = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    at = np.arange(0, n - size + 1, size)
+    for number, key in enumerate(dict.fromkeys(zip(names[at].tolist(), names[at + half].tolist())), 1):
+        known.add_word(key, number)
     known.make_automaton()
-    for end, block in known.iter(ids):
-        there = end - size + 1
-        at = there // size - 1  # the one block that starts size to 2 * size - 1 words before
-        if at >= 0 and blocks[at] == block:
-            yield at * size, there - at * size
+    width = -(-n // half) + 1  # a 0, which no key has, ends each row
+    rows = np.zeros(width * half, np.int64)
+    rows[:n] = names
+    rows = np.ascontiguousarray(rows.reshape(width, half).T)
+    hits = np.array(list(known.iter(tuple(rows.ravel().tolist()))), np.int64).reshape(-1, 2)
+    row, column = np.divmod(hits[:, 0] - 1, width)
+    out = np.zeros(n, np.int64)
+    out[column * half + row] = hits[:, 1]
+    return out
+
+
+def _seeds(names, size: int):
+    """(start, distance) of blocks at multiples of size that occur again, size to 2 * size - 1 words later."""
+    import numpy as np
+
+    there = np.flatnonzero(names)
+    there = there[there >= size]
+    at = (there // size - 1) * size  # the one block so far before it
+    same = names[at] == names[there]
+    return at[same], (there - at)[same]
 
 
 def find_runs(ids) -> list[tuple[int, int, int]]:
@@ -99,17 +117,23 @@ def find_runs(ids) -> list[tuple[int, int, int]]:
     A seed inside a run of a shorter period is no new run (both periods hold on a stretch as long as their sum, so the
     shorter divides the longer), and one inside the last stretch of its own period is that stretch again.
     """
+    import numpy as np
+
     out = []
     for offset, stop in segments(ids):
         part = ids[offset:stop]
-        keys, n, found, size = tuple(part.tolist()), stop - offset, {}, 1
+        names, n, found, size = part + 1, stop - offset, {}, 1
         while LEAST_POWER * size <= n:
+            names = _name_blocks(names, size) if size > 1 else names
+            at, q = _seeds(names, size)
+            # Stretches of shorter periods by start, and how far those up to each of them go
+            known = sorted(found)
+            ends = np.maximum.accumulate(np.array([0, *(end for _, end in known)]))
+            new = (ends[np.searchsorted([left for left, _ in known], at, "right")] < at + size + q) & (LEAST_POWER * q <= n)
             reach: dict[int, int] = {}  # period -> end of the last stretch with it
-            known = sorted(found)  # stretches of shorter periods by start, and how far those up to each of them go
-            starts, ends = [a for a, _ in known], list(accumulate((b for _, b in known), max))
-            for at, q in _seeds(keys, size):
-                need, before = at + size + q, bisect_right(starts, at)
-                if LEAST_POWER * q > n or reach.get(q, 0) >= need or (before and ends[before - 1] >= need):
+            for at, q in zip(at[new].tolist(), q[new].tolist()):
+                need = at + size + q
+                if reach.get(q, 0) >= need:
                     continue
                 left = at - _agree(part[:at], part[q : at + q], back=True)
                 reach[q] = end = need + _agree(part[at + size : n - q], part[need:])
