@@ -14,7 +14,7 @@ _ATTRIBUTE = r"""[\s/]*+([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'
 _MARK = re.compile(
     r"""<(?:!--(?P<comment>)|(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:"""
     + re.sub(r"\((?!\?)", "(?:", _ATTRIBUTE)
-    + r""")*+)[\s/=]*+>|/(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>|(?P<other>[!?/]))"""
+    + r""")*+[\s/=]*+)>|/(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>|(?P<other>[!?/]))"""
 )
 _COMMENT_END = re.compile(r"--!?>")
 _EACH = re.compile(_ATTRIBUTE)
