@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import conversation_repair, decontaminate, exact_dedup, minhash, packing, periodic_runs, quality, repeats, token_counts, token_orc, toxicity, url_filters
+from tallyloom.llm import conversation_repair, decontaminate, exact_dedup, minhash, packing, page_text, periodic_runs, quality, repeats, token_counts, token_orc, toxicity, url_filters
 from tallyloom.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_report(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), loops=True))
 
 
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_verdicts(table(spark, sf_dir, "conversations"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filters": op10_url_filters,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_page_text": op12_page_text,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
