@@ -7,12 +7,13 @@ ledger = events; page input = pages; snapshots = orders per customer.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import dates, text, urls
-from tallyloom.operators import changes, constraints, extract, history, ledger, reports, search, security
+from tallyloom.operators import changes, constraints, extract, history, keygraph, ledger, reports, search, security
 from tallyloom.sources import samples
 from tallyloom.sources.tables import parse_requests, table, to_response
 
@@ -525,6 +526,35 @@ def restrict_delete(spark, sf):
     return changes.restricted(table(spark, sf, "orders"), gone, "o_custkey", "c_custkey")
 
 
+_GRAPH = (
+    keygraph.Reference("customer", "c_nationkey", "nation", "cascade", "n_nationkey"), keygraph.Reference("orders", "o_custkey", "customer", "cascade", "c_custkey"),
+    keygraph.Reference("lineitem", "l_orderkey", "orders", "cascade", "o_orderkey"), keygraph.Reference("supplier", "s_nationkey", "nation", "set null", "n_nationkey"),
+    keygraph.Reference("contract", "s_nationkey", "nation", "restrict", "n_nationkey"),
+)
+
+
+@query("""WITH contract AS (SELECT s_nationkey FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 8), asked AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey IN (1, 2)),
+dead AS (SELECT k FROM asked WHERE k NOT IN (SELECT s_nationkey FROM contract)), c AS (SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT k FROM dead)),
+o AS (SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT k FROM dead)))
+SELECT 'refused' AS tbl, CAST(k AS BIGINT) AS k, CAST(NULL AS BIGINT) AS l FROM asked WHERE k IN (SELECT s_nationkey FROM contract)
+UNION ALL SELECT 'nation', n_nationkey, NULL FROM nation WHERE n_nationkey NOT IN (SELECT k FROM dead)
+UNION ALL SELECT 'supplier', s_suppkey, CASE WHEN s_nationkey NOT IN (SELECT k FROM dead) THEN s_nationkey END FROM supplier
+UNION ALL SELECT 'customer', c_custkey, NULL FROM c UNION ALL SELECT 'orders', o_orderkey, NULL FROM o
+UNION ALL SELECT 'lineitem', l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT k FROM dead)))""")
+def delete_graph(spark, sf):
+    """What is left of five tables when the nations of two regions are deleted; nations of the eight richest suppliers are held back."""
+    tables = {t: table(spark, sf, t) for t in ("nation", "customer", "orders", "lineitem", "supplier")}
+    tables["contract"] = reports.newest(tables["supplier"], [F.desc("s_acctbal"), F.col("s_suppkey")], 8).select("s_nationkey")
+    done = keygraph.delete(tables, "nation", tables["nation"].where("n_regionkey IN (1, 2)").select("n_nationkey"), _GRAPH)
+    row = lambda df, name, k, l=F.lit(None): df.select(F.lit(name).alias("tbl"), F.col(k).cast("long").alias("k"), l.cast("long").alias("l"))  # noqa: E731, E741
+    left = done.tables
+    parts = [
+        row(done.refused, "refused", "n_nationkey"), row(left["nation"], "nation", "n_nationkey"), row(left["supplier"], "supplier", "s_suppkey", F.col("s_nationkey")),
+        row(left["customer"], "customer", "c_custkey"), row(left["orders"], "orders", "o_orderkey"), row(left["lineitem"], "lineitem", "l_orderkey", F.col("l_linenumber")),
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
 @query("SELECT o_orderkey, 'queued' AS status, CAST(0 AS INTEGER) AS progress, CASE WHEN o_orderkey % 2 = 0 THEN TIMESTAMP '1996-06-30' ELSE o_orderdate END AS updated_at FROM orders")
 def defaults_and_touch(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").alias("updated_at"))
