@@ -696,11 +696,31 @@ def evidence_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", extract.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"))
 
 
-_HOSTS = {0: ("10.0.0.1", False), 1: ("172.16.0.1", False), 2: ("192.168.1.1", False), 3: ("169.254.169.254", False), 4: ("127.0.0.2", False), 5: ("[::1]", False), 6: ("localhost", False), 7: ("8.8.8.8", True), 8: ("172.32.0.1", True), 9: ("sub.example.org", True)}
+#: Forms of hosts, and whether a crawler may follow them.
+_HOSTS = (
+    ("10.0.0.1", False), ("172.16.0.1", False), ("192.168.1.1", False), ("169.254.169.254", False), ("127.0.0.2", False), ("[::1]", False), ("localhost", False),
+    ("127.1", False), ("2130706433", False), ("0x7f.0.0.1", False), ("017700000001", False), ("10.0.0.1.", False), ("[::ffff:127.0.0.1]", False), ("[0:0:0:0:0:0:0:1]", False),
+    ("100.64.0.1", False), ("[2002:a00:1::]", False), ("127%2e0.0.1", False), ("metadata.google.internal", False), ("8.8.8.8", True), ("172.32.0.1", True),
+    ("sub.example.org", True), ("134744072", True), ("[2606:4700::1111]", True), ("[::ffff:8.8.8.8]", True),
+)
 
 
-@query("SELECT page_id, CASE page_id % 10 " + " ".join(f"WHEN {k} THEN {str(ok).lower()}" for k, (_, ok) in _HOSTS.items()) + " END AS safe, true AS own FROM pages")
+@query(f"SELECT page_id, {[ok for _, ok in _HOSTS]}[page_id % {len(_HOSTS)} + 1] AS safe, true AS own FROM pages")
 def url_safety(spark, sf):
-    hosts = F.create_map(*(F.lit(x) for k, (h, _) in _HOSTS.items() for x in (k, h)))
-    made = F.concat(F.lit("http://"), hosts[(F.col("page_id") % 10).cast("int")], F.lit(":8080/x"))
+    """Every page's URL, and the same URL with another host, at another port and behind a user's name."""
+    hosts = F.get(F.array(*(F.lit(h) for h, _ in _HOSTS)), (F.col("page_id") % len(_HOSTS)).cast("int"))
+    made = F.concat(F.lit("http://8.8.8.8@"), hosts, F.lit(":8080"), F.regexp_extract("url", "://[^/?#]*(.*)$", 1))
     return table(spark, sf, "pages").select("page_id", urls.is_safe(made).alias("safe"), urls.is_safe(F.col("url")).alias("own"))
+
+
+@query("""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^([^:]*)://', 1)) AS scheme, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
+regexp_extract(url, '([?#].*)$', 1) AS rest FROM pages)
+SELECT page_id, scheme || '://xn--bcher-kva.' || host || '/a/b' || path || '%20x' || rest AS url FROM p""")
+def url_forms(spark, sf):
+    """Page URLs written oddly: another case, a name outside ASCII, standard ports, backslashes, dot segments, a space."""
+    u = F.col("url")
+    part = lambda pattern: F.regexp_extract(u, pattern, 1)
+    scheme = F.upper(part("^([^:]*)://"))
+    port = F.when(scheme == "HTTP", ":0080").otherwise(":443")
+    odd = F.concat(scheme, F.lit("://BÜCHER."), F.upper(part("://([^/?#]*)")), port, F.lit("\\a/./c/%2E%2e/b"), part("://[^/?#]*([^?#]*)"), F.lit(" x"), part("([?#].*)$"))
+    return table(spark, sf, "pages").select("page_id", urls.normalize_url(odd).alias("url"))
