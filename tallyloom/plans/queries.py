@@ -671,23 +671,32 @@ def report_evidence(spark, sf):
 # Extraction and safety
 
 
-@query("""SELECT page_id, CAST(len(l) AS INTEGER) AS n, coalesce(nullif(l[1], ''), 'not_found') AS first FROM (SELECT page_id, regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"'']*)["'']', 1) AS l FROM pages)""")
+@query("""SELECT page_id, CAST(len(l) AS INTEGER) AS n, coalesce(nullif(l[1], ''), 'not_found') AS first, sha256(array_to_string(l, chr(10))) AS links
+FROM (SELECT page_id, list_transform(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"'']*)["'']', 1), lambda x: replace(replace(x, '&quot;', '"'), '&amp;', '&')) AS l FROM pages)""")
 def extract_links(spark, sf):
     links = extract.hrefs(F.col("html"))
-    return table(spark, sf, "pages").select("page_id", F.size(links).alias("n"), extract.or_not_found(F.get(links, F.lit(0))).alias("first"))
+    return table(spark, sf, "pages").select(
+        "page_id", F.size(links).alias("n"), extract.or_not_found(F.get(links, F.lit(0))).alias("first"), F.sha2(F.array_join(links, "\n"), 256).alias("links")
+    )
 
 
-_CONTACT_HTML = """<a href="mailto:a%s@x.example?s=1">m</a> <a href='tel:+81%s'>t</a> <a href="https://wa.me/84%s">w</a><script type="application/ld+json">{"name": "Acme %s"}</script>"""
+#: Put before each page: contacts as pages write them, some of them out of use. %s is the page's id.
+_CONTACT_HTML = """<!-- <a href="mailto:old@x.example">m</a> --><a title="hotel:5" HREF='mailto:a%s@x.example,b%s@x.example?subject=1'>m</a><a href=mailto:nobody>n</a> <a href=tel:+81-3&#45;%s;ext=2>t</a>
+<a href='tel:call us'>u</a><a href="https://wa.me/84%s?text=1">w</a><a href="https://api.whatsapp.com/send?text=x&amp;phone=%%2B85%s">v</a><script>var x = '<a href="tel:1">'</script>
+<script type="application/ld+json">{"@type": "WebSite", "url": "https://x.example/%s"}</script><script type='application/ld+json; charset=utf-8'>[{"@type": "BreadcrumbList"},
+{"@context": "https://schema.org", "@graph": [{"@type": ["Organization", "Corporation"], "name": "Acme & %s", "employees": %s}, {"@type": "Person", "name": "No %s"}]}]</script><script type="application/ld+json">{broken</script>""".replace("%%", "%")
 
 
-@query("""SELECT page_id, 'a' || page_id || '@x.example' AS email, '+81' || page_id AS phone, '84' || page_id AS whatsapp, 'Acme ' || page_id AS name, 'not_found' AS fax FROM pages""")
+@query("""SELECT page_id, ['a' || page_id || '@x.example', 'b' || page_id || '@x.example'] AS emails, ['+81-3-' || page_id] AS phones, ['84' || page_id, '85' || page_id] AS whatsapp,
+'Acme & ' || page_id AS name, ['Acme & ' || page_id, 'No ' || page_id] AS names, ['Acme & ' || page_id] AS organizations, CAST(page_id AS VARCHAR) AS employees, 'https://x.example/' || page_id AS url, 'not_found' AS fax FROM pages""")
 def extract_contacts(spark, sf):
-    html = F.concat(F.coalesce("html", F.lit("")), F.replace(F.lit(_CONTACT_HTML), F.lit("%s"), F.col("page_id").cast("string")))
-    first = lambda xs: extract.or_not_found(F.get(xs, F.lit(0)))
+    html = F.concat(F.replace(F.lit(_CONTACT_HTML), F.lit("%s"), F.col("page_id").cast("string")), F.coalesce("html", F.lit("")))
+    h = F.col("html")
+    value = lambda path: extract.or_not_found(extract.json_ld(h, path))
     return table(spark, sf, "pages").select("page_id", html.alias("html")).select(
-        "page_id", first(extract.emails(F.col("html"))).alias("email"), first(extract.phones(F.col("html"))).alias("phone"),
-        first(extract.whatsapp(F.col("html"))).alias("whatsapp"), extract.or_not_found(extract.json_ld(F.col("html"), "$.name")).alias("name"),
-        extract.or_not_found(extract.json_ld(F.col("html"), "$.fax")).alias("fax"),
+        "page_id", extract.emails(h).alias("emails"), extract.phones(h).alias("phones"), extract.whatsapp(h).alias("whatsapp"), value("$.name").alias("name"),
+        extract.json_ld_values(h, "$.name").alias("names"), extract.json_ld_values(h, "$.name", "Organization").alias("organizations"), value("$.employees").alias("employees"),
+        value("$.url").alias("url"), value("$.fax").alias("fax"),
     )
 
 
