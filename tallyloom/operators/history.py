@@ -2,23 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import dates
+from tallyloom.operators import timeblocks
+from tallyloom.operators.reports import newest_of_each
 
 
 def latest(snapshots: DataFrame, key: str, at: str, tie: str) -> DataFrame:
-    """One row per key, the newest. An aggregation, so a key with many snapshots combines before the shuffle."""
-    rows = F.max_by(F.struct(*snapshots.columns), F.struct(F.col(at), -F.col(tie))).alias("row")
-    return snapshots.groupBy(F.col(key).alias("_key")).agg(rows).select("row.*")
+    """One row per key, the newest, of equally new ones the first by tie; kept to one per key in each task before the shuffle."""
+    return newest_of_each(snapshots, key, [F.desc(at), F.asc(tie)], 1)
 
 
-def changes(snapshots: DataFrame, key: str, at: str, tie: str, value: str) -> DataFrame:
-    """Snapshots whose value differs from the one before it of the same key."""
-    order = Window.partitionBy(key).orderBy(at, tie)
-    seen = snapshots.withColumn("previous", F.lag(value).over(order)).withColumn("_n", F.row_number().over(order))
-    return seen.where((F.col("_n") > 1) & ~F.col(value).eqNullSafe(F.col("previous"))).drop("_n")
+def changes(snapshots: DataFrame, key: str, at: str, tie: str, value: str, unit: str = "month") -> DataFrame:
+    """Snapshots whose value differs from the one before it of the same key; see timeblocks for unit."""
+    seen = timeblocks.previous(snapshots, key, [at, tie], [value], "_before", unit)
+    differs = F.col("_before").isNotNull() & ~F.col(value).eqNullSafe(F.col(f"_before.{value}"))
+    return seen.where(differs).withColumn("previous", F.col(f"_before.{value}")).drop("_before")
+
+
+def _items(items: Column, by: list[str]) -> Column:
+    """A list of structs as (key, number among those of one key, JSON)."""
+    keyed = F.transform(items, lambda x: F.struct(F.to_json(F.struct(*(x[c].alias(c) for c in by))).alias("key"), F.to_json(x).alias("item")))
+    keyed = F.coalesce(keyed, F.array().cast("array<struct<key:string,item:string>>"))
+    number = lambda x, k: F.size(F.filter(F.slice(keyed, 1, k), lambda y: y["key"] == x["key"]))
+    return F.transform(keyed, lambda x, k: F.struct(x["key"].alias("key"), number(x, k).alias("number"), x["item"].alias("item")))
+
+
+def _change(field: str, item: Column | None, kind: str, old: Column | None, new: Column | None) -> Column:
+    none = F.lit(None).cast("string")
+    given = lambda c: none if c is None else c
+    return F.struct(F.lit(field).alias("field"), given(item).alias("item"), F.lit(kind).alias("change"), given(old).alias("old"), given(new).alias("new"))
+
+
+def _item_changes(field: str, old: Column, new: Column) -> list[Column]:
+    same = lambda x, xs: F.get(F.filter(xs, lambda y: (y["key"] == x["key"]) & (y["number"] == x["number"])), F.lit(0))["item"]
+    lost = lambda x: F.when(same(x, new).isNull(), _change(field, x["key"], "removed", x["item"], None))
+    come = lambda x: F.when(same(x, old).isNull(), _change(field, x["key"], "added", None, x["item"])).when(
+        same(x, old) != x["item"], _change(field, x["key"], "changed", same(x, old), x["item"])
+    )
+    return [F.transform(old, lost), F.transform(new, come)]
+
+
+def field_changes(
+    snapshots: DataFrame, key: str, at: str, tie: str, fields: list[str], lists: dict[str, list[str]] | None = None, unit: str = "month"
+) -> DataFrame:
+    """What each snapshot changed against the one before it of its key: (key, at, tie, field, item, change, old, new).
+
+    fields: plain columns, compared as they are, a null being a value; old and new are texts. lists: columns of lists of
+    structs, such as contacts or sources, with the fields by which an item is found again: item is that key as JSON, change
+    is added, removed or changed, old and new are the items as JSON. Of items with one key the first is compared
+    with the first, and so on. The first snapshot of a key changes nothing; a null list is an empty one.
+    """
+    lists = lists or {}
+    names = [*fields, *lists]
+    seen = timeblocks.previous(snapshots.select(key, at, tie, *names), key, [at, tie], names, "_before", unit).where("_before IS NOT NULL")
+    old = lambda f: F.col(f"_before.{f}")
+    plain = [F.when(~F.col(f).eqNullSafe(old(f)), _change(f, None, "changed", old(f).cast("string"), F.col(f).cast("string"))) for f in fields]
+    found = [F.array(*plain)] if plain else []
+    for f, by in lists.items():
+        found += _item_changes(f, _items(F.col(f"_before.{f}"), by), _items(F.col(f), by))
+    return seen.select(key, at, tie, F.inline(F.filter(F.concat(*found), lambda c: c.isNotNull())))
 
 
 def split_expired(rows: DataFrame, expires: str, as_of: Column) -> tuple[DataFrame, DataFrame]:
@@ -53,17 +98,13 @@ def current(rows: DataFrame, status: str) -> DataFrame:
     return rows.where(~F.col(status).eqNullSafe(F.lit("expired")))
 
 
-def setting_at(rows: DataFrame, settings: DataFrame, key: str, at: str, since: str, value: str) -> DataFrame:
+def setting_at(rows: DataFrame, settings: DataFrame, key: str, at: str, since: str, value: str, unit: str = "month") -> DataFrame:
     """Each row with the setting of its key that held at its time, so that a later change binds new rows only.
 
-    settings: (key, since, value). Rows and settings of a key are merged by time in one window group, a
-    setting before the rows of the same moment; rows before the first setting get null.
+    settings: (key, since, value). Rows before the first setting get null. The last setting is carried across blocks
+    of time (unit), so that a key's rows spread over tasks.
     """
-    both = rows.withColumns({"_at": F.col(at), "_row": F.lit(1), value: F.lit(None).cast(settings.schema[value].dataType)}).unionByName(
-        settings.select(key, F.col(since).alias("_at"), F.lit(0).alias("_row"), value), allowMissingColumns=True
-    )
-    before = Window.partitionBy(key).orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(before)).where("_row = 1").drop("_at", "_row")
+    return timeblocks.last_value(rows, settings, key, at, since, value, unit)
 
 
 def candidates(left: DataFrame, right: DataFrame, block: str, name: str, key: str, most: int) -> DataFrame:

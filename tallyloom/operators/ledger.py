@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators import timeblocks
 from tallyloom.operators.reports import CREDITS_PER_REPORT
 
 #: The credits an outcome costs; a refresh has a range, so its price is an argument.
@@ -38,10 +39,10 @@ def balances(entries: DataFrame, owner: str, kind: str, amount: str) -> DataFram
     return entries.groupBy(owner).agg(F.sum(signed(F.col(kind), F.col(amount))).alias("balance"))
 
 
-def running(entries: DataFrame, owner: str, kind: str, amount: str, order: list[str]) -> DataFrame:
-    """Each entry with its owner's balance after it. One owner's ledger is one window group."""
-    over = Window.partitionBy(owner).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return entries.withColumn("running_balance", F.sum(signed(F.col(kind), F.col(amount))).over(over))
+def running(entries: DataFrame, owner: str, kind: str, amount: str, order: list[str], unit: str = "day") -> DataFrame:
+    """Each entry with its owner's balance after it, by order (a time first). Sums run within blocks of time and across
+    them (unit), so that no task holds a whole owner's ledger."""
+    return timeblocks.running_sum(entries, owner, order, signed(F.col(kind), F.col(amount)), "running_balance", unit)
 
 
 def settlement(entries: DataFrame, job: str, kind: str, amount: str, charged: DataFrame) -> DataFrame:

@@ -76,6 +76,13 @@ def tenant_newest(spark, sf):
     return reports.newest_of(rows, "l_suppkey", 3, [F.desc("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")]).drop("l_suppkey")
 
 
+@query("""SELECT l_suppkey, l_orderkey, l_linenumber, l_shipdate, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey) AS n FROM lineitem) WHERE n <= 4""")
+def tenants_newest(spark, sf):
+    """The four newest rows of every supplier at once."""
+    rows = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey")
+    return reports.newest_of_each(rows, "l_suppkey", [F.desc("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")])
+
+
 @query("SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey OFFSET 1")
 def skip_first(spark, sf):
     return table(spark, sf, "region").orderBy("r_regionkey").offset(1)
@@ -654,6 +661,26 @@ def snapshot_changes(spark, sf):
     return history.changes(s, "o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus").drop("o_orderdate")
 
 
+@query("""WITH v AS (SELECT *, lag(o_orderkey) OVER w AS before, lag(o_orderstatus) OVER w AS status0, lag(o_orderpriority) OVER w AS priority0, row_number() OVER w AS n FROM orders
+  WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+p AS (SELECT o_orderkey, o_custkey, before, status0, o_orderstatus AS status, priority0, o_orderpriority AS priority FROM v WHERE n > 1),
+l AS (SELECT l_orderkey, '{"line":' || l_linenumber || '}' AS item, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS k,
+  '{"line":' || l_linenumber || ',"part":' || l_partkey || ',"supplier":' || l_suppkey || '}' AS js FROM lineitem),
+i AS (SELECT o_custkey, p.o_orderkey, 'lines' AS field, coalesce(a.item, b.item) AS item, a.js AS old, b.js AS new FROM p
+  JOIN (SELECT * FROM l) a ON a.l_orderkey = p.before LEFT JOIN l b ON b.l_orderkey = p.o_orderkey AND b.item = a.item AND b.k = a.k
+  UNION ALL SELECT o_custkey, p.o_orderkey, 'lines', b.item, NULL, b.js FROM p JOIN l b ON b.l_orderkey = p.o_orderkey LEFT JOIN l a ON a.l_orderkey = p.before AND b.item = a.item AND b.k = a.k WHERE a.item IS NULL)
+SELECT o_custkey, o_orderkey, 'o_orderstatus' AS field, CAST(NULL AS VARCHAR) AS item, 'changed' AS change, status0 AS old, status AS new FROM p WHERE status IS DISTINCT FROM status0
+UNION ALL SELECT o_custkey, o_orderkey, 'o_orderpriority', NULL, 'changed', priority0, priority FROM p WHERE priority IS DISTINCT FROM priority0
+UNION ALL SELECT o_custkey, o_orderkey, field, item, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'changed' END, old, new FROM i WHERE old IS DISTINCT FROM new""")
+def snapshot_diff(spark, sf):
+    """What every order of a customer changed against the one before: fields, and the lines as a nested list."""
+    line = F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"))
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    versions = table(spark, sf, "orders").join(lines, "o_orderkey", "left")
+    found = history.field_changes(versions, "o_custkey", "o_orderdate", "o_orderkey", ["o_orderstatus", "o_orderpriority"], {"lines": ["line"]})
+    return found.drop("o_orderdate")
+
+
 @query("""SELECT a.p_partkey AS key_a, b.p_partkey AS key_b, CAST(levenshtein(a.p_name, b.p_name) AS INTEGER) AS distance FROM part a JOIN part b
 ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 2""")
 def entity_candidates(spark, sf):
