@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import dates, text, urls
-from tallyloom.operators import changes, constraints, extract, history, keygraph, ledger, reports, search, security
+from tallyloom.operators import changes, constraints, extract, history, jobs, keygraph, ledger, reports, search, security
 from tallyloom.sources import samples
 from tallyloom.sources.tables import parse_requests, table, to_response
 
@@ -622,6 +622,35 @@ def reserve_settle(spark, sf):
     return ledger.settlement(_entries(spark, sf), "user_id", "kind", "amount", charged)
 
 
+_EVENT_KINDS = {"signup": "reserve", "click": "start", "view": "succeed", "purchase": "settle", "error": "fail"}
+#: Of one event type every third is another event, so that jobs come back to the queue.
+_OTHER_KINDS = {"signup": "retry", "click": "refund", "view": "refresh", "purchase": "expire", "error": "review"}
+
+
+def _kinds(kinds):
+    return "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in kinds.items()) + " END"
+
+
+@query(f"""WITH RECURSIVE moves(kind, before, after) AS (VALUES {", ".join(str((k, s, v)) for (k, s), v in jobs.MOVES.items())}),
+e AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 3 = 0 THEN {_kinds(_OTHER_KINDS)} ELSE {_kinds(_EVENT_KINDS)} END AS kind, CAST(floor(value) AS BIGINT) AS amount,
+  CAST(json_extract(props, '$.k') AS VARCHAR) AS ref FROM events),
+u AS (SELECT *, row_number() OVER (PARTITION BY user_id, ref ORDER BY ts, event_id) AS again FROM e),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM u WHERE again = 1),
+f AS (SELECT user_id, CAST(0 AS BIGINT) AS k, 'queued' AS state, CAST(0 AS BIGINT) AS reserved, CAST(0 AS BIGINT) AS charged, CAST(0 AS BIGINT) AS refused FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT f.user_id, f.k + 1, coalesce(m.after, f.state), f.reserved + CASE WHEN m.after IS NULL THEN 0 WHEN n.kind = 'reserve' THEN amount WHEN n.kind IN ('settle', 'refund') THEN -amount ELSE 0 END,
+  f.charged + CASE WHEN m.after IS NOT NULL AND n.kind = 'settle' THEN amount ELSE 0 END, f.refused + CASE WHEN m.after IS NULL THEN 1 ELSE 0 END
+  FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1 LEFT JOIN moves m ON m.kind = n.kind AND m.before = f.state)
+SELECT user_id, state, reserved, charged, refused FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS last FROM f) WHERE last = 1""")
+def job_log(spark, sf):
+    """Every user's events as the log of a job; the number in props is the external reference."""
+    pick = lambda kinds: F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[F.col("event_type")]
+    events = table(spark, sf, "events").select(
+        "user_id", "ts", "event_id", F.when(F.col("event_id") % 3 == 0, pick(_OTHER_KINDS)).otherwise(pick(_EVENT_KINDS)).alias("kind"),
+        F.floor("value").cast("long").alias("amount"), F.get_json_object("props", "$.k").alias("ref"),
+    )
+    return jobs.fold(events, "user_id", ["ts", "event_id"], "kind", "amount", "ref")
+
+
 @query("""SELECT c_custkey, CAST(floor(floor(c_acctbal) / 5) AS BIGINT) AS affordable, floor(c_acctbal) >= 5 AS enough,
 CAST(floor(c_acctbal) AS BIGINT) - CASE WHEN c_custkey % 4 = 0 THEN 5 ELSE c_custkey % 4 END AS after FROM customer""")
 def credits(spark, sf):
