@@ -6,6 +6,7 @@ ledger = events; page input = pages; snapshots = orders per customer.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import dates, text, urls
-from tallyloom.operators import changes, constraints, extract, history, jobs, keygraph, ledger, reports, search, security
+from tallyloom.operators import changes, constraints, extract, history, jobs, keygraph, ledger, reports, retention, search, security
 from tallyloom.sources import samples
+from tallyloom.sources.shared import shared_path
 from tallyloom.sources.tables import parse_requests, table, to_response
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -357,6 +359,26 @@ def retention_purged(spark, sf):
     return purge
 
 
+@query("""WITH r AS (SELECT o_orderkey, o_orderdate + INTERVAL 30 DAY AS ends FROM orders),
+e AS (SELECT l_orderkey, l_linenumber, l_partkey, least(l_shipdate + INTERVAL 90 DAY, ends) AS ends FROM lineitem LEFT JOIN r ON l_orderkey = o_orderkey)
+SELECT 'report' AS tbl, o_orderkey AS k, CAST(NULL AS INTEGER) AS l, CAST(NULL AS BIGINT) AS p, ends FROM r WHERE ends >= TIMESTAMP '1996-06-30'
+UNION ALL SELECT 'evidence', l_orderkey, l_linenumber, l_partkey, ends FROM e WHERE ends >= TIMESTAMP '1996-06-30'""")
+def purge_store(spark, sf):
+    """What two stores, orders as reports and their lines as evidence, hold after a purge that is run twice."""
+    reports_ = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderdate") + F.make_dt_interval(F.lit(30))).alias("ends"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", (F.col("l_shipdate") + F.make_dt_interval(F.lit(90))).alias("ends"))
+    left = []
+    for name, rows in (("report", reports_), ("evidence", retention.with_report(lines, reports_, "o_orderkey", "ends"))):
+        path = shared_path(spark, f"{name}-store")
+        retention.store(rows, path, "ends", "month")
+        for _ in range(2):
+            retention.purge(spark, path, rows.schema, "ends", dt.datetime.fromisoformat(AS_OF), "month")
+        left.append(retention.read_store(spark, path, rows.schema))
+    none = lambda kind: F.lit(None).cast(kind)
+    shown = left[0].select(F.lit("report").alias("tbl"), F.col("o_orderkey").alias("k"), none("int").alias("l"), none("long").alias("p"), "ends")
+    return shown.unionAll(left[1].select(F.lit("evidence"), "o_orderkey", "l_linenumber", "l_partkey", "ends"))
+
+
 @query("""SELECT count(*) FILTER (l_returnflag <> 'R' AND l_shipdate >= TIMESTAMP '1996-06-30') AS active,
 count(*) FILTER (l_returnflag <> 'R' AND l_shipdate BETWEEN TIMESTAMP '1996-06-30' AND TIMESTAMP '1996-07-29') AS expiring, count(*) FILTER (l_returnflag = 'R') AS archived FROM lineitem""")
 def expiring_counts(spark, sf):
