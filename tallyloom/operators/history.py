@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import dates
-from tallyloom.operators import timeblocks
+from tallyloom.functions.urls import let
+from tallyloom.operators import entities, timeblocks
 from tallyloom.operators.reports import newest_of_each
 
 
@@ -25,9 +26,9 @@ def changes(snapshots: DataFrame, key: str, at: str, tie: str, value: str, unit:
 def _items(items: Column, by: list[str]) -> Column:
     """A list of structs as (key, number among those of one key, JSON)."""
     keyed = F.transform(items, lambda x: F.struct(F.to_json(F.struct(*(x[c].alias(c) for c in by))).alias("key"), F.to_json(x).alias("item")))
-    keyed = F.coalesce(keyed, F.array().cast("array<struct<key:string,item:string>>"))
-    number = lambda x, k: F.size(F.filter(F.slice(keyed, 1, k), lambda y: y["key"] == x["key"]))
-    return F.transform(keyed, lambda x, k: F.struct(x["key"].alias("key"), number(x, k).alias("number"), x["item"].alias("item")))
+    number = lambda x, k, xs: F.size(F.filter(F.slice(xs, 1, k), lambda y: y["key"] == x["key"]))
+    numbered = lambda xs: F.transform(xs, lambda x, k: F.struct(x["key"].alias("key"), number(x, k, xs).alias("number"), x["item"].alias("item")))
+    return let(F.coalesce(keyed, F.array().cast("array<struct<key:string,item:string>>")), numbered)
 
 
 def _change(field: str, item: Column | None, kind: str, old: Column | None, new: Column | None) -> Column:
@@ -57,12 +58,13 @@ def field_changes(
     """
     lists = lists or {}
     names = [*fields, *lists]
-    seen = timeblocks.previous(snapshots.select(key, at, tie, *names), key, [at, tie], names, "_before", unit).where("_before IS NOT NULL")
+    kept = snapshots.select(key, at, tie, *fields, *(_items(F.col(f), by).alias(f) for f, by in lists.items()))
+    seen = timeblocks.previous(kept, key, [at, tie], names, "_before", unit).where("_before IS NOT NULL")
     old = lambda f: F.col(f"_before.{f}")
     plain = [F.when(~F.col(f).eqNullSafe(old(f)), _change(f, None, "changed", old(f).cast("string"), F.col(f).cast("string"))) for f in fields]
     found = [F.array(*plain)] if plain else []
-    for f, by in lists.items():
-        found += _item_changes(f, _items(F.col(f"_before.{f}"), by), _items(F.col(f), by))
+    for f in lists:
+        found += _item_changes(f, F.col(f"_before.{f}"), F.col(f))
     return seen.select(key, at, tie, F.inline(F.filter(F.concat(*found), lambda c: c.isNotNull())))
 
 
@@ -108,27 +110,5 @@ def setting_at(rows: DataFrame, settings: DataFrame, key: str, at: str, since: s
 
 
 def candidates(left: DataFrame, right: DataFrame, block: str, name: str, key: str, most: int) -> DataFrame:
-    """Pairs of one block whose names are within `most` edits; each pair once, by key.
-
-    A name is cut into most + 1 pieces: of two names within `most` edits one has a piece that stands in the
-    other, moved by `most` places at most. Names are joined by block, length and such a piece, so that unlike names
-    of a large block do not meet.
-    """
-    n, k = F.length("name_b"), most + 1
-    cut = lambda i, size: F.floor(size * i / k).cast("int")
-    pieces = [F.struct(n.alias("size"), F.lit(i).alias("i"), F.substr("name_b", cut(i, n) + 1, cut(i + 1, n) - cut(i, n)).alias("piece")) for i in range(k)]
-    b = right.select(block, F.col(name).alias("name_b"), F.col(key).alias("key_b"))
-    b = b.select("*", F.inline(F.array(*pieces)))
-    probes = []
-    for d in range(-most, most + 1):
-        size = F.length("name_a") + d
-        for i in range(k):
-            for move in range(-most, most + 1):
-                start = cut(i, size) + move
-                ok = (size >= 0) & (start >= 0)
-                piece = F.substr("name_a", F.greatest(start, F.lit(0)) + 1, F.greatest(cut(i + 1, size) - cut(i, size), F.lit(0)))
-                probes.append(F.when(ok, F.struct(size.alias("size"), F.lit(i).alias("i"), piece.alias("piece"))))
-    a = left.select(block, F.col(name).alias("name_a"), F.col(key).alias("key_a"))
-    a = a.select("*", F.inline(F.array_distinct(F.filter(F.array(*probes), lambda p: p.isNotNull()))))
-    met = a.join(b, [block, "size", "i", "piece"]).where(F.col("key_a") < F.col("key_b")).drop("size", "i", "piece").distinct()
-    return met.withColumn("distance", F.levenshtein("name_a", "name_b", most)).where("distance >= 0")
+    """Pairs of one block whose names are within `most` edits; each pair once, by key."""
+    return entities.candidates(left, right, block, name, key, most)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import dates, text, urls
-from tallyloom.operators import changes, constraints, extract, history, jobs, keygraph, ledger, reports, retention, search, security
+from tallyloom.operators import changes, constraints, entities, extract, history, jobs, keygraph, ledger, reports, retention, search, security
 from tallyloom.sources import samples
 from tallyloom.sources.shared import shared_path
 from tallyloom.sources.tables import parse_requests, table, to_response
@@ -739,6 +739,17 @@ def entity_candidates(spark, sf):
     return history.candidates(p, p, "block", "p_name", "p_partkey", 2).select("key_a", "key_b", "distance")
 
 
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT p_brand AS b, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS s FROM part),
+e AS (SELECT x.b, x.s AS s, y.s AS t FROM n x JOIN n y ON x.b = y.b AND levenshtein(x.s, y.s) <= 3),
+r AS (SELECT b, s, s AS t FROM n UNION SELECT r.b, r.s, e.t FROM r JOIN e ON e.b = r.b AND e.s = r.t),
+g AS (SELECT b, s, min(t) AS group_name FROM r GROUP BY ALL), p AS (SELECT p_partkey, p_brand, group_name FROM part JOIN g ON b = p_brand AND s = regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'))
+SELECT p_partkey, group_name, count(*) OVER (PARTITION BY p_brand, group_name) AS group_size FROM p""")
+def entity_groups(spark, sf):
+    """Parts of a brand in groups of names whose slugs chains of three edits join."""
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", text.slug(F.col("p_name")).alias("slug"))
+    return entities.groups(p, "p_brand", "slug", 3).select("p_partkey", "group_name", "group_size")
+
+
 @query("SELECT o_orderkey, c_name, coalesce(n, 0) AS n_evidence FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def report_evidence(spark, sf):
     jobs = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
