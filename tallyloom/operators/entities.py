@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.sources.shared import written
 
 
-def _piece(name: str, size, start, length):
-    """The piece from a place (from 0) on; null where it does not lie in the name."""
-    return F.when((start >= 0) & (start + length <= size), F.substr(name, (start + 1).cast("int"), length.cast("int")))
-
-
 def probes(most: int) -> list[tuple[int, int, int]]:
     """(characters that the other name is shorter, number of the piece, shift of its place) of the pieces to look up.
 
@@ -33,15 +28,22 @@ def similar_names(names: DataFrame, block: str, name: str, most: int) -> DataFra
     """
     each = names.select(F.col(block).alias("_block"), F.col(name).alias("_name")).where("_block IS NOT NULL AND _name IS NOT NULL").distinct()
     size, k = F.length("_name"), most + 1
-    cut = lambda i, n: F.floor(n * i / k)
-    own = [F.struct(size.alias("size"), F.lit(i).alias("i"), _piece("_name", size, cut(i, size), cut(i + 1, size) - cut(i, size)).alias("piece")) for i in range(k)]
-    indexed = each.select(F.col("_block"), F.col("_name").alias("_other"), F.inline(F.array(*own)))
-    looked = []
-    for shorter, i, shift in probes(most):
-        n = size - shorter
-        piece = _piece("_name", size, cut(i, n) + shift, cut(i + 1, n) - cut(i, n))
-        looked.append(F.when((n >= 0) & piece.isNotNull(), F.struct(n.alias("size"), F.lit(i).alias("i"), piece.alias("piece"))))
-    asked = each.select("_block", "_name", F.inline(F.array_distinct(F.filter(F.array(*looked), lambda p: p.isNotNull()))))
+
+    def pieces(places: list[tuple[int, int, int]]) -> Column:
+        """(size, i, piece): substrings of the name where the i-th piece of a name of that size may lie."""
+        listed = F.expr("array(" + ", ".join(f"named_struct('shorter', {a}, 'i', {i}, 'shift', {s})" for a, i, s in places) + ")")
+
+        def one(p: Column) -> Column:
+            n = size - p["shorter"]
+            start, stop = F.floor(n * p["i"] / k).cast("int"), F.floor(n * (p["i"] + 1) / k).cast("int")
+            at, length = start + p["shift"], stop - start
+            inside = (n >= 0) & (at >= 0) & (at + length <= size)
+            return F.when(inside, F.struct(n.alias("size"), p["i"].alias("i"), F.substr("_name", at + 1, length).alias("piece")))
+
+        return F.filter(F.transform(listed, one), lambda p: p.isNotNull())
+
+    indexed = each.select("_block", F.col("_name").alias("_other"), F.inline(pieces([(0, i, 0) for i in range(k)])))
+    asked = each.select("_block", "_name", F.inline(F.array_distinct(pieces(probes(most)))))
     met = asked.join(indexed, ["_block", "size", "i", "piece"]).where((F.col("size") < F.length("_name")) | (F.col("_other") < F.col("_name")))
     pairs = met.select("_block", F.least("_name", "_other").alias("name_a"), F.greatest("_name", "_other").alias("name_b")).distinct()
     return pairs.withColumn("distance", F.levenshtein("name_a", "name_b", most)).where("distance >= 0").withColumnRenamed("_block", block)

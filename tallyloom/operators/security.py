@@ -59,3 +59,30 @@ def visible(rows: DataFrame, table: str, command: str, members: DataFrame, user:
     if "insertable" in rules:
         return insertable_rows(rows, members, user, key, creator)
     return rows.where(F.lit(False))
+
+
+COMMANDS = ("select", "insert", "update", "delete")
+
+
+def permissions(rows: DataFrame, members: DataFrame, user: object, key: str, creator: str = "created_by") -> DataFrame:
+    """rows with policies, the list of "table command" that the user may apply to each if it is a row of that table.
+
+    The same as visible() for every table and command, from one pass over rows: the user's memberships are made one
+    row per organization, whether they are broadcast is left to Spark's size check.
+    """
+    mine = members.where(F.col("user_id") == user).groupBy(F.col(key).alias("_key")).agg(F.bool_or(F.col("role").isin("owner", "admin")).alias("_admin"))
+    seen = rows.join(mine, F.col(key) == F.col("_key"), "left")
+    member = F.col("_key").isNotNull()
+    holds = {
+        "own": F.coalesce(F.col(key) == user, F.lit(False)), "member": member, "admin": member & F.coalesce("_admin", F.lit(False)),
+        "insertable": member & F.coalesce(F.col(creator) == user, F.lit(False)),
+    }
+    tables = dict.fromkeys(t for t, _ in POLICIES)
+    allowed = []
+    for table in tables:
+        for command in COMMANDS:
+            rules = {POLICIES.get((table, command)), POLICIES.get((table, "all"))}
+            rule = next((r for r in ("own", "member", "admin", "insertable") if r in rules), None)
+            if rule:
+                allowed.append(F.when(holds[rule], f"{table} {command}"))
+    return seen.withColumn("policies", F.array_compact(F.array(*allowed))).drop("_key", "_admin")

@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import dates, text, urls
 from tallyloom.operators import changes, constraints, entities, extract, history, jobs, keygraph, ledger, reports, retention, search, security
-from tallyloom.sources import samples
 from tallyloom.sources.shared import shared_path
-from tallyloom.sources.tables import parse_requests, table, to_response
+from tallyloom.sources.tables import parse_requests, read_csv, table, to_response, write_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -154,11 +153,6 @@ def slugify(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(lower(replace(replace(strip_accents(text), 'đ', 'd'), 'Đ', 'D')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents""")
-def slugify_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
-
-
 @query("""SELECT p_partkey, 'https://www.google.com/search?q=' || replace(replace(replace(replace(replace(url_encode(p_name || ' (a''b)!~*'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') AS url FROM part""")
 def search_url(spark, sf):
     name = F.concat("p_name", F.lit(" (a'b)!~*"))
@@ -289,27 +283,6 @@ def empty_result(spark, sf):
     return found("BUILDING").unionAll(found("no such segment"))
 
 
-@query("""SELECT * FROM (VALUES ('report-nova', 'verified', 4, 4, 'Ready', '#7C6CFC18', true, false), ('report-hoshi', 'verified', 3, 3, 'Ready', '#F29E4C18', true, true),
-('report-velar', 'review', 2, 0, 'Needs review', '#28A88B18', true, false)) AS t(id, tier, n_sources, n_verified, label, tint, found_all, found_japan)""")
-def shipped_reports(spark, sf):
-    r = samples.sample_reports(spark)
-    fields = ["company_name", "country", "industry"]
-    hit = lambda q: search.search(r, q, fields).select("id", F.lit(True).alias(f"found_{q.lower() or 'all'}"))
-    shown = r.select(
-        "id", reports.confidence_tier(F.col("confidence")).alias("tier"), F.size("sources").alias("n_sources"),
-        F.size(reports.verified_contacts(F.col("contacts"))).alias("n_verified"), reports.status_label(F.col("status")).alias("label"), reports.tint(F.col("accent")).alias("tint"),
-    )
-    return shown.join(hit(""), "id", "left").join(hit("Japan"), "id", "left").fillna(False)
-
-
-@query("""SELECT * FROM (VALUES ('vi', 'Hôm nay-Nova Distribution Ltd.-Company Report--5', false), ('vi', 'Hôm qua-Hoshi Components Co.-Company Report--5', false),
-('vi', '01/10/2026-Nạp Starter credits-Top-up-+150', true), ('en', 'Today-Nova Distribution Ltd.-Company Report--5', false), ('en', 'Yesterday-Hoshi Components Co.-Company Report--5', false),
-('en', '01 Oct 2026-Starter credits top-up-Top-up-+150', true)) AS t(locale, key, credit)""")
-def shipped_usage(spark, sf):
-    key = F.concat_ws("-", "at", "item", "kind", "amount")
-    return samples.sample_usage(spark).select("locale", key.alias("key"), ledger.is_credit_text(F.col("amount")).alias("credit"))
-
-
 @query("""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN NULL ELSE 'Acme ' || page_id END AS company_name, CASE WHEN page_id % 4 = 1 THEN NULL ELSE url END AS source_url FROM pages WHERE page_id % 5 <> 0""")
 def parse_request_json(spark, sf):
     k = F.col("page_id")
@@ -325,6 +298,16 @@ def response_json(spark, sf):
     return to_response(table(spark, sf, "nation").select("n_nationkey", "n_name"), reports.CREDITS_PER_REPORT)
 
 
+@query("""SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN 'a, "b" ' || page_id WHEN 1 THEN chr(10) || ' é;' WHEN 2 THEN 'back\\slash' END AS note FROM pages""")
+def csv_round_trip(spark, sf):
+    """Pages written as CSV and read back: separators, quotes, line breaks, backslashes and nulls stay."""
+    k = F.col("page_id")
+    note = F.when(k % 4 == 0, F.concat(F.lit('a, "b" '), k.cast("string"))).when(k % 4 == 1, "\n é;").when(k % 4 == 2, "back\\slash")
+    rows, path = table(spark, sf, "pages").select("page_id", "url", note.alias("note")), shared_path(spark, "csv")
+    write_csv(rows, path)
+    return read_csv(spark, path, rows.schema)
+
+
 @query("""SELECT CAST(0 AS INTEGER) AS seq, o_orderkey FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 1, o_orderkey FROM orders WHERE o_orderkey % 2 = 1""")
 def prepend_union(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey")
@@ -451,28 +434,27 @@ def rls_insert(spark, sf):
     return security.insertable_rows(batch, _members(spark, sf), 3, "c_nationkey").select("c_custkey")
 
 
-_GUARDS = """own: profiles select, profiles update
-member: organizations select, organization_members select, research_jobs select, research_jobs update, company_reports select, company_reports insert, company_reports update, company_reports delete, source_evidence select, source_evidence insert, source_evidence update, source_evidence delete, credit_ledger select
-admin: organizations update, organization_members insert, organization_members update, organization_members delete
-insertable: research_jobs insert"""
+#: Which rule guards each table's commands, written out again for the SQL.
+_POLICY_ROWS = [
+    ("profiles", "select", "own"), ("profiles", "update", "own"), ("organizations", "select", "member"), ("organization_members", "select", "member"),
+    ("research_jobs", "select", "member"), ("research_jobs", "update", "member"), ("company_reports", "select", "member"), ("company_reports", "insert", "member"),
+    ("company_reports", "update", "member"), ("company_reports", "delete", "member"), ("source_evidence", "select", "member"), ("source_evidence", "insert", "member"),
+    ("source_evidence", "update", "member"), ("source_evidence", "delete", "member"), ("credit_ledger", "select", "member"), ("organizations", "update", "admin"),
+    ("organization_members", "insert", "admin"), ("organization_members", "update", "admin"), ("organization_members", "delete", "admin"), ("research_jobs", "insert", "insertable"),
+]
 _GUARD_SQL = {
     "own": "c_nationkey = 3", "member": "EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_suppkey % 7 = 3)",
     "admin": "EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_suppkey % 7 = 3 AND s_suppkey % 4 IN (0, 1))",
     "insertable": "c_custkey % 5 = 3 AND EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_suppkey % 7 = 3)",
 }
-_POLICY_ROWS = [(*p.split(), g) for line in _GUARDS.split("\n") for g, ps in [line.split(": ")] for p in ps.split(", ")]
 
 
 @query(" UNION ALL ".join(f"SELECT '{t} {c}' AS policy, c_custkey FROM customer WHERE {_GUARD_SQL[g]}" for t, c, g in _POLICY_ROWS))
 def rls_policies(spark, sf):
-    """What user 3 may touch, for each table and command; customers stand for each table's rows."""
+    """What user 3 may touch, for each table and command, in one pass; customers stand for each table's rows."""
     rows = table(spark, sf, "customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") % 5).alias("created_by"))
-    out = None
-    for name in dict.fromkeys(t for t, _ in security.POLICIES):
-        for command in ("select", "insert", "update", "delete"):
-            seen = security.visible(rows, name, command, _members(spark, sf), 3, "c_nationkey").select(F.lit(f"{name} {command}").alias("policy"), "c_custkey")
-            out = seen if out is None else out.unionAll(seen)
-    return out
+    allowed = security.permissions(rows, _members(spark, sf), 3, "c_nationkey")
+    return allowed.select(F.explode("policies").alias("policy"), "c_custkey")
 
 
 # Constraints and keys
@@ -637,6 +619,13 @@ def ledger_running(spark, sf):
     return ledger.running(_entries(spark, sf), "user_id", "kind", "amount", ["ts", "event_id"]).select("event_id", "running_balance")
 
 
+@query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN '-' ELSE '+' END || CAST(floor(value) AS BIGINT) AS shown, event_type <> 'purchase' AS credit FROM events WHERE event_type IN ('purchase', 'signup', 'error')""")
+def credit_texts(spark, sf):
+    """Ledger amounts as they are shown, and what their sign says."""
+    shown = F.concat(F.when(F.col("kind") == "debit", "-").otherwise("+"), F.col("amount").cast("string"))
+    return _entries(spark, sf).select("event_id", shown.alias("shown")).withColumn("credit", ledger.is_credit_text(F.col("shown")))
+
+
 @query(_ENTRIES + """, n AS (SELECT user_id, CAST(sum(signed) AS BIGINT) AS net FROM e GROUP BY user_id), c AS (SELECT DISTINCT user_id, user_id % 3 * 5 AS credits_charged FROM events)
 SELECT c.user_id, credits_charged, coalesce(net, 0) AS net, coalesce(net, 0) + credits_charged <> 0 AS mismatch FROM c LEFT JOIN n USING (user_id)""")
 def reserve_settle(spark, sf):

@@ -35,5 +35,14 @@ def to_response(reports: DataFrame, credits: int) -> DataFrame:
     return reports.select(F.to_json(F.struct(F.struct("*").alias("report"), F.lit("demo").alias("mode"), F.lit(credits).alias("creditsCharged"))).alias("response"))
 
 
+_KEPT_SPACE = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.option("header", True).csv(path)
+    """A header, quoted fields where needed, backslashes before quotes; a null is nothing, an empty text is quoted."""
+    rows.write.options(header=True, **_KEPT_SPACE).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What write_csv() wrote. A field may span lines, so a file is one task: write files of the size of a task."""
+    return spark.read.schema(schema).options(header=True, multiLine=True, **_KEPT_SPACE).csv(path)

@@ -41,7 +41,7 @@ def test_query(spark, duck, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_slugs_of_whole_texts(spark):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
-    slugs = {r.doc_id: r.slug for r in plans.QUERIES["slugify_text"](spark, SF).collect()}
+    slugs = {r.doc_id: r.slug for r in plans.QUERIES["slugify"](spark, SF).collect()}
     assert slugs.keys() == text.keys()
     for i, t in text.items():  # words of every line, the last too
         if t and t.isascii():
