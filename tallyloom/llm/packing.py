@@ -96,14 +96,16 @@ def best_fit(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     return [x for some in open_.values() for x in some]
 
 
-def column_generation(demand: dict[int, int], capacity: int, gap: float = 0.0005) -> list[tuple[dict[int, int], float]]:
-    """Patterns and how often each is used (fractions): the linear program's least number of sequences, within the gap.
-
-    Revised simplex over a pool of patterns that starts with best-fit decreasing's; where no pattern of the pool
-    improves, the knapsack prices new ones, several at a time. It ends at the optimum or where the dual
-    bound (no set of patterns needs fewer sequences) is within the gap; demands are moved by a
-    millionth, so that no pivot is degenerate and the simplex cannot cycle. One row per length: the inverse has lengths squared
-    numbers, so above ROWS lengths they are rounded up to classes first.
+def column_generation(demand: dict[int, int], capacity: int, most: int = 400) -> list[tuple[dict[int, int], float]]:
+    """Patterns and how often each is used (fractions): the linear program's least number of sequences, or less than one sequence above it.
+
+    Revised simplex over a pool of patterns that starts with best-fit decreasing's. After some pivots, and whenever no
+    pattern of the pool improves, the knapsack prices new ones, several at a time, by the duals drawn halfway to those of
+    the best dual bound, which keeps them from swinging, then by the duals themselves. It ends, after a first pricing at least,
+    where no pattern is worth more than a sequence, or where the dual bound (no set of patterns needs fewer sequences)
+    is less than one sequence away. That leaves the slow end of the simplex to no more than `most` pivots between two pricings.
+    Demands are moved by a millionth, so that no pivot is degenerate and the simplex cannot cycle. One row per length: the inverse has
+    lengths squared numbers, so above ROWS lengths they are rounded up to classes first.
     """
     import numpy as np
 
@@ -127,12 +129,22 @@ def column_generation(demand: dict[int, int], capacity: int, gap: float = 0.0005
         at = np.concatenate([at, row[[l for p in new for l in p]]])
         times = np.concatenate([times, [float(n) for p in new for n in p.values()]])
 
+    def price(values) -> tuple[list[dict[int, int]], float]:
+        """New patterns that are worth more than a sequence by the values, and the dual bound of the values."""
+        duals = np.zeros(capacity + 1)
+        duals[lengths] = np.maximum(values, 0)
+        best, take = knapsack(duals, capacity)
+        new = patterns_from(best, take, duals, capacity) if best[capacity] > 1 + 1e-7 else []
+        return [p for p in new if tuple(sorted(p.items())) not in known], float(duals[lengths] @ d) / max(best[capacity], 1.0)
+
     grow(pool)
-    bound = sum(l * n for l, n in demand.items()) / capacity
-    while x.sum() > bound * (1 + gap):
+    center = np.array(lengths, float) / capacity  # by it every full pattern is worth a sequence: the bound of the volume
+    bound, pivots, priced = float(center @ d), 0, False
+    while True:
         value = np.add.reduceat(y[at] * times, first)
         enter = int(value.argmax())
-        if value[enter] > 1 + 1e-7:
+        if value[enter] > 1 + 1e-7 and pivots < most:
+            pivots += 1
             here = slice(first[enter], first[enter + 1] if enter + 1 < len(first) else None)
             step = inverse[:, at[here]] @ times[here]
             ratio = np.full(m, np.inf)
@@ -148,18 +160,22 @@ def column_generation(demand: dict[int, int], capacity: int, gap: float = 0.0005
             inverse[out] = pivot
             basis[out] = enter
             continue
-        duals = np.zeros(capacity + 1)
-        duals[lengths] = np.maximum(y, 0)
-        best, take = knapsack(duals, capacity)
-        if best[capacity] <= 1 + 1e-7:
+        if priced and x.sum() < bound + 1:
             break
-        bound = max(bound, float(duals[lengths] @ d) / best[capacity])
-        new = [p for p in patterns_from(best, take, duals, capacity) if tuple(sorted(p.items())) not in known]
-        if not new:
+        new, pivots, priced = [], 0, True
+        for values in ((y + center) / 2, y):
+            more, under = price(values)
+            if under > bound:
+                bound, center = under, values
+            new += [p for p in more if p not in new]
+            if new:
+                break
+        if not new and value[enter] <= 1 + 1e-7:
             break
         known.update(tuple(sorted(p.items())) for p in new)
-        pool += new
-        grow(new)
+        if new:
+            pool += new
+            grow(new)
     return [(pool[b], float(v)) for b, v in zip(basis, x) if v > 1e-6]
 
 
@@ -171,21 +187,17 @@ def _loss(plan: list[tuple[dict[int, int], int]], capacity: int) -> int:
     return sum(n * padding(sum(l * a for l, a in p.items()), capacity) for p, n in plan)
 
 
-def plan_tails(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """(pattern, times) that hold exactly the demand.
+#: Fractions from which a pattern is used once more after rounding down; each is tried, 1 being none.
+ROUND_UP = (1.0, 0.8, 0.6, 0.4)
 
-    The linear program's patterns are rounded down, what is left over is packed by best-fit decreasing; if best-fit decreasing
-    alone pads less, its plan is used.
-    """
-    plain, plan, left = best_fit(demand, capacity), [], Counter(demand)
-    unit = -(-len(demand) // ROWS)  # above ROWS lengths: classes of unit lengths, each as its longest
-    classes, real = Counter(), {}
-    for l in sorted(demand):
-        up = min(-(-l // unit) * unit, capacity)
-        classes[up] += demand[l]
-        real.setdefault(up, []).append(l)
-    for pattern, times in column_generation(classes, capacity):
-        n = min([int(times + 1e-3), *(sum(left[r] for r in real[l]) // a for l, a in pattern.items())])
+
+def _rounded(patterns: list[tuple[dict[int, int], float]], demand: dict[int, int], real: dict[int, list[int]], capacity: int, up: float) -> list[tuple[dict[int, int], int]]:
+    """Whole numbers of patterns, rounded down and then, the largest fractions first, once more from the fraction `up` on
+    where the tails for it are left; what is over goes to best-fit decreasing. real: the lengths of each class."""
+    left, plan = Counter(demand), []
+
+    def use(pattern: dict[int, int], times: int) -> None:
+        n = min([times, *(sum(left[r] for r in real[l]) // a for l, a in pattern.items())])
         while n > 0:  # the longest of each class first; as many sequences at a time as have the same lengths
             chosen: Counter = Counter()
             for l, a in pattern.items():
@@ -199,8 +211,30 @@ def plan_tails(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, in
             for r, a in chosen.items():
                 left[r] -= a * k
             n -= k
-    plan += best_fit(+left, capacity)
-    return min(plan, plain, key=lambda p: _loss(p, capacity))
+
+    for pattern, times in patterns:
+        use(pattern, int(times + 1e-3))
+    for pattern, times in sorted(patterns, key=lambda p: -(p[1] % 1)):
+        if up <= times % 1 < 1 - 1e-3:
+            use(pattern, 1)
+    return plan + best_fit(+left, capacity)
+
+
+def plan_tails(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """(pattern, times) that hold exactly the demand.
+
+    The linear program's patterns are rounded, the rest is packed by best-fit decreasing; of the ways to round, and best-fit
+    decreasing alone, the one that pads least is used.
+    """
+    unit = -(-len(demand) // ROWS)  # above ROWS lengths: classes of unit lengths, each as its longest
+    classes, real = Counter(), {}
+    for l in sorted(demand):
+        up = min(-(-l // unit) * unit, capacity)
+        classes[up] += demand[l]
+        real.setdefault(up, []).append(l)
+    patterns = column_generation(classes, capacity)
+    plans = [_rounded(patterns, demand, real, capacity, up) for up in ROUND_UP] + [best_fit(demand, capacity)]
+    return min(plans, key=lambda p: _loss(p, capacity))
 
 
 def slots(plan: list[tuple[dict[int, int], int]]) -> tuple[list[tuple[int, int, int, int, int]], int]:

@@ -218,3 +218,18 @@ def test_column_generation_is_near_the_bound():
             used[l] += a * n
     assert used == demand
     assert sum(n for _, n in plan) <= 1.01 * sum(l * n for l, n in demand.items()) / 128 + 1
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_columns_are_priced_at_every_size(spark, sf, monkeypatch):
+    folder = f"/root/testdata/sf{sf}/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables")
+    pieces = packing.pack(spark, spark.read.parquet(folder)).where("length < 1024 AND start + length = doc_tokens")
+    demand = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
+    calls, knapsack = [], packing.knapsack
+    monkeypatch.setattr(packing, "knapsack", lambda *a: calls.append(1) or knapsack(*a))
+    patterns = packing.column_generation(demand, 1024)
+    volume = sum(l * n for l, n in demand.items()) / 1024
+    assert calls and volume - 1e-6 <= sum(v for _, v in patterns) < volume + 1.5
+    assert packing._loss(packing.plan_tails(demand, 1024), 1024) <= packing._loss(packing.best_fit(demand, 1024), 1024)
