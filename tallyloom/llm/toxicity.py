@@ -3,9 +3,10 @@
 Inputs of a step are a word embedding (hashed) and the means of the embeddings (hashed) of the
 word's character trigrams and of its beginnings, which inflected words share. Forward and backward GRU states are pooled by attention to one logit a
 window. Every overlapping window of a whole text is scored; a window's evidence is the softplus
-of its logit, and a base plus the sum of the evidence of all windows, calibrated, is the
-document's logit. Training is numpy, on a bounded labelled sample and on the same sum: each
-round scores all windows, and those of a document that weigh most get gradients while the
+of its logit. A base plus the largest sum of the evidence of SPAN windows that follow each other,
+calibrated, is the document's logit: signs add up within a passage, but a long text is not
+toxic for its length. Training is numpy, on a bounded labelled sample and on the same sum: each
+round scores all windows, and those of a document's span that weigh most get gradients while the
 others' evidence is held.
 """
 
@@ -20,6 +21,8 @@ from tallyloom.llm.quality import fold, labelled_sample
 from tallyloom.llm.words import words
 
 WINDOW, STRIDE = 32, 16
+#: Windows of a passage: about a thousand words.
+SPAN = 64
 #: Hash buckets of words, of character trigrams and of beginnings; sizes of their embeddings and of a GRU state.
 WORDS, TRIGRAMS, STEMS, WORD_DIM, CHAR_DIM, STEM_DIM, STATE = 16_384, 4096, 16_384, 6, 10, 8, 8
 #: Bytes of a beginning; a shorter word is its own.
@@ -136,15 +139,13 @@ class Recurrent:
         return (logit, (h_all, kept, a, pooled)) if keep else logit
 
     def pool(self, logit, doc, n: int):
-        """Logits of n documents: the base and the evidence of all their windows."""
-        import numpy as np
-
-        return self.p["base"][0] + np.bincount(doc, _softplus(logit.astype(float)), n)
+        """Logits of n documents, of which each has windows in `doc`, in order: the base and the evidence of the best span."""
+        return self.p["base"][0] + best_spans(_softplus(logit.astype(float)), doc)[0]
 
     def gradients(self, encoded, index, mask, y, weight, doc=None, rest=0.0):
         """Loss and gradients of the weighted log loss: of windows, or of documents with `doc` naming each window's.
 
-        `rest` is the evidence of the documents' windows that are not among these.
+        `rest` is the evidence of the documents' spans in windows that are not among these.
         """
         import numpy as np
 
@@ -152,7 +153,7 @@ class Recurrent:
         gates = self.gates(x)
         logit, (h_all, kept, a, pooled) = self.run(gates, index, mask, keep=True)
         grad = {k: np.zeros_like(q) for k, q in self.p.items()}
-        total_logit = logit if doc is None else self.pool(logit, doc, len(y)) + rest
+        total_logit = logit if doc is None else self.p["base"][0] + np.bincount(doc, _softplus(logit.astype(float)), len(y)) + rest
         d = ((_sigmoid(total_logit) - y) * weight).astype(np.float32)
         if doc is not None:
             grad["base"] = d.sum(keepdims=True)
@@ -191,6 +192,26 @@ class Recurrent:
         return float(loss), grad
 
 
+def best_spans(evidence, doc):
+    """For each document the greatest sum of evidence of at most SPAN windows in a row, and which windows are in it.
+
+    doc: each window's document, ascending from 0, none without windows.
+    """
+    import numpy as np
+
+    starts = np.flatnonzero(np.diff(doc, prepend=-1))
+    before = np.concatenate([[0.0], np.cumsum(evidence)])
+    end = np.arange(1, len(doc) + 1)
+    begin = np.maximum(end - SPAN, starts[doc])
+    total = before[end] - before[begin]
+    best = np.maximum.reduceat(total, starts)
+    last = np.full(len(starts), len(doc))
+    hit = np.flatnonzero(total == best[doc])
+    np.minimum.at(last, doc[hit], hit)  # the first of equal ones
+    at = np.arange(len(doc))
+    return best, (at <= last[doc]) & (at >= begin[last][doc])
+
+
 def _window_arrays(flat, sizes):
     """All windows of documents given as word numbers, one after the other: index, mask, the window's document."""
     import numpy as np
@@ -292,12 +313,15 @@ def train(texts: list[str | None], labels, prior: float, rounds: int = 8, seed:
                 least, best = loss, ({k: q.copy() for k, q in model.p.items()}, *line)
         if r == rounds:
             break
-        by = np.lexsort([-(rank + rng.normal(0, 1e-3, len(rank))), doc])
-        place = np.empty(len(doc), np.int64)  # of a window in its document, the most telling first
+        _, inside = best_spans(evidence if r > 0 else np.maximum(rank, 0), doc)
+        first = np.full(len(y), len(doc))  # window of each span
+        np.minimum.at(first, doc[inside], np.flatnonzero(inside))
+        by = np.lexsort([-(rank + rng.normal(0, 1e-3, len(rank))), ~inside, doc])
+        place = np.empty(len(doc), np.int64)  # of a window in its document, the most telling of the span first
         place[by] = np.arange(len(doc)) - starts[doc[by]]
-        use = place < TELLING
-        use[starts + rng.integers(0, size)] = True
-        rest = np.bincount(doc, np.where(use, 0, evidence), len(y))
+        use = inside & (place < TELLING)
+        use[first + rng.integers(0, np.bincount(doc, inside).astype(np.int64))] = True
+        rest = np.bincount(doc, np.where(inside & ~use, evidence, 0), len(y))
         some = np.flatnonzero(~held)
         rng.shuffle(some)
         for k in range(0, len(some), DOCS):

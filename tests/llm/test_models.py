@@ -196,3 +196,34 @@ def test_gradients():
             loss.append(model.gradients(encoded, index, mask, y, w)[0])
         flat[at] = old
         assert np.isclose(g.ravel()[at], (loss[0] - loss[1]) / 2e-3, rtol=1e-2, atol=1e-5), name
+
+
+def test_best_spans_against_plain_sums():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        sizes = rng.integers(1, 200, 6)
+        doc, evidence = np.repeat(np.arange(6), sizes), rng.random(int(sizes.sum())) ** 4
+        best, inside = toxicity.best_spans(evidence, doc)
+        for d in range(6):
+            e = evidence[doc == d]
+            sums = {(a, b): e[a:b].sum() for a in range(len(e)) for b in [min(a + toxicity.SPAN, len(e))]}
+            assert np.isclose(best[d], max(sums.values())) and np.isclose(e[inside[doc == d]].sum(), best[d]) and inside[doc == d].sum() <= toxicity.SPAN
+
+
+@needs_tables
+def test_length_alone_makes_no_text_toxic(spark):
+    """Clean held-out rows joined to texts of up to 300,000 words stay clean; one toxic row in such a text is found."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scorer = toxicity.Scorer(toxicity.fit(docs, labels, quality.fold(toxicity.F.col("doc_id"), 5) != 0))
+    held = docs.join(labels, "doc_id").where(quality.fold(toxicity.F.col("doc_id"), 5) == 0).orderBy("doc_id").toPandas()
+    held["score"] = np.concatenate([scorer.score(held["text"].iloc[k : k + 64].tolist()) for k in range(0, len(held), 64)])
+    clean = held[(held["toxic"] == 0) & (held["score"] < 0.2)]["text"].tolist()
+    toxic = held[(held["toxic"] == 1) & (held["score"] >= 0.5)]["text"].tolist()
+    random.Random(1).shuffle(clean)
+    words = " ".join(clean).split()
+    while len(words) < 300_000:
+        words += words
+    for n in (100, 3_000, 10_000, 45_000, 120_000, 300_000):
+        assert scorer.score([" ".join(words[:n])])[0] < 0.5
+    found = [scorer.score([" ".join([*words[:20_000], text, *words[20_000:40_000]])])[0] >= 0.5 for text in toxic[:30]]
+    assert np.mean(found) > 0.95
