@@ -4,8 +4,8 @@ Inputs of a step are a word embedding (hashed) and the means of the embeddings (
 word's character trigrams and of its beginnings, which inflected words share. Forward and backward GRU states are pooled by attention to one logit a
 window. Every overlapping window of a whole text is scored; a window's evidence is the softplus
 of its logit. A base plus the largest sum of the evidence of SPAN windows that follow each other,
-calibrated, is the document's logit: signs add up within a passage, but a long text is not
-toxic for its length. Training is numpy, on a bounded labelled sample and on the same sum: each
+less a little for texts of many spans, calibrated, is the document's logit: signs add up within
+a passage, but a long text is not toxic for its length. Training is numpy, on a bounded labelled sample and on the same sum: each
 round scores all windows, and those of a document's span that weigh most get gradients while the
 others' evidence is held.
 """
@@ -21,8 +21,9 @@ from tallyloom.llm.quality import fold, labelled_sample
 from tallyloom.llm.words import words
 
 WINDOW, STRIDE = 32, 16
-#: Windows of a passage: about a thousand words.
-SPAN = 64
+#: Windows of a passage: about five hundred words. A text of many passages has to show more in its best one, by this times
+#: the logarithm of their number, as the best of many clean ones is higher too.
+SPAN, MANY = 32, 0.25
 #: Hash buckets of words, of character trigrams and of beginnings; sizes of their embeddings and of a GRU state.
 WORDS, TRIGRAMS, STEMS, WORD_DIM, CHAR_DIM, STEM_DIM, STATE = 16_384, 4096, 16_384, 6, 10, 8, 8
 #: Bytes of a beginning; a shorter word is its own.
@@ -140,7 +141,10 @@ class Recurrent:
 
     def pool(self, logit, doc, n: int):
         """Logits of n documents, of which each has windows in `doc`, in order: the base and the evidence of the best span."""
-        return self.p["base"][0] + best_spans(_softplus(logit.astype(float)), doc)[0]
+        import numpy as np
+
+        spans = np.maximum(np.bincount(doc, minlength=n) / SPAN, 1)
+        return self.p["base"][0] + best_spans(_softplus(logit.astype(float)), doc)[0] - MANY * np.log(spans)
 
     def gradients(self, encoded, index, mask, y, weight, doc=None, rest=0.0):
         """Loss and gradients of the weighted log loss: of windows, or of documents with `doc` naming each window's.
