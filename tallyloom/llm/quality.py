@@ -260,7 +260,8 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_c
     label counts, and ties in the sample's order go by id. Null and empty texts pool to zeros and are
     scored like any text, very long ones whole; a null id is never held out (false). Repeated rows
     are scored each; an empty table gives no rows; without usable labels every score comes
-    from an untrained network. Other columns are not read.
+    from an untrained network. Other columns are not read. At most FIT_ROWS labelled rows are learned from, those with the
+    least hashes of their id.
     """
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     vectors, network = fit(docs, labels, fold(F.col("doc_id"), 3) != 1)
@@ -271,7 +272,11 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_c
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns, of the documents the classifier does not reject (score >= 0.5)."""
+    """The rows, all columns, of the documents the classifier does not reject (score >= 0.5).
+
+    Rows are judged one by one, so ids may be null, tie or repeat; null and empty texts are scored like any other, very long ones
+    whole. An empty table stays empty, and clashing column names are kept as they are.
+    """
     plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     vectors, network = fit(plain, labels, fold(F.col("doc_id"), 3) != 1)
     score = F.pandas_udf(lambda t: _score_series(t, vectors, network), "double")

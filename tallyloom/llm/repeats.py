@@ -11,8 +11,9 @@ string covers goes. Prefixes of LENGTH bytes decide, so suffixes are named, not
    Blocks of one tuple with equal bytes get one name; all strings of a block whose name occurs twice are
    repeated. Hot passages collapse to one row here.
 3. The remaining suffixes. Blocks of different names are named again by the bytes on either side of the
-   tuple; only strings on a side that several names share are left. They are sorted by the name of their LENGTH
-   bytes (one block stands for all of its name), and equal neighbours are repeated.
+   tuple; only strings on a side that several names share are left. They are counted by the name of their LENGTH
+   bytes (one block stands for all of its name), and names that occur twice are joined back to their places.
+   Nothing is sorted: equality of names stands for equality of bytes.
 
 Names are two polynomial hashes with byte tables of their own. Blocks and remaining suffixes are handled in
 PASSES ranges of their names, one after another, which bounds the disk.

@@ -1,7 +1,8 @@
 """The operators as pipeline stages: (spark, docs, sf_dir) -> DataFrame.
 
 All but pack return rows of docs with all their columns, whatever their names. Documents
-need doc_id and text; null or repeated ids are judged row by row. Empty tables pass through.
+need doc_id and text; null or repeated ids are judged row by row. Empty tables pass through. Very long
+texts are judged whole; of rows that tie for a group's smallest id any one stays.
 """
 
 from __future__ import annotations

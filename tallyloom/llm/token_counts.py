@@ -249,7 +249,9 @@ def standard_edits(docs: DataFrame) -> DataFrame:
 def edited_counts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The standard edits on every document: doc_id, n_tokens, n_edits, n_tokens_after, n_reencoded.
 
-    Rows with null or repeated ids are documents of their own; empty tables give no rows.
+    Rows with null or repeated ids are documents of their own; empty tables give no rows. A null or empty text has no
+    tokens and takes the inserts; a very long text is counted and edited whole in one task. Repeated texts are
+    counted each, edits do not tie, and further columns, whatever their names, are not read.
     """
     named = with_uid(spark, narrow(docs, id_col, text_col))
     trees = materialize(spark, build_trees(named), "trees")
