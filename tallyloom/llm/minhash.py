@@ -348,9 +348,11 @@ def near_duplicates(
     placed = labelled.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("uid"), F.col("n")).cast("int"))
     twice = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
         "key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).cast("int").alias("side"),
-        "uid", "comp", "size", "keys", "sig", F.when(F.col("large"), F.col("uid")).alias("of"),
+        "uid", "comp", "size", "keys", "sig", "large",
     )
-    twice = twice.join(bag.toDF("of", "ids"), "of", "left").drop("of")
+    # Only members of large buckets meet their bags.
+    some = twice.where("large").join(bag, "uid")
+    twice = some.unionByName(twice.where("NOT large").withColumn("ids", F.lit(None).cast("array<long>"))).drop("large")
     rest = twice.groupBy("key", "x", "y").applyInArrow(_blocks(bands * rows, least, similarity), "a long, b long, sure boolean")
     rest = materialize(spark, rest, "pairs")
     links = verified(materialize(spark, rest.where("NOT sure").select("a", "b").distinct(), "pairs"))
