@@ -765,16 +765,17 @@ _CONTACT_HTML = """<!-- <a href="mailto:old@x.example">m</a> --><a title="hotel:
 {"@context": "https://schema.org", "@graph": [{"@type": ["Organization", "Corporation"], "name": "Acme & %s", "employees": %s}, {"@type": "Person", "name": "No %s"}]}]</script><script type="application/ld+json">{broken</script>""".replace("%%", "%")
 
 
-@query("""SELECT page_id, ['a' || page_id || '@x.example', 'b' || page_id || '@x.example'] AS emails, ['+81-3-' || page_id] AS phones, ['84' || page_id, '85' || page_id] AS whatsapp,
-'Acme & ' || page_id AS name, ['Acme & ' || page_id, 'No ' || page_id] AS names, ['Acme & ' || page_id] AS organizations, CAST(page_id AS VARCHAR) AS employees, 'https://x.example/' || page_id AS url, 'not_found' AS fax FROM pages""")
+@query("""SELECT page_id, 'a' || page_id || '@x.example b' || page_id || '@x.example' AS emails, '+81-3-' || page_id AS phones, '84' || page_id || ' 85' || page_id AS whatsapp,
+'Acme & ' || page_id AS name, 'Acme & ' || page_id || '|No ' || page_id AS names, 'Acme & ' || page_id AS organizations, CAST(page_id AS VARCHAR) AS employees, 'https://x.example/' || page_id AS url, 'not_found' AS fax FROM pages""")
 def extract_contacts(spark, sf):
     html = F.concat(F.replace(F.lit(_CONTACT_HTML), F.lit("%s"), F.col("page_id").cast("string")), F.coalesce("html", F.lit("")))
     h = F.col("html")
     value = lambda path: extract.or_not_found(extract.json_ld(h, path))
+    names = lambda kind: F.array_join(extract.json_ld_values(h, "$.name", kind), "|")
     return table(spark, sf, "pages").select("page_id", html.alias("html")).select(
-        "page_id", extract.emails(h).alias("emails"), extract.phones(h).alias("phones"), extract.whatsapp(h).alias("whatsapp"), value("$.name").alias("name"),
-        extract.json_ld_values(h, "$.name").alias("names"), extract.json_ld_values(h, "$.name", "Organization").alias("organizations"), value("$.employees").alias("employees"),
-        value("$.url").alias("url"), value("$.fax").alias("fax"),
+        "page_id", F.array_join(extract.emails(h), " ").alias("emails"), F.array_join(extract.phones(h), " ").alias("phones"),
+        F.array_join(extract.whatsapp(h), " ").alias("whatsapp"), value("$.name").alias("name"), names(None).alias("names"),
+        names("Organization").alias("organizations"), value("$.employees").alias("employees"), value("$.url").alias("url"), value("$.fax").alias("fax"),
     )
 
 
