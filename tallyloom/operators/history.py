@@ -58,13 +58,16 @@ def field_changes(
     """
     lists = lists or {}
     names = [*fields, *lists]
-    kept = snapshots.select(key, at, tie, *fields, *(_items(F.col(f), by).alias(f) for f, by in lists.items()))
+    kept = snapshots.select(key, at, tie, *names)
     seen = timeblocks.previous(kept, key, [at, tie], names, "_before", unit).where("_before IS NOT NULL")
+    # Items become JSON, which is several times as large, only after the last shuffle.
+    made = {n: _items(F.col(c), by) for f, by in lists.items() for n, c in ((f, f), (f"_was_{f}", f"_before.{f}"))}
+    seen = seen.withColumns(made) if made else seen
     old = lambda f: F.col(f"_before.{f}")
     plain = [F.when(~F.col(f).eqNullSafe(old(f)), _change(f, None, "changed", old(f).cast("string"), F.col(f).cast("string"))) for f in fields]
     found = [F.array(*plain)] if plain else []
     for f in lists:
-        found += _item_changes(f, F.col(f"_before.{f}"), F.col(f))
+        found += _item_changes(f, F.col(f"_was_{f}"), F.col(f))
     return seen.select(key, at, tie, F.inline(F.filter(F.concat(*found), lambda c: c.isNotNull())))
 
 

@@ -3,7 +3,8 @@
 Rows are grouped by owner and block of time (a day, an hour, a month). Within a block a window
 function does the work; across blocks it runs over one row per block, and what that carries
 is joined to the block's rows. An owner's rows of one block are one group, so the block has to be
-chosen so that it holds what a task can sort; the blocks of one owner are another.
+chosen so that it holds what a task can sort; the blocks of one owner are another. Owner and block are
+never null as keys, so that window and join are partitioned alike and the rows are shuffled once.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ _OWNER, _BLOCK = "_owner", "_block"
 
 
 def _blocked(rows: DataFrame, owner: str, at: str, unit: str) -> DataFrame:
-    return rows.withColumns({_OWNER: F.col(owner), _BLOCK: F.date_trunc(unit, F.col(at).cast("timestamp"))})
+    """rows with the owner as a struct and the block's beginning in microseconds, the least for rows without a time."""
+    begin = F.unix_micros(F.date_trunc(unit, F.col(at).cast("timestamp")))
+    return rows.withColumns({_OWNER: F.struct(F.col(owner).alias("id")), _BLOCK: F.coalesce(begin, F.lit(-(2**63)))})
 
 
 def _within(order: list[str]):
@@ -28,9 +31,7 @@ def _blocks_before():
 
 def _carried(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """rows with the columns of their block's row; a null owner or time is a value like others."""
-    right = blocks.select(*(F.col(c).alias(f"_r{c}") if c in (_OWNER, _BLOCK) else F.col(c) for c in blocks.columns))
-    met = F.col(_OWNER).eqNullSafe(F.col(f"_r{_OWNER}")) & F.col(_BLOCK).eqNullSafe(F.col(f"_r{_BLOCK}"))
-    return rows.join(right, met, "left").drop(f"_r{_OWNER}", f"_r{_BLOCK}")
+    return rows.join(blocks, [_OWNER, _BLOCK], "left")
 
 
 def running_sum(rows: DataFrame, owner: str, order: list[str], value: Column, name: str, unit: str = "day") -> DataFrame:
@@ -47,12 +48,20 @@ def running_sum(rows: DataFrame, owner: str, order: list[str], value: Column, na
 
 
 def previous(rows: DataFrame, owner: str, order: list[str], columns: list[str], name: str, unit: str = "day") -> DataFrame:
-    """rows with a struct (name) of the columns of the owner's row before each, by order; null for the first."""
+    """rows with a struct (name) of the columns of the owner's row before each, by order; null for the first.
+
+    What is carried may be large, so it doesn't pass through the window over an owner's blocks: that gives each block
+    the next one, and a block's last row is sent there. The first row of a block takes it up.
+    """
     kept = F.struct(*columns)
     blocked = _blocked(rows, owner, order[0], unit)
-    blocks = blocked.groupBy(_OWNER, _BLOCK).agg(F.max_by(kept, F.struct(*order)).alias("_last"))
-    carry = blocks.select(_OWNER, _BLOCK, F.last("_last").over(_blocks_before()).alias("_carry"))
-    met = _carried(blocked.withColumns({"_inside": F.lag(kept).over(_within(order)), "_n": F.row_number().over(_within(order))}), carry)
+    after = F.lead(_BLOCK).over(Window.partitionBy(_OWNER).orderBy(_BLOCK)).alias("_next")
+    after = blocked.select(_OWNER, _BLOCK).distinct().select(_OWNER, _BLOCK, after).where("_next IS NOT NULL")
+    dealt = blocked.repartition(_OWNER, _BLOCK)
+    # The owner is named so that last rows and all rows want the same columns and read one shuffle.
+    last = dealt.groupBy(_OWNER, _BLOCK).agg(F.max_by(F.struct(kept.alias("kept"), F.col(owner)), F.struct(*order)).alias("_last"))
+    carry = last.join(after, [_OWNER, _BLOCK]).select(_OWNER, F.col("_next").alias(_BLOCK), F.col("_last.kept").alias("_carry"))
+    met = _carried(dealt.withColumns({"_inside": F.lag(kept).over(_within(order)), "_n": F.row_number().over(_within(order))}), carry)
     return met.withColumn(name, F.when(F.col("_n") == 1, F.col("_carry")).otherwise(F.col("_inside"))).drop(_OWNER, _BLOCK, "_inside", "_n", "_carry")
 
 

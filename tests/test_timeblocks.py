@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -99,3 +100,37 @@ def test_field_changes(spark):
         ("v3", "contacts", '{"label":"tel"}', "removed", js("tel", "3", ""), None), ("v3", "contacts", '{"label":"fax"}', "removed", js("fax", "9", ',"verified":false'), None),
     ]
     assert sorted(map(str, (tuple(r)[2:] for r in found.collect()))) == sorted(map(str, expect))
+
+
+def exchanged(spark, df, capsys):
+    """The columns of every shuffle of df's plan, one that is read again counted once."""
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in zip(names, ("false", "-1")):
+            spark.conf.set(k, v)
+        df.explain("formatted")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    return [set(re.findall(r"(\w+)#", x)) for x in re.findall(r"\) Exchange\n(?:Output|Input) \[\d+\]: \[(.*?)\]\n", capsys.readouterr().out)]
+
+
+def test_lists_are_shuffled_twice(spark, capsys):
+    """Once with their rows and once, from that same shuffle, to the owner's next block; never as JSON or through the window over blocks."""
+    contact = "array<struct<label:string,value:string>>"
+    df = spark.createDataFrame([("acme", DAY, "v1", "de", [("mail", "a@x")])], f"company string, at timestamp_ntz, version string, country string, contacts {contact}")
+    shuffles = exchanged(spark, history.field_changes(df, "company", "at", "version", ["country"], {"contacts": ["label"]}), capsys)
+    wide = [x for x in shuffles if not x <= {"_owner", "_block", "_next"}]
+    assert len(wide) == 2 and sum("contacts" in x for x in wide) == 1 and sum("_carry" in x for x in wide) == 1
+
+
+def test_rows_are_shuffled_once(spark, capsys):
+    """Windows and joins of running sums and settings are partitioned alike, also for null owners and times."""
+    _, df = made(spark)
+    df = df.localCheckpoint()
+    sums = exchanged(spark, timeblocks.running_sum(df, "owner", ["at", "id"], F.col("amount"), "total"), capsys)
+    assert sum("id" in x for x in sums) == 1
+    since = df.select("owner", F.col("at").alias("since"), F.col("amount").alias("days"))
+    held = exchanged(spark, timeblocks.last_value(df, since, "owner", "at", "since", "days"), capsys)
+    assert sum("id" in x for x in held) == 1
