@@ -10,15 +10,19 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+import string
+import sys
+from array import array
 from functools import lru_cache
 
 #: A split space whose neighbours on both sides are white space (or the end) is no unit start.
 _RUNS = re.compile(r"\s (?!\S)")
 #: White space as the tokenizer's regex has it: U+001C to U+001F are not in it.
 _UNITS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-#: A word with punctuation after it: a letter and a mark that follows are never one token.
-_CUT = re.compile(r"(.*[^\W\d_])([.,;:!?|]+)", re.S)
+#: ASCII marks. A letter and a mark that follows are never one token, and marks up to a unit's end are one pre-token.
+_MARKS = string.punctuation
+#: A line feed between characters that are no white space is a pre-token of its own.
+_LINES = re.compile(r"\S+(?:\n\S+)+")
 #: Letters only (Latin blocks), so one pre-token, which the model may be given directly.
 _WORD = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
 #: Bounds the memory of one worker's memo of units; beyond it units are encoded each time.
@@ -39,23 +43,35 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian uint32."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Units(dict):
     """Unit -> ids, filled as units are asked for. The key leaves out the unit's leading space, if any."""
 
     def __init__(self, owner: UnitEncoder, lead: str) -> None:
-        self.owner, self.lead = owner, lead
+        self.owner, self.lead, self.lead_letter = owner, lead, lead.translate(owner.letters)
 
     def __missing__(self, key: str) -> bytes:
-        owner, cut = self.owner, _CUT.fullmatch(key)
-        if cut:
-            ids = self[cut[1]] + owner.plain[cut[2]]
+        owner = self.owner
+        if key.isascii() and key.isalpha():
+            ids = owner.modelled(self.lead_letter + key)
         elif _WORD.fullmatch(key):
-            letters = (self.lead + key).encode().decode("latin-1").translate(owner.letters)
-            found = [t.id for t in owner.model.tokenize(letters)]
-            ids = struct.pack(f"<{len(found)}I", *found)
+            ids = owner.modelled((self.lead + key).encode().decode("latin-1").translate(owner.letters))
+        elif owner.has_added(key):
+            ids = packed(owner.tokenizer.encode(self.lead + key, add_special_tokens=False).ids)
+        elif "\n" in key and _LINES.fullmatch(key):
+            head, *lines = key.split("\n")
+            ids = owner.line_feed.join([self[head], *map(owner.plain.__getitem__, lines)])
+        elif (core := key.rstrip(_MARKS)) != key and core[-1:].isalpha():
+            ids = self[core] + owner.plain[key[len(core) :]]
         else:
-            found = owner.tokenizer.encode(self.lead + key, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(found)}I", *found)
+            ids = packed(owner.tokenizer.encode(self.lead + key, add_special_tokens=False).ids)
         if len(self) < MEMO_UNITS and len(key) <= LONGEST_MEMO:
             self[key] = ids
         return ids
@@ -74,6 +90,11 @@ class UnitEncoder:
         self.longest_added = max(map(len, added), default=0)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.plain, self.spaced = _Units(self, ""), _Units(self, " ")
+        self.line_feed = self.plain["\n"]
+
+    def modelled(self, letters: str) -> bytes:
+        """The ids of one pre-token, given in the byte-level alphabet."""
+        return packed([t.id for t in self.model.tokenize(letters)])
 
     def has_added(self, text: str) -> bool:
         return self.added is not None and self.added.search(text) is not None
@@ -82,8 +103,7 @@ class UnitEncoder:
         if not text:
             return b""
         if self.has_added(text):
-            found = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(found)}I", *found)
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if _RUNS.search(text):
             return b"".join(map(self.plain.__getitem__, _UNITS.findall(text)))
         head, *rest = text.split(" ")

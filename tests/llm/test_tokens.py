@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from tallyloom.llm import packing, token_counts, token_orc
 from tallyloom.llm.common import fresh_path, session_conf
-from tallyloom.llm.tokens import default_tokenizer, encoder
+from tallyloom.llm.tokens import UnitEncoder, default_tokenizer, encoder
 
 PATH = default_tokenizer()
 PLAIN = Tokenizer.from_file(PATH)
@@ -51,6 +51,35 @@ def test_added_tokens_are_the_librarys():
         assert sum(n for _, n in token_counts.leaves_of(t, encoder(PATH))) == len(ids_of(t))
 
 
+def test_words_go_to_the_model_alone():
+    """Line feeds and marks at a unit's end are cut off: only marks and numbers need the whole tokenizer, each once."""
+
+    class Counted:
+        def encode(self, text, **options):
+            asked.append(text)
+            return PLAIN.encode(text, **options)
+
+    enc, asked = UnitEncoder(PATH), []
+    enc.tokenizer = Counted()
+    text = "Erst.\nZweit dritt%%% viert.***\nfünft,###\nsechst it's they'll don't!' _a_ b_c_ 7,%\n(8)."
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == ids_of(text)
+    assert not any(x.strip() in asked for x in ("Erst.\nZweit", "dritt%%%", "viert.***\nfünft,###\nsechst", "Erst.", "fünft,###"))
+    before = len(asked)
+    new = "Neunt.\nZehnt elft%%% zwölft.***\nletzt,###"
+    assert np.frombuffer(enc.encode(new), "<u4").tolist() == ids_of(new) and len(asked) == before
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Wort", "fünf", "ñ", "漢", "д", "²", "9", "\n", "\n\n", " ", "\t", "\x1c", "\xa0", "\u0301", "'", "'s", "'ll", "_", ".", ",%", "***", "!'", "…", "–"]), max_size=12).map("".join))
+def test_cut_units_give_the_tokenizers_ids(text):
+    assert np.frombuffer(encoder(PATH).encode(text), "<u4").tolist() == ids_of(text)
+
+
+def test_a_long_text_of_short_lines():
+    for text in ("a.\n" * 50_000 + "b", "x\n" * 50_000, "a!" * 50_000 + "\n" + "!" * 50_000):
+        assert np.frombuffer(encoder(PATH).encode(text), "<u4").tolist() == ids_of(text)
+
+
 def test_an_edit_touches_little(spark):
     text = " ".join(f"word{k}" for k in range(20_000))
     enc = encoder(PATH)
