@@ -269,19 +269,14 @@ def _pieces(path: str, end_id: int, capacity: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, end, step = encoder(path), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
+        enc, step = encoder(path), 4 * capacity
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
-                sizes, crcs = [], []
-                for text in some.column("text").to_pylist():
-                    ids = enc.encode(text) + end
-                    sizes.append(len(ids) // 4)
-                    crcs.append([zlib.crc32(ids[k : k + step]) for k in range(0, len(ids), step)])
-                n = len(sizes)
+            for at, ids, ends in enc.encode_chunks(batch.column("text"), end_id):
+                n, sizes, flat = len(ends), np.diff(ends, prepend=0), memoryview(ids).cast("B")
+                crcs = [[zlib.crc32(flat[k : min(k + step, to)]) for k in range(to - size, to, step)] for to, size in zip((4 * ends).tolist(), (4 * sizes).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array(np.full(n, part, np.int64)), pa.array(np.arange(seq, seq + n)),
+                    [batch.column("doc_id").slice(at, n), pa.array(np.full(n, part, np.int64)), pa.array(np.arange(seq, seq + n)),
                      pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))],
                     names=["doc_id", "part", "seq", "doc_tokens", "crcs"],
                 )

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import fresh_path, materialize, narrow, session_conf
 from tallyloom.llm.tokens import default_tokenizer, encoder
 
-#: Documents that go to Arrow in one batch, so that a batch of long texts stays small.
-BATCH = 128
 #: Rows after which the writer looks whether a stripe is full; few, as documents may be long.
 CHECK_ROWS = 256
 
@@ -23,18 +21,14 @@ def _encode(path: str, end_id: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
-        part, seq = TaskContext.get().partitionId(), 0
+        enc, part, seq = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                some = batch.slice(at, BATCH)
-                packed = [enc.encode(t) + end for t in some.column("text").to_pylist()]
-                n = len(packed)
-                ends = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
-                ids = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
+            for at, ids, ends in enc.encode_chunks(batch.column("text"), end_id):
+                n = len(ends)
+                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)),
-                     pa.ListArray.from_arrays(pa.array(ends), ids)],
+                    [batch.column("doc_id").slice(at, n), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)),
+                     pa.ListArray.from_arrays(offsets, pa.array(ids.view("<i4")))],
                     names=["doc_id", "part", "seq", "ids"],
                 )
                 seq += n

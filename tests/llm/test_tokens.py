@@ -4,13 +4,14 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import documents, frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tallyloom.llm import packing, token_counts, token_orc
+from tallyloom.llm import packing, token_counts, token_orc, tokens
 from tallyloom.llm.common import fresh_path, session_conf
 from tallyloom.llm.tokens import UnitEncoder, default_tokenizer, encoder
 
@@ -75,6 +76,72 @@ def test_cut_units_give_the_tokenizers_ids(text):
     assert np.frombuffer(encoder(PATH).encode(text), "<u4").tolist() == ids_of(text)
 
 
+def column_ids(enc, texts, kind="string"):
+    """The ids of each text, end id 2 last, by encode_chunks."""
+    got = []
+    for at, ids, ends in enc.encode_chunks(pa.array(["left", *texts], kind).slice(1), 2):
+        assert at == len(got)
+        got += [x.tolist() for x in np.split(ids, ends)[:-1]]
+        assert ends[-1] == len(ids)
+    return got
+
+
+cuts = st.lists(st.sampled_from(["a", "Wort", "fünf", "ñ", "×", "÷", "ɏ", "ʼ", "漢", "д", "²", "9", "12", "\n", "\n\n", " ", "  ", "\t", "\x1c", "\x7f", "\xa0", "\u2028", "\u3000", "\u0301", "'", "'s", "'ll", "_", ".", ",%", "(", "!'", "…", "–"]), max_size=10).map("".join)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.one_of(odd, cuts, st.none()), max_size=6))
+def test_columns_give_the_tokenizers_ids(texts):
+    assert column_ids(encoder(PATH), texts) == [ids_of(t) + [2] for t in texts]
+
+
+def test_columns_of_odd_texts(monkeypatch):
+    texts = ["", None, " ", "\n", "a  b", "x \n y", " lead", "trail ", "<|endoftext|>", "a <|endoftext|>b", "é\n\né", "漢 漢", "ende.\n", "\nanfang", "it's 's '5 5's a1b2 (ä) ×3 ÷", "–\n–", *(chr(c) + "\n" + chr(c) + " " + chr(c) for c in range(1, 0x260))]
+    want = [ids_of(t) + [2] for t in texts]
+    for chunk in (1, 40, 8 << 20):
+        monkeypatch.setattr(tokens, "CHUNK", chunk)
+        assert column_ids(encoder(PATH), texts) == column_ids(encoder(PATH), texts, "large_string") == want
+    assert column_ids(encoder(PATH), [None, ""]) == [[2], [2]] and column_ids(encoder(PATH), []) == []
+    long = ["a.\n" * 50_000 + "b", "x\n" * 50_000, "漢 " * 50_000 + "!" * 50_000, "w" * 5000 + " " + "é" * 5000]
+    assert column_ids(encoder(PATH), long) == [ids_of(t) + [2] for t in long]
+
+
+def test_columns_take_each_new_word_once_and_many_at_a_time(monkeypatch):
+    """A word is asked for once however often it occurs, in a few calls, and neither marks nor digits about it take it to the whole tokenizer."""
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode(self, text, **options):
+            asked.append(text)
+            return self.inner.encode(text, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            lines.extend(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    enc, asked, lines = UnitEncoder(PATH), [], []
+    enc.tokenizer, enc.words = Counted(enc.tokenizer), Counted(enc.words)
+    names = ["".join("abcdefghij"[int(d)] for d in str(k)) for k in range(10_000, 15_000)]
+    texts = [" ".join(names), *(f"{n}.77@{n}.example, ({n})\n{n}### " for n in names)]
+    for kept in (600_000, 0):
+        monkeypatch.setattr(tokens, "MEMO_UNITS", kept)
+        lines.clear()
+        assert column_ids(enc, texts) == [ids_of(t) + [2] for t in texts]
+        words = [w for line in lines for w in line.split(enc.letters[0xFF])]
+        assert len(words) == len(set(words)) and len(lines) <= len(words) / tokens.WORDS + 1 and set(names[1:]) <= set(words)
+        enc.plain.clear()
+    assert not any(c.isalpha() for text in asked for c in text)
+
+
+def test_columns_without_a_byte_to_join_by():
+    enc = UnitEncoder(PATH)
+    enc.between = None
+    texts = ["Erst.\nZweit fünft dritt%%%", "ein Wort"]
+    assert column_ids(enc, texts) == [ids_of(t) + [2] for t in texts]
+
+
 def test_a_long_text_of_short_lines():
     for text in ("a.\n" * 50_000 + "b", "x\n" * 50_000, "a!" * 50_000 + "\n" + "!" * 50_000):
         assert np.frombuffer(encoder(PATH).encode(text), "<u4").tolist() == ids_of(text)
