@@ -32,7 +32,7 @@ _WORD = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
 MEMO_UNITS = 600_000
 LONGEST_MEMO = 64
 #: Bytes of text (one text at least) whose distinct units are found at a time.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: New words that the model takes as one string, and such strings at a time.
 WORDS = 64
 #: Classes of bytes; all else (0) is cut nowhere but before spaces.
