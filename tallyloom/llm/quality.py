@@ -22,8 +22,10 @@ from tallyloom.llm.common import free_name
 LEXICAL, SHAPES, DIM, NONZERO = 8192, 1024, 48, 4
 #: Bound on the labelled rows the network is fitted on; the smallest hashes of the id are taken.
 FIT_ROWS = 20_000
-MEMO = 400_000
-BATCH = 256
+#: Bounds a worker's memo of tokens: a full one starts over, so that it follows the texts and stays small while the worker waits.
+MEMO = 150_000
+#: Documents whose words are counted, and pooled, at a time: a word's vector is larger than its counts.
+BATCH, POOLED = 256, 64
 _RUN = re.compile(r"(.)\1+", re.S)
 _SHAPE = [(re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() else "Aa" if m[0][0].isupper() else "a"), (re.compile(r"\d+"), "9")]
 
@@ -38,9 +40,14 @@ def _buckets(token: str) -> tuple[int, int]:
 
 
 class _Memo(dict):
-    def __missing__(self, token: str) -> tuple[int, int]:
-        got = _buckets(token)
-        if len(self) < MEMO and len(token) <= 40:
+    """Token -> its two buckets in one number."""
+
+    def __missing__(self, token: str) -> int:
+        lexical, shape = _buckets(token)
+        got = lexical * SHAPES + shape - LEXICAL
+        if len(token) <= 40:
+            if len(self) >= MEMO:
+                self.clear()
             self[token] = got
         return got
 
@@ -54,8 +61,8 @@ def _tokens(texts: list[str | None]):
 
     many = [(t or "").split() for t in texts]
     sizes = np.array([len(m) for m in many], np.int64)
-    flat = np.fromiter((x for m in many for t in m for x in _memo[t]), np.int32, 2 * int(sizes.sum()))
-    return flat[::2], flat[1::2], sizes
+    both = np.fromiter((_memo[t] for m in many for t in m), np.int32, int(sizes.sum()))
+    return both // SHAPES, LEXICAL + both % SHAPES, sizes
 
 
 @lru_cache(maxsize=1)
@@ -210,8 +217,8 @@ def _features(vectors):
         import pyarrow as pa
 
         for batch in batches:
-            for k in range(0, batch.num_rows, BATCH):
-                some = batch.slice(k, BATCH)
+            for k in range(0, batch.num_rows, POOLED):
+                some = batch.slice(k, POOLED)
                 x = pooled(some.column("text").to_pylist(), vectors)
                 yield pa.RecordBatch.from_arrays([some.column("y"), pa.array(list(x), pa.list_(pa.float32()))], names=["y", "x"])
 
@@ -240,8 +247,8 @@ def _scores(vectors, network: Network):
         import pyarrow as pa
 
         for batch in batches:
-            for k in range(0, batch.num_rows, BATCH):
-                some = batch.slice(k, BATCH)
+            for k in range(0, batch.num_rows, POOLED):
+                some = batch.slice(k, POOLED)
                 score = network.score(pooled(some.column("text").to_pylist(), vectors))
                 rest = [c for c in some.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in rest), pa.array(score.astype(float))], names=[*rest, "score"])
@@ -279,16 +286,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col
     """
     plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     vectors, network = fit(plain, labels, fold(F.col("doc_id"), 3) != 1)
-    score = F.pandas_udf(lambda t: _score_series(t, vectors, network), "double")
+    score = F.arrow_udf(lambda t: _score_array(t, vectors, network), "double")
     name = free_name(docs, "_score")
     return docs.withColumn(name, score(docs[text_col].cast("string"))).where(F.col(name) >= 0.5).drop(name)
 
 
-def _score_series(texts, vectors, network: Network):
+def _score_array(texts, vectors, network: Network):
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    got = [network.score(pooled(list(texts[k : k + BATCH]), vectors)) for k in range(0, len(texts), BATCH)]
-    return pd.Series(np.concatenate(got) if got else np.zeros(0))
+    got = [network.score(pooled(texts.slice(k, POOLED).to_pylist(), vectors)) for k in range(0, len(texts), POOLED)]
+    return pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())
 
 

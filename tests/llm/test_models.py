@@ -1,5 +1,6 @@
 import os
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -173,6 +174,15 @@ def test_shapes_are_of_whole_tokens():
     assert shape("漢" * 100 + "!42") == shape("漢!42") != shape("漢" * 100)
 
 
+def test_memo_of_tokens_is_small_and_starts_over():
+    size = lambda memo: sys.getsizeof(memo) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in memo.items())
+    for first in range(0, 450_000, 1000):
+        tokens = [f"Token-{first + k}" for k in range(1000)]
+        word, shape, sizes = quality._tokens([" ".join(tokens)])
+        assert size(quality._memo) < 32 << 20 if first % 150_000 == 149_000 else sizes.tolist() == [1000]
+        assert (word[-1], shape[-1]) == quality._buckets(tokens[-1]) and tokens[-1] in quality._memo
+
+
 def test_windows_cover_whole_texts():
     for n in range(0, 300):
         spans = toxicity.windows_of(n)

@@ -1,5 +1,6 @@
 import os
 import random
+import sys
 import zlib
 from collections import defaultdict
 
@@ -135,6 +136,13 @@ def test_columns_take_each_new_word_once_and_many_at_a_time(monkeypatch):
     assert not any(c.isalpha() for text in asked for c in text)
 
 
+def test_memo_of_units_is_small():
+    enc = UnitEncoder(PATH)
+    for first in range(0, 650_000, 50_000):
+        column_ids(enc, [" ".join("".join("abcdefghij"[int(d)] for d in str(k)) for k in range(1_000_000 + first, 1_050_000 + first))])
+    assert sys.getsizeof(enc.plain) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in enc.plain.items()) < 64 << 20
+
+
 def test_columns_without_a_byte_to_join_by():
     enc = UnitEncoder(PATH)
     enc.between = None
